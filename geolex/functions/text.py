@@ -105,13 +105,23 @@ def text_length(col: Column | str) -> Column:
 
 
 def is_url(col: Column | str) -> Column:
-    """Token contains ``http://`` or ``https://``."""
-    return _c(col).rlike(URL_PATTERN)
+    """Token contains ``http://`` or ``https://``.
+
+    The regex runs only on tokens containing ``://`` (a necessary condition;
+    ``AND`` short-circuits), so ordinary words never reach it.
+    """
+    c = _c(col)
+    return (F.instr(c, "://") > 0) & c.rlike(URL_PATTERN)
 
 
 def is_emoji(col: Column | str) -> Column:
-    """Token contains at least one emoji code point."""
-    return _c(col).rlike(EMOJI_CLASS)
+    """Token contains at least one emoji code point.
+
+    Every emoji code point is outside ASCII, so the regex runs only on tokens
+    whose UTF-8 length exceeds their character count.
+    """
+    c = _c(col)
+    return (F.octet_length(c) > F.char_length(c)) & c.rlike(EMOJI_CLASS)
 
 
 def token_class(col: Column | str) -> Column:

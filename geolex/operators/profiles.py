@@ -17,17 +17,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolex.functions import text as tx
+from geolex.session import materialize
 from geolex.sources.schemas import LEVEL_COLUMNS
 
 
-def token_stats(text: Column) -> dict[str, Column]:
-    """A4 per post: lower-case tokens split into url / emoji / word."""
-    toks = tx.tokens(F.lower(text))
-    words = F.filter(toks, lambda t: ~tx.is_url(t) & ~tx.is_emoji(t))
+def tag_tokens(text: Column) -> Column:
+    """Lower-case tokens, each classified once: ``struct(t, c)`` with c =
+    0 word, 1 url, 2 emoji."""
+    return F.transform(tx.tokens(F.lower(text)), lambda t: F.struct(
+        t.alias("t"), F.when(tx.is_url(t), 1).when(tx.is_emoji(t), 2).otherwise(0).alias("c")))
+
+
+def token_stats(tagged: Column) -> dict[str, Column]:
+    """A4 per post from the tagged tokens: word text, url and emoji counts.
+
+    Filters on the class field keep the work linear in tokens even when the
+    optimizer inlines ``tagged`` into an output.
+    """
+    words = F.transform(F.filter(tagged, lambda s: s["c"] == 0), lambda s: s["t"])
     return {
         "filtered_text": F.array_join(words, " "),
-        "url_count": F.size(F.filter(toks, lambda t: tx.is_url(t))).cast("int"),
-        "emoji_count": F.size(F.filter(toks, lambda t: ~tx.is_url(t) & tx.is_emoji(t))).cast("int"),
+        "url_count": F.size(F.filter(tagged, lambda s: s["c"] == 1)).cast("int"),
+        "emoji_count": F.size(F.filter(tagged, lambda s: s["c"] == 2)).cast("int"),
     }
 
 
@@ -43,8 +54,9 @@ def person_records(posts: DataFrame, levels: DataFrame, stop_words: Iterable[str
     body = tx.strip_stop_words(text_col, stop_words) if stop_words is not None else F.col(text_col)
     base = posts.select(F.col(key).alias("fip"), F.col(user_col).alias("user_id"),
                         body.alias("text"), *keep)
-    stats = token_stats(F.col("text"))
-    recs = base.select("fip", "user_id", "text", *[v.alias(k) for k, v in stats.items()], *keep)
+    staged = base.select("fip", "user_id", "text", tag_tokens(F.col("text")).alias("_tag"), *keep)
+    stats = token_stats(F.col("_tag"))
+    recs = staged.select("fip", "user_id", "text", *[v.alias(k) for k, v in stats.items()], *keep)
     lv = levels.select(F.col(key).alias("fip"), *LEVEL_COLUMNS)
     return recs.join(lv, "fip", "inner")
 
@@ -87,9 +99,19 @@ def region_totals(persons: DataFrame, key: str = "fip") -> DataFrame:
     )
 
 
-def profile_words(persons: DataFrame, key: str) -> DataFrame:
-    """A2/A3 words: share of each word of ``filtered_text`` per ``key``."""
-    return shares(word_counts(persons, key, "filtered_text"), key)
+def profile_words(persons: DataFrame, key: str, cut: bool = False) -> DataFrame:
+    """A2/A3 words: share of each word of ``filtered_text`` per ``key``.
+
+    With ``cut`` the ``(key, word, cnt)`` table is written once to the
+    shared checkpoint folder and the totals and shares are derived from it,
+    so the tokenisation of all posts runs once although two aggregates read
+    it (the optimizer cannot reuse the exchange once later word filters are
+    pushed into one branch).
+    """
+    counts = word_counts(persons, key, "filtered_text")
+    if cut:
+        counts = materialize(counts, f"{key}_word_counts")
+    return shares(counts, key)
 
 
 def profile_totals(persons: DataFrame, key: str, order_col: str | None = None,

@@ -29,7 +29,7 @@ def word_model_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region profile of all posts -> stop words, trim, NaN -> per-word
     regression for the four levels (no correction, no gate)."""
     persons = S.persons(spark, sf_dir)
-    words = profiles.profile_words(persons, "fip")
+    words = profiles.profile_words(persons, "fip", cut=True)
     obs = wordmodel.observations(words, S.targets(S.region_levels(spark, sf_dir)), S.STOP_WORDS, trim=True)
     return wordmodel.fit_word_model(obs, WORD_COUNT_THRESHOLD, bonferroni=False, gate=False)
 
@@ -57,7 +57,7 @@ def word_model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2 learn: train split -> region profile -> stop words -> n > 3 ->
     regression, Bonferroni, importance gate."""
     train = labelled_persons(spark, sf_dir).filter(F.col("is_train"))
-    words = profiles.profile_words(train, "fip")
+    words = profiles.profile_words(train, "fip", cut=True)
     obs = wordmodel.observations(words, S.targets(S.region_levels(spark, sf_dir)), S.STOP_WORDS)
     return wordmodel.fit_word_model(obs, WORD_COUNT_THRESHOLD, ALPHA, POSITIVE_IMPORTANCY,
                                     bonferroni=True, gate=True)
@@ -65,7 +65,7 @@ def word_model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_users(persons: DataFrame, model: DataFrame) -> DataFrame:
     """A3 -> J8/M4/W7: one row per user with words: fip, scores, level."""
-    user_words = profiles.profile_words(persons, "user_id")
+    user_words = profiles.profile_words(persons, "user_id", cut=True)
     users = profiles.profile_totals(persons, "user_id", order_col="line_no", carry=["fip"])
     return predict.classify(user_words.select("user_id", "word", "share"),
                             users.select("user_id", "fip"), wordmodel.model_wide(model))

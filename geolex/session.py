@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +52,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy text work at least one task per core.
+
+    A table stored as a few large row groups scans into fewer non-empty
+    splits than there are cores, and everything up to the first shuffle
+    then runs in those few tasks.  Only in that case the rows are
+    redistributed round-robin (deterministically: Spark sorts before a
+    round-robin repartition, so a re-run task after executor loss gets the
+    same rows).  Inputs with at least ``min_partitions`` splits, i.e. any
+    large input on a cluster, are returned unchanged.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder and reading it back (survives executor loss, unlike a local
     checkpoint)."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", name)
-    df.write.mode("overwrite").parquet(path)
+    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
