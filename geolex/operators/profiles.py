@@ -61,7 +61,7 @@ def person_records(posts: DataFrame, levels: DataFrame, stop_words: Iterable[str
     return recs.join(lv, "fip", "inner")
 
 
-def word_counts(df: DataFrame, key: str, text_col: str = "filtered_text",
+def word_counts(df: DataFrame, key: str | Sequence[str], text_col: str = "filtered_text",
                 classify: bool = False) -> DataFrame:
     """``(key, word, cnt)`` from whitespace tokens of ``text_col``.
 
@@ -72,8 +72,14 @@ def word_counts(df: DataFrame, key: str, text_col: str = "filtered_text",
     toks = tx.tokens(src)
     if classify:
         toks = F.filter(toks, lambda t: ~tx.is_url(t) & ~tx.is_emoji(t))
-    exploded = df.select(F.col(key), F.explode(toks).alias("word"))
-    return exploded.groupBy(key, "word").agg(F.count(F.lit(1)).alias("cnt"))
+    keys = [key] if isinstance(key, str) else list(key)
+    exploded = df.select(*keys, F.explode(toks).alias("word"))
+    return exploded.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def rollup_counts(counts: DataFrame, key: str) -> DataFrame:
+    """Re-aggregate a finer ``(..., word, cnt)`` table to ``(key, word, cnt)``."""
+    return counts.groupBy(key, "word").agg(F.sum("cnt").alias("cnt"))
 
 
 def shares(counts: DataFrame, key: str) -> DataFrame:

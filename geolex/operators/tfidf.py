@@ -23,13 +23,17 @@ def sentence_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def term_frequencies(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """A13 + M8: ``(id..., term, cnt, doc_length, tf)``; terms are lower-cased
-    whitespace tokens, doc length the number of tokens."""
+    whitespace tokens, doc length the number of tokens.
+
+    The length depends only on the document, so it rides along as a
+    grouping key: one aggregation, no join back to a length table.
+    """
     toks = docs.select(*id_cols, tx.tokens(text_col).alias("_toks"))
-    lengths = toks.select(*id_cols, F.size("_toks").alias("doc_length"))
-    counts = (toks.select(*id_cols, F.explode(F.transform("_toks", lambda t: F.lower(t))).alias("term"))
-              .groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("cnt")))
-    return (counts.join(lengths, id_cols)
-            .withColumn("tf", F.col("cnt") / F.col("doc_length")))
+    counts = (toks.select(*id_cols, F.size("_toks").alias("doc_length"),
+                          F.explode(F.transform("_toks", lambda t: F.lower(t))).alias("term"))
+              .groupBy(*id_cols, "doc_length", "term").agg(F.count(F.lit(1)).alias("cnt")))
+    return counts.select(*id_cols, "term", "cnt", "doc_length",
+                         (F.col("cnt") / F.col("doc_length")).alias("tf"))
 
 
 def inverse_document_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:

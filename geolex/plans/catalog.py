@@ -257,9 +257,9 @@ def q_a3t(spark, d):
 
 # ------------------------------------------------------------ word model
 def _x2_observations(spark, d):
-    train = J.labelled_persons(spark, d).filter(F.col("is_train"))
-    words = profiles.profile_words(train, "fip")
-    return wordmodel.observations(words, S.targets(S.region_levels(spark, d)), S.STOP_WORDS)
+    train = profiles.rollup_counts(J._x2_counts(spark, d).filter(F.col("is_train")), "fip")
+    return wordmodel.observations(profiles.shares(train, "fip"), S.targets(S.region_levels(spark, d)),
+                                  S.STOP_WORDS)
 
 
 @query("a5_word_observations")

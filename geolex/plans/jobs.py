@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geolex.operators import places, predict, profiles, report, split, tfidf, wordmodel
 from geolex.plans import standins as S
+from geolex.session import materialize
 
 # --- fixed values (reference defaults) --------------------------------------
 WORD_COUNT_THRESHOLD = 3
@@ -25,13 +26,22 @@ POST_KEY = ("user_id", "line_no")
 
 
 # ---------------------------------------------------------------- X3 / X4
+def fit_region_model(region_counts: DataFrame, targets: DataFrame, trim: bool, corrected: bool) -> DataFrame:
+    """Region word shares -> observations -> per-word regression.
+
+    ``trim`` and no correction is X3's learning step; no trim with
+    Bonferroni and the importance gate is X2's."""
+    words = profiles.shares(region_counts, "fip")
+    obs = wordmodel.observations(words, targets, S.STOP_WORDS, trim=trim)
+    return wordmodel.fit_word_model(obs, WORD_COUNT_THRESHOLD, ALPHA, POSITIVE_IMPORTANCY,
+                                    bonferroni=corrected, gate=corrected)
+
+
 def word_model_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region profile of all posts -> stop words, trim, NaN -> per-word
     regression for the four levels (no correction, no gate)."""
-    persons = S.persons(spark, sf_dir)
-    words = profiles.profile_words(persons, "fip", cut=True)
-    obs = wordmodel.observations(words, S.targets(S.region_levels(spark, sf_dir)), S.STOP_WORDS, trim=True)
-    return wordmodel.fit_word_model(obs, WORD_COUNT_THRESHOLD, bonferroni=False, gate=False)
+    counts = materialize(profiles.word_counts(S.persons(spark, sf_dir), "fip"), "fip_word_counts")
+    return fit_region_model(counts, S.targets(S.region_levels(spark, sf_dir)), trim=True, corrected=False)
 
 
 def top_words(spark: SparkSession, sf_dir: str, ascending: bool = False) -> DataFrame:
@@ -40,12 +50,16 @@ def top_words(spark: SparkSession, sf_dir: str, ascending: bool = False) -> Data
                                REPORT_MAX_P, TOP_N, ascending)
 
 
-def score_with_model(spark: SparkSession, sf_dir: str, model: DataFrame | None = None) -> DataFrame:
-    """A saved model (here X3's) -> A12 -> users (A3) -> R9 -> R10."""
-    model = word_model_all(spark, sf_dir) if model is None else model
+def score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved model (here X3's, learnt on all posts) -> A12 -> users
+    (A3) -> R9 -> R10.  The posts are tokenised once: one ``(user, fip,
+    word)`` count table feeds both the region and the user profiles."""
     persons = S.persons(spark, sf_dir)
-    preds = classify_users(persons, model)
-    return predict.evaluate(preds, S.targets(S.region_levels(spark, sf_dir)))
+    counts = materialize(profiles.word_counts(persons, ["user_id", "fip"]), "user_fip_word_counts")
+    targets = S.targets(S.region_levels(spark, sf_dir))
+    model = fit_region_model(profiles.rollup_counts(counts, "fip"), targets, trim=True, corrected=False)
+    preds = classify_users(persons, profiles.rollup_counts(counts, "user_id"), model)
+    return predict.evaluate(preds, targets)
 
 
 # ---------------------------------------------------------------------- X2
@@ -53,27 +67,36 @@ def labelled_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.hash_split(S.persons(spark, sf_dir), POST_KEY, TRAIN_FRACTION)
 
 
-def word_model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _x2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(is_train, user_id, fip, word, cnt)``: every post tokenised once."""
+    return materialize(profiles.word_counts(labelled_persons(spark, sf_dir), ["is_train", "user_id", "fip"]),
+                       "split_word_counts")
+
+
+def word_model_train(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
     """X2 learn: train split -> region profile -> stop words -> n > 3 ->
     regression, Bonferroni, importance gate."""
-    train = labelled_persons(spark, sf_dir).filter(F.col("is_train"))
-    words = profiles.profile_words(train, "fip", cut=True)
-    obs = wordmodel.observations(words, S.targets(S.region_levels(spark, sf_dir)), S.STOP_WORDS)
-    return wordmodel.fit_word_model(obs, WORD_COUNT_THRESHOLD, ALPHA, POSITIVE_IMPORTANCY,
-                                    bonferroni=True, gate=True)
+    counts = _x2_counts(spark, sf_dir) if counts is None else counts
+    train = profiles.rollup_counts(counts.filter(F.col("is_train")), "fip")
+    return fit_region_model(train, S.targets(S.region_levels(spark, sf_dir)), trim=False, corrected=True)
+
 
+def classify_users(persons: DataFrame, user_counts: DataFrame, model: DataFrame) -> DataFrame:
+    """A3 -> J8/M4/W7: one row per user with words: fip, scores, level.
 
-def classify_users(persons: DataFrame, model: DataFrame) -> DataFrame:
-    """A3 -> J8/M4/W7: one row per user with words: fip, scores, level."""
-    user_words = profiles.profile_words(persons, "user_id", cut=True)
-    users = profiles.profile_totals(persons, "user_id", order_col="line_no", carry=["fip"])
-    return predict.classify(user_words.select("user_id", "word", "share"),
-                            users.select("user_id", "fip"), wordmodel.model_wide(model))
+    The user's region is that of the latest post (D12); only the key
+    columns of ``persons`` are read, so no text is processed here."""
+    user_words = profiles.shares(user_counts, "user_id")
+    users = persons.groupBy("user_id").agg(F.max_by("fip", F.col("line_no")).alias("fip"))
+    return predict.classify(user_words.select("user_id", "word", "share"), users,
+                            wordmodel.model_wide(model))
 
 
 def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _x2_counts(spark, sf_dir)
     test = labelled_persons(spark, sf_dir).filter(~F.col("is_train"))
-    return classify_users(test, word_model_train(spark, sf_dir))
+    user_counts = profiles.rollup_counts(counts.filter(~F.col("is_train")), "user_id")
+    return classify_users(test, user_counts, word_model_train(spark, sf_dir, counts))
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
