@@ -176,6 +176,57 @@ def q_p2(spark, d):
                     F.get("coordinates", 0).alias("lat"), F.get("coordinates", 1).alias("lon"))
 
 
+@query("p3_strict_located")
+def q_p3(spark, d):
+    from geolex.sources.readers import decode_lines
+    raw = decode_lines(S.raw_post_json(spark, d), "value")
+    raw = raw.withColumn("post_id", F.concat_ws(":", F.col("user.id").cast("string"), F.col("created_at")))
+    flat = places.keep_located(places.flatten_posts(raw), strict=True)
+    return flat.select("post_id", "user_id", "location")
+
+
+@query("s2_list_files")
+def q_s2(spark, d):
+    files = readers.list_files(spark, d, "*.parquet")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table"))
+
+
+def _sink_dir(spark, name):
+    import os
+    import uuid
+    from geolex.session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex}")
+
+
+@query("s7_s11_word_model_csv")
+def q_s7(spark, d):
+    """S11 writes the X3 model as CSV, S7 reads it back by the file contract."""
+    from geolex.sources import sinks
+    path = _sink_dir(spark, "word_model")
+    sinks.write_table(J.word_model_all(spark, d), path, fmt="csv", sep=",")
+    return readers.read_word_model(spark, path)
+
+
+@query("s9_region_profile_json")
+def q_s9(spark, d):
+    """Region profile written as JSON lines (suffix dispatch), read back."""
+    from geolex.sources import sinks
+    df = profiles.profile_totals(S.persons(spark, d), "fip", order_col="line_no")
+    path = _sink_dir(spark, "region_profile") + ".json"
+    sinks.write_table(df, path)
+    return spark.read.schema(df.schema).json(path)
+
+
+@query("s10_county_records_tsv")
+def q_s10(spark, d):
+    """County records written tab separated with a header, read back."""
+    from geolex.sources import sinks
+    df = J.x1_county_records(spark, d)
+    path = _sink_dir(spark, "county_records") + ".csv"
+    sinks.write_table(df, path)
+    return spark.read.csv(path, header=True, sep="\t", schema=df.schema)
+
+
 # ---------------------------------------------------------------- places
 @query("p8_clean_attainment")
 def q_p8(spark, d):

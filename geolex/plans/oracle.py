@@ -345,12 +345,15 @@ def cte_nearest(points: str, cents: str, name: str, zip_expr: str = "c.zip") ->
             SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, zip) AS rn FROM {name}_p) WHERE rn = 1)"""
 
 
+_LOC = (f"CASE kind WHEN 0 THEN n_name || ', ' || r_name "
+        f"WHEN 1 THEN n_name || repeat(right(n_name, 1), 3) || ' County' "
+        f"WHEN 2 THEN 'Somewhere, ' || r_name WHEN 4 THEN 'Nowhere, Atlantis' "
+        f"WHEN 5 THEN n_name || ', ' || {region_code('r_name')} END")
+
+
 def cte_located() -> str:
     nm = "n.n_name"
-    loc = (f"CASE kind WHEN 0 THEN n_name || ', ' || r_name "
-           f"WHEN 1 THEN n_name || repeat(right(n_name, 1), 3) || ' County' "
-           f"WHEN 2 THEN 'Somewhere, ' || r_name WHEN 4 THEN 'Nowhere, Atlantis' "
-           f"WHEN 5 THEN n_name || ', ' || {region_code('r_name')} END")
+    loc = _LOC
     coords = f"CASE WHEN kind = 3 THEN [{lat_of('user_id')} + {dbl(0.02)}, {lon_of('user_id')} + {dbl(0.02)}] END"
     return f"""
 jp AS (SELECT p.user_id, p.line_no, p.lang, p.text, {nm} AS n_name, r.r_name, p.user_id % 6 AS kind
@@ -459,6 +462,15 @@ FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'n/a'
     o["p2_located_posts"] = "WITH " + (cte_posts() + "," + cte_located()).strip("\n") + """
 SELECT post_id, user_id, location, state, county, round(coords[1], 6) AS lat, round(coords[2], 6) AS lon FROM located"""
 
+    o["p3_strict_located"] = with_(cte_posts()) + f"""
+, jp AS (SELECT p.user_id, p.line_no, p.lang, n.n_name, r.r_name, p.user_id % 6 AS kind
+       FROM posts p LEFT JOIN nation n ON n.n_nationkey = p.user_id % (SELECT count(*) FROM nation)
+       LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+       WHERE (p.user_id * 31 + p.line_no) % 50 <> 0),
+jp2 AS (SELECT user_id, line_no, lang, {_LOC} AS location FROM jp)
+SELECT CAST(user_id AS VARCHAR) || ':line ' || CAST(line_no AS VARCHAR) AS post_id, user_id, location
+FROM jp2 WHERE user_id IS NOT NULL AND user_id <> 0 AND location IS NOT NULL AND location <> '' AND lang = 'en'"""
+
     # places ---------------------------------------------------------------
     att = "WITH " + cte_attainment().strip("\n") + "\n"
     o["p8_clean_attainment"] = att + "SELECT FIPS, State, Area, " + ", ".join(
@@ -480,6 +492,8 @@ SELECT fip, count(*) AS tweet_count, CAST(sum(url_count) AS BIGINT) AS url_count
        CAST(sum(emoji_count) AS BIGINT) AS emoji_count, {", ".join(f'round(max({c}), 6) AS {c}' for c in LEVEL_COLS)}
 FROM xp GROUP BY fip"""
 
+    o["s10_county_records_tsv"] = o["x1_county_records"]
+
     # profiles ---------------------------------------------------------------
     o["a4_person_records"] = _persons_sql() + f"""
 SELECT fip, user_id, text, filtered_text, url_count, emoji_count, line_no, {lv} FROM persons"""
@@ -500,6 +514,8 @@ SELECT user_id, count(*) AS tweet_count, round(avg(url_count), 6) AS avg_url_cou
        {", ".join(f'round(arg_max({c}, line_no), 6) AS {c}' for c in LEVEL_COLS)}, arg_max(fip, line_no) AS fip
 FROM persons GROUP BY user_id"""
 
+    o["s9_region_profile_json"] = o["a2_region_profile"]
+
     # word model ---------------------------------------------------------
     x2 = with_(*x2_ctes())
     o["a5_word_observations"] = x2 + f"SELECT word, count(*) AS n FROM obs2 GROUP BY word HAVING count(*) > {J.WORD_COUNT_THRESHOLD}"
@@ -508,6 +524,7 @@ FROM persons GROUP BY user_id"""
     o["r6_word_model"] = x2 + MODEL_OUT.format(m="m2")
     o["a12_model_wide"] = x2 + "SELECT word, " + ", ".join(
         f"round(slope_{k}, 6) AS slope_{k}, round(pval_{k}, 6) AS pval_{k}, count_{k}" for k in range(4)) + " FROM pred_w"
+    o["s7_s11_word_model_csv"] = o["r1_word_regression"]
     o["w4_top_words"] = top_sql(False)
     o["w5_bottom_words"] = top_sql(True)
 
