@@ -162,15 +162,13 @@ def _cell_x(lon: Column, size: float, n_lon: int) -> Column:
     return F.pmod(F.floor((lon + F.lit(180.0)) / F.lit(size)).cast("long"), F.lit(n_lon))
 
 
-def nearest_zip(points: DataFrame, centroids: DataFrame, radius_miles: float = 10.0,
-                id_cols: Sequence[str] = ("point_id",)) -> DataFrame:
-    """For each point ``(id..., lat, lon)`` the nearest zip centroid
-    ``(zip, lat, lon)`` within ``radius_miles``: ``(id..., zip, dist)``;
-    ties go to the smaller zip.  Points with no zip in range are absent."""
+def centroid_cells(centroids: DataFrame, radius_miles: float) -> DataFrame:
+    """``(cy, cx, zip, c_lat, c_lon)``: every centroid in each grid cell its
+    radius cap can reach (exact longitude half-width by latitude; all cells
+    near a pole; wrap-around at +-180 degrees)."""
     n_lon, size, delta = grid(radius_miles)
     d_deg = math.degrees(delta)
     c = centroids.select(F.col("zip"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    # longitude half-width of the radius cap around the centroid (exact on a sphere)
     span = F.degrees(F.asin(F.least(F.lit(1.0),
                                     F.lit(math.sin(delta)) / F.cos(_rad(F.abs(F.col("c_lat")))))))
     polar = F.abs(F.col("c_lat")) + F.lit(d_deg) >= F.lit(90.0)
@@ -180,43 +178,93 @@ def nearest_zip(points: DataFrame, centroids: DataFrame, radius_miles: float = 1
                 ).otherwise(F.transform(F.sequence(-k, k), lambda d: F.pmod(cx + d, F.lit(n_lon))))
     ys = F.transform(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")),
                      lambda d: _cell_y(F.col("c_lat"), size) + d)
-    cells = (c.select("*", F.explode(ys).alias("cy"))
-             .select("*", F.explode(xs).alias("cx")))
+    return (c.select("*", F.explode(ys).alias("cy"))
+            .select("cy", F.explode(xs).alias("cx"), "zip", "c_lat", "c_lon"))
+
+
+def point_cells(lat: Column, lon: Column, radius_miles: float) -> tuple[Column, Column]:
+    n_lon, size, _ = grid(radius_miles)
+    return _cell_y(lat, size), _cell_x(lon, size, n_lon)
+
+
+def nearest_zip(points: DataFrame, centroids: DataFrame, radius_miles: float = 10.0,
+                id_cols: Sequence[str] = ("point_id",)) -> DataFrame:
+    """For each point ``(id..., lat, lon)`` the nearest zip centroid
+    ``(zip, lat, lon)`` within ``radius_miles``: ``(id..., zip, dist)``;
+    ties go to the smaller zip.  Points with no zip in range are absent.
+
+    Shuffle form: equi join on the grid cell, haversine filter, per-point
+    minimum (partial aggregation; AQE splits a hot cell)."""
+    cy, cx = point_cells(F.col("lat"), F.col("lon"), radius_miles)
     p = points.select(*id_cols, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
-                      _cell_y(F.col("lat"), size).alias("cy"), _cell_x(F.col("lon"), size, n_lon).alias("cx"))
-    pairs = p.join(cells, ["cy", "cx"])
+                      cy.alias("cy"), cx.alias("cx"))
+    pairs = p.join(centroid_cells(centroids, radius_miles), ["cy", "cx"])
     dist = haversine_miles(F.col("p_lat"), F.col("p_lon"), F.col("c_lat"), F.col("c_lon"))
     near = pairs.select(*id_cols, "zip", dist.alias("dist")).filter(F.col("dist") <= radius_miles)
     best = near.groupBy(*id_cols).agg(F.min(F.struct("dist", "zip")).alias("_b"))
     return best.select(*id_cols, F.col("_b.zip").alias("zip"), F.col("_b.dist").alias("dist"))
 
 
+def cell_candidates(centroids: DataFrame, radius_miles: float) -> DataFrame:
+    """``(cy, cx, _cands)``: the centroids reachable from each cell as one
+    array per cell, for the broadcast (per-row) nearest-zip lookup."""
+    cells = centroid_cells(centroids, radius_miles)
+    return cells.groupBy("cy", "cx").agg(
+        F.collect_list(F.struct("zip", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"))).alias("_cands"))
+
+
+def nearest_in_candidates(lat: Column, lon: Column, cands: Column, radius_miles: float) -> Column:
+    """``struct(dist, zip)`` of the nearest candidate within the radius (null if none)."""
+    scored = F.transform(cands, lambda c: F.struct(
+        haversine_miles(lat, lon, c["lat"], c["lon"]).alias("dist"), c["zip"].alias("zip")))
+    return F.array_min(F.filter(scored, lambda s: s["dist"] <= radius_miles))
+
+
 # ------------------------------------------------------------ resolution ---
 def resolve_places(posts: DataFrame, names: DataFrame, zips_one: DataFrame | None = None,
                    centroids: DataFrame | None = None, known_fips: DataFrame | None = None,
-                   radius_miles: float = 10.0, id_cols: Sequence[str] = ("post_id",)) -> DataFrame:
+                   radius_miles: float = 10.0, id_cols: Sequence[str] = ("post_id",),
+                   broadcast_cells_limit: int = 2_000_000) -> DataFrame:
     """``fips`` and ``resolved_by`` for every post.
 
     Priority county name -> state name -> coordinates; coordinates count
     only when neither name matched.  A coordinate match needs the zip's
     county to exist in ``known_fips`` (J4); otherwise the post stays
     unresolved (``fips`` null, filtered by P6).
+
+    Coordinates: the centroid-cell table (sized by the zip table, not by the
+    posts) is counted first.  Within ``broadcast_cells_limit`` rows it is
+    broadcast as one candidate array per cell and every post finds its zip
+    in the same pass (no shuffle of posts, posts read once).  Beyond the
+    limit the posts needing coordinates go through the shuffle join
+    (``nearest_zip``) and are joined back by ``id_cols``.
     """
     county = names.select(F.col("name").alias("county"), F.col("fips").alias("_f_county"))
     state = names.select(F.col("name").alias("state"), F.col("fips").alias("_f_state"))
     r = posts.join(county, "county", "left").join(state, "state", "left")
     if zips_one is not None and centroids is not None:
-        need = (r.filter(F.col("_f_county").isNull() & F.col("_f_state").isNull()
-                         & F.col("coordinates").isNotNull())
-                .select(*id_cols, F.get("coordinates", 0).alias("lat"), F.get("coordinates", 1).alias("lon"))
-                .filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
-        near = nearest_zip(need, centroids.select(F.col("zip").cast("string").alias("zip"), "lat", "lon"),
-                           radius_miles, id_cols)
-        by_zip = near.join(zips_one, "zip").select(*id_cols, F.col("fips").alias("_f_coord"))
+        cents = centroids.select(F.col("zip").cast("string").alias("zip"), "lat", "lon")
+        need = (F.col("_f_county").isNull() & F.col("_f_state").isNull() & F.col("coordinates").isNotNull()
+                & F.get("coordinates", 0).isNotNull() & F.get("coordinates", 1).isNotNull())
+        lat, lon = F.get("coordinates", 0), F.get("coordinates", 1)
+        zf = zips_one.select("zip", F.col("fips").alias("_zf"))
         if known_fips is not None:
-            by_zip = by_zip.join(known_fips.select(F.col("fips").alias("_f_coord")).distinct(),
-                                 "_f_coord", "left_semi")
-        r = r.join(by_zip, list(id_cols), "left")
+            zf = zf.join(known_fips.select(F.col("fips").alias("_zf")).distinct(), "_zf", "left_semi")
+        if centroid_cells(cents, radius_miles).count() <= broadcast_cells_limit:
+            cy, cx = point_cells(lat, lon, radius_miles)
+            r = (r.withColumn("_cy", F.when(need, cy)).withColumn("_cx", F.when(need, cx))
+                 .join(F.broadcast(cell_candidates(cents, radius_miles)
+                                   .withColumnRenamed("cy", "_cy").withColumnRenamed("cx", "_cx")),
+                       ["_cy", "_cx"], "left")
+                 .withColumn("_zip", nearest_in_candidates(lat, lon, F.col("_cands"), radius_miles)["zip"])
+                 .drop("_cy", "_cx", "_cands"))
+            r = (r.join(zf.withColumnRenamed("zip", "_zip"), "_zip", "left")
+                 .withColumnRenamed("_zf", "_f_coord").drop("_zip"))
+        else:
+            pts = r.filter(need).select(*id_cols, lat.alias("lat"), lon.alias("lon"))
+            near = nearest_zip(pts, cents, radius_miles, id_cols)
+            by_zip = near.join(zf, "zip").select(*id_cols, F.col("_zf").alias("_f_coord"))
+            r = r.join(by_zip, list(id_cols), "left")
     else:
         r = r.withColumn("_f_coord", F.lit(None).cast("long"))
     resolved_by = (F.when(F.col("_f_county").isNotNull(), "county")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolex.functions import text as tx
+from geolex.session import materialize
 
 
 def sentence_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -21,33 +22,48 @@ def sentence_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return s.filter(F.size(tx.tokens("text")) > 0)
 
 
-def term_frequencies(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """A13 + M8: ``(id..., term, cnt, doc_length, tf)``; terms are lower-cased
+def term_counts(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """A13 counts: ``(id..., doc_length, term, cnt)``; terms are lower-cased
     whitespace tokens, doc length the number of tokens.
 
     The length depends only on the document, so it rides along as a
-    grouping key: one aggregation, no join back to a length table.
+    grouping key (no join back to a length table).  Every document also
+    gets one marker row with a null term, so the document count N is read
+    from the same table (documents without any token still count).
     """
     toks = docs.select(*id_cols, tx.tokens(text_col).alias("_toks"))
-    counts = (toks.select(*id_cols, F.size("_toks").alias("doc_length"),
-                          F.explode(F.transform("_toks", lambda t: F.lower(t))).alias("term"))
-              .groupBy(*id_cols, "doc_length", "term").agg(F.count(F.lit(1)).alias("cnt")))
-    return counts.select(*id_cols, "term", "cnt", "doc_length",
-                         (F.col("cnt") / F.col("doc_length")).alias("tf"))
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.transform("_toks", lambda t: F.lower(t)))
+    return (toks.select(*id_cols, F.size("_toks").alias("doc_length"), F.explode(terms).alias("term"))
+            .groupBy(*id_cols, "doc_length", "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def inverse_document_frequencies(tf: DataFrame, docs: DataFrame) -> DataFrame:
-    """A14 + M9: ``(term, df, idf)`` with N = number of documents."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_frequencies(counts: DataFrame, id_cols: list[str]) -> DataFrame:
+    """A13 + M8: ``(id..., term, cnt, doc_length, tf)``."""
+    return (counts.filter(F.col("term").isNotNull())
+            .select(*id_cols, "term", "cnt", "doc_length", (F.col("cnt") / F.col("doc_length")).alias("tf")))
+
+
+def inverse_document_frequencies(counts: DataFrame) -> DataFrame:
+    """A14 + M9: ``(term, df, idf)``, ``idf = ln(N / df)``; N is the number of
+    marker rows (a one-row aggregate, broadcast)."""
+    n_docs = counts.filter(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("_n"))
+    dfreq = counts.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return (dfreq.crossJoin(F.broadcast(n_docs))
             .select("term", "df", F.ln(F.col("_n") / F.col("df")).alias("idf")))
 
 
-def tfidf(docs: DataFrame, id_cols: list[str], text_col: str = "text", clean: bool = True) -> DataFrame:
-    """``(id..., term, tf, idf, tfidf)``; ``clean`` applies T12 first."""
+def tfidf(docs: DataFrame, id_cols: list[str], text_col: str = "text", clean: bool = True,
+          cut: bool = False) -> DataFrame:
+    """``(id..., term, tf, idf, tfidf)``; ``clean`` applies T12 first.
+
+    With ``cut`` the count table is written once to the shared checkpoint
+    folder, so the text is tokenised once for tf, df and N.
+    """
     d = docs.select(*id_cols, (tx.strip_special(text_col) if clean else F.col(text_col)).alias("text"))
-    tf = term_frequencies(d, id_cols, "text")
-    idf = inverse_document_frequencies(tf, d)
+    counts = term_counts(d, id_cols, "text")
+    if cut:
+        counts = materialize(counts, "term_counts")
+    tf = term_frequencies(counts, id_cols)
+    idf = inverse_document_frequencies(counts)
     return (tf.join(idf, "term")
             .select(*id_cols, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf")))

@@ -393,15 +393,14 @@ def q_x4(spark, d):
 def q_a13(spark, d):
     docs = tfidf.sentence_docs(S.table(spark, d, "documents"), "doc_id", "text")
     clean = docs.select("doc_id", "sent_no", tx.strip_special("text").alias("text"))
-    return tfidf.term_frequencies(clean, ["doc_id", "sent_no"], "text")
+    return tfidf.term_frequencies(tfidf.term_counts(clean, ["doc_id", "sent_no"]), ["doc_id", "sent_no"])
 
 
 @query("a14_document_frequency")
 def q_a14(spark, d):
     docs = tfidf.sentence_docs(S.table(spark, d, "documents"), "doc_id", "text")
     clean = docs.select("doc_id", "sent_no", tx.strip_special("text").alias("text"))
-    tf = tfidf.term_frequencies(clean, ["doc_id", "sent_no"], "text")
-    return tfidf.inverse_document_frequencies(tf, clean)
+    return tfidf.inverse_document_frequencies(tfidf.term_counts(clean, ["doc_id", "sent_no"]))
 
 
 @query("r11_tfidf")

@@ -35,7 +35,11 @@ def test_j10_zip_one_and_all(spark):
     assert places.zip_table(z, "all").count() == 3
 
 
-def test_j5_priority(spark):
+import pytest
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])  # broadcast path, shuffle path
+def test_j5_priority(spark, limit):
     names = spark.createDataFrame([("kings", 36047), ("ny", 36000)], "name string, fips long")
     zips = spark.createDataFrame([("11201", 36047)], "zip string, fips long")
     cents = spark.createDataFrame([(11201, 40.69, -73.99)], "zip long, lat double, lon double")
@@ -47,7 +51,8 @@ def test_j5_priority(spark):
         ("p5", None, None, None),
     ], "post_id string, county string, state string, coordinates array<double>")
     out = {r.post_id: (r.fips, r.resolved_by) for r in
-           places.resolve_places(posts, names, zips, cents, zips.select("fips")).collect()}
+           places.resolve_places(posts, names, zips, cents, zips.select("fips"),
+                                 broadcast_cells_limit=limit).collect()}
     assert out == {"p1": (36047, "county"), "p2": (36000, "state"), "p3": (36047, "coordinates"),
                    "p4": (None, None), "p5": (None, None)}
 
