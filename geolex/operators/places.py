@@ -224,7 +224,7 @@ def nearest_in_candidates(lat: Column, lon: Column, cands: Column, radius_miles:
 def resolve_places(posts: DataFrame, names: DataFrame, zips_one: DataFrame | None = None,
                    centroids: DataFrame | None = None, known_fips: DataFrame | None = None,
                    radius_miles: float = 10.0, id_cols: Sequence[str] = ("post_id",),
-                   broadcast_cells_limit: int = 2_000_000) -> DataFrame:
+                   broadcast_cells_limit: int = 1_000_000) -> DataFrame:
     """``fips`` and ``resolved_by`` for every post.
 
     Priority county name -> state name -> coordinates; coordinates count

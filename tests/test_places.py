@@ -38,7 +38,7 @@ def test_j10_zip_one_and_all(spark):
 import pytest
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])  # broadcast path, shuffle path
+@pytest.mark.parametrize("limit", [1_000_000, 0])  # broadcast path, shuffle path
 def test_j5_priority(spark, limit):
     names = spark.createDataFrame([("kings", 36047), ("ny", 36000)], "name string, fips long")
     zips = spark.createDataFrame([("11201", 36047)], "zip string, fips long")
