@@ -135,10 +135,21 @@ def lower(col: Column | str) -> Column:
     return F.lower(_c(col))
 
 
+def _kept_code(code: Column) -> Column:
+    return (((code >= 48) & (code <= 57)) | ((code >= 64) & (code <= 90)) | ((code >= 97) & (code <= 122)))
+
+
 def trim_word(col: Column | str) -> Column:
-    """Trim everything but ASCII letters, digits and '@' at both ends."""
-    x = F.regexp_replace(_c(col), "^[^" + WORD_EDGE_KEEP + "]+", "")
-    return F.regexp_replace(x, "[^" + WORD_EDGE_KEEP + "]+$", "")
+    """Trim everything but ASCII letters, digits and '@' at both ends.
+
+    Words whose first and last characters are already kept (most words)
+    skip the two regexes; the check reads two character codes.
+    """
+    c = _c(col)
+    x = F.regexp_replace(c, "^[^" + WORD_EDGE_KEEP + "]+", "")
+    trimmed = F.regexp_replace(x, "[^" + WORD_EDGE_KEEP + "]+$", "")
+    clean = _kept_code(F.ascii(c)) & _kept_code(F.ascii(F.substring(c, -1, 1)))
+    return F.when(clean, c).otherwise(trimmed)
 
 
 def strip_special(col: Column | str) -> Column:

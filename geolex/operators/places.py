@@ -108,7 +108,8 @@ def place_names(att_raw: DataFrame) -> DataFrame:
     by_state = (att_raw.filter(fips % 1000 == 0)
                 .select(F.lower("State").alias("name"), fips.alias("fips"), F.lit(1).alias("_kind")))
     rows = by_area.unionByName(by_state).filter(F.col("name").isNotNull() & F.col("fips").isNotNull())
-    return rows.groupBy("name").agg(F.max_by("fips", F.struct("fips", "_kind")).alias("fips"))
+    # order (fips, kind) as one number so the aggregate stays hash-based
+    return rows.groupBy("name").agg(F.max_by("fips", F.col("fips") * 2 + F.col("_kind")).alias("fips"))
 
 
 def zip_table(zips: DataFrame, multi: str = "one") -> DataFrame:

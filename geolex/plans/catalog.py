@@ -19,6 +19,7 @@ from geolex.operators import places, predict, profiles, report, split, tfidf, wo
 from geolex.plans import jobs as J
 from geolex.plans import standins as S
 from geolex.sources import readers
+from geolex.session import materialize
 from geolex.sources.schemas import LEVEL_COLUMNS
 
 
@@ -278,7 +279,9 @@ def q_a4(spark, d):
 @query("a1_region_words")
 def q_a1w(spark, d):
     p = S.post_lines(spark, d)
-    return profiles.region_words(p.select("fip", tx.strip_stop_words("text", S.STOP_WORDS).alias("text")), "fip")
+    posts = p.select("fip", tx.strip_stop_words("text", S.STOP_WORDS).alias("text"))
+    counts = materialize(profiles.word_counts(posts, "fip", "text", classify=True), "a1_counts")
+    return profiles.shares(counts, "fip")
 
 
 @query("a1_region_totals")
@@ -288,7 +291,7 @@ def q_a1t(spark, d):
 
 @query("a2_region_word_share")
 def q_a2w(spark, d):
-    return profiles.profile_words(S.persons(spark, d), "fip")
+    return profiles.profile_words(S.persons(spark, d), "fip", cut=True)
 
 
 @query("a2_region_profile")
@@ -298,7 +301,7 @@ def q_a2t(spark, d):
 
 @query("a3_user_word_share")
 def q_a3w(spark, d):
-    return profiles.profile_words(S.persons(spark, d), "user_id")
+    return profiles.profile_words(S.persons(spark, d), "user_id", cut=True)
 
 
 @query("a3_user_profile")
@@ -400,7 +403,8 @@ def q_a13(spark, d):
 def q_a14(spark, d):
     docs = tfidf.sentence_docs(S.table(spark, d, "documents"), "doc_id", "text")
     clean = docs.select("doc_id", "sent_no", tx.strip_special("text").alias("text"))
-    return tfidf.inverse_document_frequencies(tfidf.term_counts(clean, ["doc_id", "sent_no"]))
+    counts = materialize(tfidf.term_counts(clean, ["doc_id", "sent_no"]), "term_counts")
+    return tfidf.inverse_document_frequencies(counts)
 
 
 @query("r11_tfidf")

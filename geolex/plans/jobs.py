@@ -145,8 +145,11 @@ def x5_points_to_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- X9
 def level_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actual and predicted level of every region binned for a map."""
-    ev = evaluation(spark, sf_dir)
+    """Actual and predicted level of every region binned for a map.
+
+    The evaluation (one row per region) is written once and read by both
+    halves instead of re-running the X2 job for each."""
+    ev = materialize(evaluation(spark, sf_dir), "evaluation")
     actual = report.level_bins(ev, "fip", [f"y{k}" for k in range(4)]).withColumn("kind", F.lit("actual"))
     pred = report.level_bins(ev, "fip", [f"pred_{k}" for k in range(4)]).withColumn("kind", F.lit("predicted"))
     return actual.unionByName(pred)
