@@ -15,21 +15,20 @@ def classify(user_words: DataFrame, users: DataFrame, model_wide: DataFrame,
     """score = sum(share * slope_k) over the user's words (J8 + M4);
     predicted level = first argmax (W7).
 
-    The model is joined on ``word`` (inner suffices for the sum: an absent
-    word contributes 0); users whose words all miss the model come back
-    through the left join with zero scores -> level 0.  Users without any
-    word are not classified (P12: the semi join on ``user_words``).
+    Every word row of a user survives the left join to the model (an absent
+    word weighs 0), so one aggregate yields a score row for each user with
+    words, including users whose words all miss the model (level 0).  Users
+    without any word never appear in ``user_words`` and are not classified
+    (P12); the inner join to ``users`` attaches their other columns.
     """
     weights = model_wide.select("word", *[F.col(f"slope_{k}") for k in LEVELS])
-    scored = (user_words.join(weights, "word")
+    scored = (user_words.join(weights, "word", "left")
               .groupBy(key)
               .agg(*[F.sum(F.col("share") * F.coalesce(F.col(f"slope_{k}"), F.lit(0.0))).alias(f"score_{k}")
                      for k in LEVELS]))
-    with_words = users.join(user_words.select(key).distinct(), key, "left_semi")
-    out = with_words.join(scored, key, "left")
-    scores = F.array(*[F.coalesce(F.col(f"score_{k}"), F.lit(0.0)) for k in LEVELS])
-    return out.select(*users.columns, *[F.coalesce(F.col(f"score_{k}"), F.lit(0.0)).alias(f"score_{k}")
-                                        for k in LEVELS],
+    out = users.join(scored, key, "inner")
+    scores = F.array(*[F.col(f"score_{k}") for k in LEVELS])
+    return out.select(*users.columns, *[F.col(f"score_{k}") for k in LEVELS],
                       st.argmax_first(scores).alias("predicted_level"))
 
 
