@@ -20,6 +20,21 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(shuffle_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large input: enough shuffle partitions that each holds
+    about ``partition_bytes`` of the largest shuffle (AQE coalesces small
+    ones), at least three tasks per core, 256 MB file splits, and AQE skew
+    splitting for partitions five times the median."""
+    parts = max(cores * 3, -(-shuffle_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "geolex", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -18,3 +18,10 @@ def test_materialize_cuts_lineage_into_checkpoint_folder(spark):
     assert "HashAggregate" not in plan and "FileScan parquet" in plan
     assert base.rstrip("/").split(":")[-1] in plan
     assert sorted(cut.collect()) == sorted(df.collect())
+
+
+def test_cluster_conf_sizes_partitions():
+    from geolex.session import cluster_conf
+    c = cluster_conf(shuffle_bytes=10 << 30, cores=16)
+    assert c["spark.sql.shuffle.partitions"] == "48"          # 40 by size, 48 by cores
+    assert cluster_conf(1 << 40, 16)["spark.sql.shuffle.partitions"] == "4096"
