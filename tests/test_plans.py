@@ -20,11 +20,9 @@ def test_no_python_or_cartesian(spark, name):
 
 
 def test_column_pruning_on_documents(spark):
-    from geolex.plans import standins as S
     df = E.queries()["t4_tokens"](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
-    _ = S
 
 
 def test_bonferroni_cross_join_is_one_row_broadcast(spark):

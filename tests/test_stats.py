@@ -2,7 +2,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from geolex.functions import stats as stx
 from geolex.operators import wordmodel
@@ -103,4 +102,3 @@ def test_r3_matches_series_definition(spark):
     pairs = [(r, n) for r in (0.05, 0.3, 0.77) for n in (3, 4, 5, 8, 13, 50)]
     for (r, n), p in zip(pairs, p_of(spark, pairs)):
         assert p == pytest.approx(p_py(r, n), abs=1e-12)
-    _ = F
