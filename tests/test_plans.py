@@ -29,3 +29,18 @@ def test_bonferroni_cross_join_is_one_row_broadcast(spark):
     df = E.queries()["r6_word_model"](spark, SF001)
     plan = plan_of(df)
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
+
+
+def test_nearest_zip_is_an_equi_join(spark):
+    plan = plan_of(E.queries()["j3_nearest_zip"](spark, SF001))
+    assert "NestedLoopJoin" not in plan and ("HashJoin" in plan or "SortMergeJoin" in plan)
+
+
+def test_word_model_ranges_on_data(spark):
+    rows = E.queries()["r1_word_regression"](spark, SF001).collect()
+    assert rows
+    for r in rows:
+        assert r["count"] > 3
+        assert r.slope is None or -1.0 - 1e-9 <= r.slope <= 1.0 + 1e-9
+        assert r.pval is None or 0.0 <= r.pval <= 1.0
+        assert (r.slope is None) == (r.pval is None)
