@@ -373,7 +373,7 @@ def q_a9(spark, d):
 
 @query("r9_classify_users")
 def q_r9(spark, d):
-    return J.test_predictions(spark, d)
+    return J.held_out_predictions(spark, d)
 
 
 @query("r10_evaluate")

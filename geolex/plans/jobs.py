@@ -92,7 +92,7 @@ def classify_users(persons: DataFrame, user_counts: DataFrame, model: DataFrame)
                             wordmodel.model_wide(model))
 
 
-def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _x2_counts(spark, sf_dir)
     test = labelled_persons(spark, sf_dir).filter(~F.col("is_train"))
     user_counts = profiles.rollup_counts(counts.filter(~F.col("is_train")), "user_id")
@@ -101,7 +101,7 @@ def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2 evaluate: R10 on the test users."""
-    return predict.evaluate(test_predictions(spark, sf_dir), S.targets(S.region_levels(spark, sf_dir)))
+    return predict.evaluate(held_out_predictions(spark, sf_dir), S.targets(S.region_levels(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------- X7
