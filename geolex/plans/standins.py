@@ -33,12 +33,15 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
 # --- end of fixed values ----------------------------------------------------
 
 
-TEXT_TABLES = ("documents", "conversations", "pages")
+TEXT_TABLES = ("documents", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, text: bool = True) -> DataFrame:
+    """A driver table; tables whose text gets tokenised are spread over the
+    cores when their scan has too few splits (``text=False`` skips that for
+    reads of short columns only)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if text and name in TEXT_TABLES else df
 
 
 # ------------------------------------------------------------ posts / levels
@@ -58,7 +61,7 @@ def post_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(fip, education_level_1..4)`` in percent."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang")
+    docs = table(spark, sf_dir, "documents", text=False).select("source", "lang")
     n = F.count(F.lit(1))
     return docs.groupBy(F.col("source").alias("fip")).agg(
         *[(F.count_if(F.col("lang") == lang) * F.lit(100.0) / n).alias(c)
