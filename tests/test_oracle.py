@@ -5,11 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from geolex.plans import catalog, oracle
 from tests.conftest import SF001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-ORACLE = E.oracle_sql()
+ORACLE = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,7 @@ def canon(cols, rows):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF001)
+    df = catalog.queries()[name](spark, SF001)
     res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
@@ -41,8 +42,15 @@ ROWS_ONLY = {"s2_list_files"}  # a file listing is not a query over table rows
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) - set(ORACLE) == ROWS_ONLY
+    assert set(catalog.queries()) - set(ORACLE) == ROWS_ONLY
+
+
+def test_entry_lists_the_catalog(spark):
+    assert set(catalog.queries()) <= set(E.queries())
+    assert set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):
-    assert E.entry(spark).count() >= 0
+    out = E.entry(spark)
+    assert out.columns == catalog.queries()["w4_top_words"](spark, SF001).columns
+    assert out.count() == 20
