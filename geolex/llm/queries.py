@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolex.llm import op2_mix_sources, op3_exact_dedup
+from geolex.llm import op2_mix_sources, op3_exact_dedup, op9_byte_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources.op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
+        "op9_byte_bpe": op9_byte_bpe.op9_byte_bpe,
     }
 
 
