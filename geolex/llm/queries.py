@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolex.llm import op2_mix_sources, op3_exact_dedup, op9_byte_bpe
+from geolex.llm import op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op9_byte_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup.op1_simhash_near_dedup,
         "op2_mix_sources": op2_mix_sources.op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe.op9_byte_bpe,
