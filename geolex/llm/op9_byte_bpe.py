@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from geolex.llm.common import table
 
-#: Text handled at once in a task, and slices that the cache may hold.
-CHUNK_CHARS = 1 << 20
+#: Characters handled at once in a task (more if one text has more), and slices
+#: that the cache may hold.
+CHUNK_CHARS = 1 << 18
 CACHE_SLICES = 1 << 18
 CACHED_BYTES = 64
 BATCH_SLICES = 1 << 13
