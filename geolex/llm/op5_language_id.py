@@ -1,7 +1,7 @@
 """Language ID by compression.
 
 Each learned language has a raw-content dictionary for zstandard: text of that
-language.  A text is cut into segments (so that the dictionary, and not the
+language.  A text is lower-cased and cut into segments (so that the dictionary, and not the
 text's own beginning, explains each of them), every segment is encoded with
 every language's dictionary, and the language with the fewest bytes wins.  The
 margin is the share of bytes that the winner saves on the second; where it is
@@ -35,10 +35,10 @@ from pyspark.sql.window import Window
 from geolex.llm.common import cut, held_out, table
 
 SAMPLE_ROWS = 256
-DICTIONARY, ALL_DICTIONARIES = 96 << 10, 16 << 20
-SAMPLE_SEGMENT, SEGMENT, LEVEL = 1024, 2048, 3
+DICTIONARY, ALL_DICTIONARIES = 64 << 10, 16 << 20
+SAMPLE_SEGMENT, SEGMENT, LEVEL = 1024, 4096, 6
 #: Margins below this are rejected.
-MIN_MARGIN = 0.003
+MIN_MARGIN = 0.002
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -57,7 +57,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Language to dictionary; ``docs`` has text, lang and doc_id."""
     chosen = sample(docs.filter(~held_out(F.col("doc_id"))))
-    chosen = chosen.select("lang", "_h", F.col("text").cast("binary").alias("text"))
+    chosen = chosen.select("lang", "_h", F.lower("text").cast("binary").alias("text"))
 
     def build(key, rows):
         """Evenly spaced segments of all sampled texts, up to a dictionary's size."""
@@ -86,7 +86,7 @@ class Judge:
         """(language, score, margin)."""
         if not self.coders or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
-        raw = text.encode()
+        raw = text.lower().encode()
         segments = [raw[i:i + SEGMENT] for i in range(0, len(raw), SEGMENT)]
         sizes = [sum(map(len, map(coder.compress, segments))) for _, coder in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)

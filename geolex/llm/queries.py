@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolex.llm import op1_simhash_near_dedup, op2_mix_sources, op3_exact_dedup, op9_byte_bpe
+from geolex.llm import (
+    op1_simhash_near_dedup,
+    op2_mix_sources,
+    op3_exact_dedup,
+    op5_language_id,
+    op6_secret_scan,
+    op9_byte_bpe,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup.op1_simhash_near_dedup,
         "op2_mix_sources": op2_mix_sources.op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
+        "op5_language_id": op5_language_id.op5_language_id,
+        "op6_secret_scan": op6_secret_scan.op6_secret_scan,
         "op9_byte_bpe": op9_byte_bpe.op9_byte_bpe,
     }
 
