@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import cut, partitions, table
+from geolex.llm.common import cut, in_arrow, partitions, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Members of a shard in one tree; (search, node) pairs and rows handled at once in a task.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())],
                                              names=["doc_id", "fingerprint"])
 
-    return given.mapInArrow(run, given.select("doc_id").schema.add("fingerprint", "long"))
+    return in_arrow(given, run, given.select("doc_id").schema.add("fingerprint", "long"))
 
 
 # --- BK-trees --------------------------------------------------------------
@@ -188,7 +188,7 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
         if size:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.mapInArrow(run, "fingerprint long, other long")
+    return in_arrow(rows, run, "fingerprint long, other long")
 
 
 def to_shards(prints: DataFrame, radius: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geolex.llm.common import cut, held_out, table
+from geolex.llm.common import cut, held_out, ship, table
 
 SAMPLE_ROWS = 256
 DICTIONARY, ALL_DICTIONARIES = 64 << 10, 16 << 20
@@ -67,6 +67,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
         picked = b"".join(segments[int(i * step)] for i in range(int(len(segments) / step)))
         return rows.iloc[:1][["lang"]].assign(dictionary=[picked[:DICTIONARY]])
 
+    ship(docs.sparkSession)
     built = chosen.groupBy("lang").applyInPandas(build, "lang string, dictionary binary")
     size = min(DICTIONARY, ALL_DICTIONARIES // max(1, built.select("lang").distinct().count()))
     made = built.select("lang", F.substring("dictionary", 1, size).alias("dictionary"))
@@ -97,6 +98,7 @@ class Judge:
 
 def language(spark: SparkSession, dictionaries: dict[str, bytes], text: Column) -> Column:
     """struct(lang, score, margin) of each text."""
+    ship(spark)
     shipped = spark.sparkContext.broadcast(dictionaries)
 
     @F.pandas_udf("lang string, score double, margin double")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import table
+from geolex.llm.common import in_arrow, table
 
 # --- fixed values: the patterns of the contract ------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -185,7 +185,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [spans(t.as_py().decode("utf-8", "replace")) for t in batch.column(len(others))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*others, "spans"])
 
-    return given.mapInArrow(run, schema)
+    return in_arrow(given, run, schema)
 
 
 def listing(found: Column) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import table
+from geolex.llm.common import in_arrow, table
 
 #: Characters handled at once in a task (more if one text has more), and slices
 #: that the cache may hold.
@@ -338,7 +338,7 @@ def with_column(df: DataFrame, name: str, source: str, one_batch) -> DataFrame:
             made = pa.array(one_batch(batch.column(len(others)).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*others, name])
 
-    return given.mapInArrow(run, schema)
+    return in_arrow(given, run, schema)
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

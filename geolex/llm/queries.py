@@ -12,6 +12,7 @@ from geolex.llm import (
     op3_exact_dedup,
     op5_language_id,
     op6_secret_scan,
+    op8_quality_crf,
     op9_byte_bpe,
 )
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
         "op5_language_id": op5_language_id.op5_language_id,
         "op6_secret_scan": op6_secret_scan.op6_secret_scan,
+        "op8_quality_crf": op8_quality_crf.op8_quality_crf,
         "op9_byte_bpe": op9_byte_bpe.op9_byte_bpe,
     }
 
