@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geolex.llm import (
     op1_simhash_near_dedup,
+    op10_inverted_multi_index,
     op2_mix_sources,
     op3_exact_dedup,
     op5_language_id,
     op6_secret_scan,
+    op7_token_counts,
     op8_quality_crf,
     op9_byte_bpe,
 )
@@ -24,8 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
         "op5_language_id": op5_language_id.op5_language_id,
         "op6_secret_scan": op6_secret_scan.op6_secret_scan,
+        "op7_token_counts": op7_token_counts.op7_token_counts,
         "op8_quality_crf": op8_quality_crf.op8_quality_crf,
         "op9_byte_bpe": op9_byte_bpe.op9_byte_bpe,
+        "op10_inverted_multi_index": op10_inverted_multi_index.op10_inverted_multi_index,
     }
 
 
@@ -33,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": op2_mix_sources.ORACLE_SQL,
         "op3_exact_dedup": op3_exact_dedup.ORACLE_SQL,
+        "op10_inverted_multi_index": op10_inverted_multi_index.ORACLE_SQL,
     }
