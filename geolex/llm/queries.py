@@ -11,6 +11,7 @@ from geolex.llm import (
     op10_inverted_multi_index,
     op2_mix_sources,
     op3_exact_dedup,
+    op4_license_scan,
     op5_language_id,
     op6_secret_scan,
     op7_token_counts,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup.op1_simhash_near_dedup,
         "op2_mix_sources": op2_mix_sources.op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup.op3_exact_dedup,
+        "op4_license_scan": op4_license_scan.op4_license_scan,
         "op5_language_id": op5_language_id.op5_language_id,
         "op6_secret_scan": op6_secret_scan.op6_secret_scan,
         "op7_token_counts": op7_token_counts.op7_token_counts,
@@ -37,5 +39,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": op2_mix_sources.ORACLE_SQL,
         "op3_exact_dedup": op3_exact_dedup.ORACLE_SQL,
+        "op4_license_scan": op4_license_scan.ORACLE_SQL,
         "op10_inverted_multi_index": op10_inverted_multi_index.ORACLE_SQL,
     }
