@@ -19,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as the one struct ``_row``, so that none can clash with the columns
+    an operator adds; ``unpacked`` is the way back."""
+    return docs.select(F.struct(*map(named, docs.columns)).alias("_row"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 _shipped: set[str] = set()
 
 

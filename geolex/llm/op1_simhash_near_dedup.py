@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import cut, in_arrow, partitions, table
+from geolex.llm.common import cut, in_arrow, named, packed, partitions, table, unpacked
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Members of a shard in one tree; (search, node) pairs and rows handled at once in a task.
@@ -63,7 +63,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of every row."""
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    given = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +265,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     found = near_dup_components(docs, shingle, radius, doc_id, text)
     dropped = cut(found.filter(F.col(doc_id) != F.col("component_id"))
                   .select(F.col(doc_id).alias("_dropped")).distinct(), "op1-dropped")
-    return docs.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
+    return unpacked(packed(docs).join(dropped, F.col("_row")[doc_id] == F.col("_dropped"), "left_anti"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

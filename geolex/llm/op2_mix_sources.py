@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import WORD, cut, running_sum, table
+from geolex.llm.common import WORD, cut, named, packed, running_sum, table, unpacked
 
 #: Knots (time, weight) per schedule; the means are 5, 2 and 1.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
@@ -94,9 +94,9 @@ def allot(docs: DataFrame, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS,
     and text), size, source_size, target, taken, and per copy what
     ``copies`` needs."""
     rows = docs.select(
-        F.col(doc_id).alias("_doc"), F.col(source).alias("source"),
-        F.xxhash64(F.col(source), F.col(text)).alias("_key"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        named(doc_id).alias("_doc"), named(source).alias("source"),
+        F.xxhash64(named(source), named(text)).alias("_key"),
+        F.coalesce(F.regexp_count(named(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     units = cut(rows.groupBy("_doc", "_key", "source").agg(
         F.count("*").alias("_rows"), F.max("size").alias("size"))
         .withColumn("_order", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_doc").cast("string"), F.lit("")))
@@ -136,7 +136,6 @@ def mix(docs: DataFrame, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, se
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The training order: ``docs``' columns, one row per copy that the mix takes,
     range-sorted by position."""
-    columns = docs.columns
     plan = allot(docs, schedules, max_repeats, seed, doc_id, text, source)
     last = F.when((F.col("last_words") > 0) & (2 * F.col("last_words") >= F.col("size")), 1).otherwise(0)
     copies = F.explode(F.expr("sequence(0, _n - 1)"))
@@ -147,9 +146,9 @@ def mix(docs: DataFrame, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, se
     start = F.col("_copy") * F.col("source_size") + F.col("_unit_before")
     places = cut(places.select("_doc", "_key", "_copy", position(start, words, schedules).alias("_position")),
                  "op2-places")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(source), F.col(text)))
-    on = F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_row_key") == F.col("_key"))
-    return keyed.join(places, on).orderBy("_position", "_doc", "_key", "_copy").select(*columns)
+    row = F.col("_row")
+    on = row[doc_id].eqNullSafe(F.col("_doc")) & (F.xxhash64(row[source], row[text]) == F.col("_key"))
+    return unpacked(packed(docs).join(places, on).orderBy("_position", "_doc", "_key", "_copy"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,20 +24,20 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import cut, table
+from geolex.llm.common import cut, named, packed, table
 
 #: Rows that a broadcast set may have: length classes, and prefix-hash buckets.
 CLASSES = 1 << 20
 PREFIX_CHARS = 256
 
 
-def with_full_hash(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_full_hash(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with ``_full``: the text's SHA-256 where length and prefix hash
     are shared, null where they prove the text unique."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(text, F.lit(""))
     length = F.octet_length(body)
     length_class = F.least(length, F.lit(CLASSES - 1))
     prefix = F.xxhash64(length, F.substring(body, 1, PREFIX_CHARS))
@@ -60,12 +60,12 @@ def with_full_hash(docs: DataFrame, text: str = "text") -> DataFrame:
             .drop("_shared_length", "_shared_prefix"))
 
 
-def group_keepers(hashed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def group_keepers(hashed: DataFrame) -> DataFrame:
     """One row per full hash: ``_keep`` (largest id), ``_size`` and ``_keep_rows``
     (rows with that id).  Counted by (hash, id) first, then by hash, so a huge
     group is reduced on many tasks."""
-    pairs = hashed.groupBy("_full", F.col(doc_id).alias("_id")).agg(F.count("*").alias("_n"))
-    return pairs.groupBy("_full").agg(
+    pairs = hashed.groupBy("_full", "_id").agg(F.count("*").alias("_n"))
+    return pairs.groupBy(F.col("_full").alias("_group")).agg(
         F.max("_id").alias("_keep"), F.sum("_n").alias("_size"),
         F.coalesce(F.max_by("_n", "_id"), F.sum("_n")).alias("_keep_rows"))
 
@@ -74,15 +74,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept`` and
     the columns named in ``carry``."""
-    rows = cut(with_full_hash(docs, text).select(F.col(doc_id).alias("_doc"), *carry, "_full"), "op3-rows")
-    out = [F.col("_doc").alias(doc_id)]
+    given = docs.select(named(doc_id).alias("_id"), named(text).alias("_text"),
+                        F.struct(F.lit(0).alias("_"), *map(named, carry)).alias("_row"))
+    rows = cut(with_full_hash(given, F.col("_text")).select("_id", "_row", "_full"), "op3-rows")
+    carried = [F.col("_row")[c].alias(c) for c in carry]
     alone = rows.filter("_full IS NULL").select(
-        *out, F.col("_doc").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), *carry)
+        F.col("_id").alias(doc_id), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), *carried)
     shared = rows.filter("_full IS NOT NULL")
-    grouped = shared.join(group_keepers(shared, "_doc"), "_full").select(
-        *out, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
-        F.col("_doc").eqNullSafe(F.col("_keep")).alias("kept"), *carry)
+    grouped = shared.join(group_keepers(shared), F.col("_full") == F.col("_group")).select(
+        F.col("_id").alias(doc_id), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
+        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), *carried)
     return alone.unionByName(grouped)
 
 
@@ -90,16 +92,13 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each group of equal texts.  Rows proved unique by
     length or prefix pass straight through; the others meet their group's
     keeper on (hash, id), which no group makes hot."""
-    columns = docs.columns
-    hashed = with_full_hash(docs, text)
-    rows = cut(hashed.filter("_full IS NOT NULL").select(F.col(doc_id).alias("_doc"), "_full"), "op3-rows")
-    keepers = cut(group_keepers(rows, "_doc").withColumnRenamed("_full", "_group"), "op3-keepers")
+    hashed = with_full_hash(packed(docs), F.col("_row")[text]).withColumn("_id", F.col("_row")[doc_id])
     shared = hashed.filter("_full IS NOT NULL")
-    kept = shared.join(keepers, (F.col("_full") == F.col("_group")) & F.col(doc_id).eqNullSafe(F.col("_keep")))
-    once = kept.filter("_keep_rows = 1").select(*columns)
-    repeated = (kept.filter("_keep_rows > 1").groupBy("_group")
-                .agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*"))
-    return hashed.filter("_full IS NULL").select(*columns).unionByName(once).unionByName(repeated)
+    keepers = cut(group_keepers(cut(shared.select("_id", "_full"), "op3-rows")), "op3-keepers")
+    kept = shared.join(keepers, (F.col("_full") == F.col("_group")) & F.col("_id").eqNullSafe(F.col("_keep")))
+    once = kept.filter("_keep_rows = 1").select("_row.*")
+    repeated = kept.filter("_keep_rows > 1").groupBy("_group").agg(F.first("_row").alias("_row")).select("_row.*")
+    return hashed.filter("_full IS NULL").select("_row.*").unionByName(once).unionByName(repeated)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

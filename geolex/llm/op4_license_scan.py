@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import cut, table
+from geolex.llm.common import cut, named, table
 
 SHINGLE, BANDS, CONTAINED = 5, 16, 0.8
 #: (window length, stride, most shingles in a piece)
@@ -120,7 +120,7 @@ def retrieve(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFr
         return F.concat(*[F.transform(hits(sh, s), lambda key, s=s: F.struct(F.lit(s).alias("scale"), key.alias("key")))
                           for s in wanted if wanted[s]])
 
-    found = docs.select(F.col(doc_id).alias("_doc"), let(hashes(F.col(text)), lambda sh: F.when(
+    found = docs.select(named(doc_id).alias("_doc"), let(hashes(named(text)), lambda sh: F.when(
         F.size(sh) > 0, all_hits(sh))).alias("_hits")).filter(F.size("_hits") > 0)
     pairs = found.select("_doc", F.explode("_hits").alias("_hit")).select("_doc", "_hit.scale", "_hit.key")
     return pairs.join(F.broadcast(keys), ["scale", "key"]).select("_doc", "license").distinct()
@@ -135,7 +135,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, contained: float = CONTA
         F.collect_list(F.struct("license", "shingles")).alias("_templates"))  # one entry per template at most
     have = let(words(F.col("_text")), lambda w: F.coalesce(
         shingles(w, lambda parts: F.concat_ws(" ", *parts)), F.array().cast("array<string>")))
-    rows = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    rows = (docs.select(named(doc_id).alias("_id"), named(text).alias("_text"))
             .join(wanted, F.col("_id").eqNullSafe(F.col("_doc")))
             .select("_id", let(have, lambda sh: F.transform("_templates", lambda t: F.struct(
                 t["license"].alias("license"),

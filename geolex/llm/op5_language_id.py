@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geolex.llm.common import cut, held_out, ship, table
+from geolex.llm.common import cut, held_out, named, packed, ship, table, unpacked
 
 SAMPLE_ROWS = 256
 DICTIONARY, ALL_DICTIONARIES = 64 << 10, 16 << 20
@@ -56,7 +56,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Language to dictionary; ``docs`` has text, lang and doc_id."""
-    chosen = sample(docs.filter(~held_out(F.col("doc_id"))))
+    chosen = sample(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
     chosen = chosen.select("lang", "_h", F.lower("text").cast("binary").alias("text"))
 
     def build(key, rows):
@@ -118,8 +118,8 @@ def rejected(answer: str) -> Column:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id",
              text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, margin, rejected) of every row."""
-    answers = docs.select(F.col(doc_id).alias("doc_id"),
-                          language(docs.sparkSession, dictionaries, F.col(text)).alias("_answer"))
+    answers = docs.select(named(doc_id).alias("doc_id"),
+                          language(docs.sparkSession, dictionaries, named(text)).alias("_answer"))
     return answers.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
                           F.col("_answer.lang").alias("lang_pred"), "_answer.score", "_answer.margin",
                           rejected("_answer").alias("rejected"))
@@ -127,9 +127,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose language is rejected."""
-    columns = docs.columns
-    answers = docs.withColumn("_answer", language(docs.sparkSession, learn(docs), F.col("text")))
-    return answers.filter(~rejected("_answer")).select(*columns)
+    answers = packed(docs).withColumn("_answer", language(docs.sparkSession, learn(docs), F.col("_row")["text"]))
+    return unpacked(answers.filter(~rejected("_answer")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import in_arrow, table
+from geolex.llm.common import in_arrow, named, table
 
 # --- fixed values: the patterns of the contract ------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -174,10 +174,10 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``spans`` in place of the text: kind, start, end, and for lexed ones
     the target's name and the score."""
     others = [c for c in docs.columns if c not in (text, "spans")]
-    given = docs.select(*others, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(text))
+    given = docs.select(*map(named, others), F.coalesce(named(text), F.lit("")).cast("binary").alias(text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                                ("name", pa.string()), ("score", pa.float64())]))
-    schema = given.select(*others).schema.add(
+    schema = given.drop(text).schema.add(
         "spans", "array<struct<kind:string,start:int,end:int,name:string,score:double>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

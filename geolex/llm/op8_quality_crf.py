@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import cut, held_out, in_arrow, table
+from geolex.llm.common import cut, held_out, in_arrow, named, table
 
 SAMPLE_DOCS, SAMPLE_LINES = 1500, 400
 STEPS, RATE, RIDGE = 200, 0.1, 1e-4
@@ -232,8 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Crf | float:
 
 def score_quality(docs: DataFrame, model: Crf | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    given = docs.select(F.col(doc_id).alias("doc_id"),
-                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    given = docs.select(named(doc_id).alias("doc_id"),
+                        F.coalesce(named(text), F.lit("")).cast("binary").alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def runs(texts: list[str]) -> Iterator[list[str]]:

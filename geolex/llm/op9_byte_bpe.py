@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolex.llm.common import in_arrow, table
+from geolex.llm.common import in_arrow, named, table
 
 #: Characters handled at once in a task (more if one text has more), and slices
 #: that the cache may hold.
@@ -330,8 +330,8 @@ def with_column(df: DataFrame, name: str, source: str, one_batch) -> DataFrame:
     """``df`` without ``source``, with a binary column ``name`` that ``one_batch`` makes
     from the list of the source's bytes."""
     others = [c for c in df.columns if c not in (source, name)]
-    given = df.select(*others, F.col(source).cast("binary").alias(source))
-    schema = given.select(*others).schema.add(name, "binary")
+    given = df.select(*map(named, others), named(source).cast("binary").alias(source))
+    schema = given.drop(source).schema.add(name, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,12 +363,14 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     return with_column(df, "decoded", "ids", one_batch)
 
 
-def encoded_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes, decodes again, and keeps counts and digests of both."""
-    ids = encode(docs.select(doc_id, text), text)
-    ids = ids.select(doc_id, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                     F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(ids).select(doc_id, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def encoded_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encodes, decodes again, and keeps counts and digests of both (and the ids)."""
+    ids = encode(docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")))
+    kept = [F.col("ids").alias("kept_ids")] if keep_ids else []
+    ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                     F.sha2("ids", 256).alias("ids_sha256"), "ids", *kept)
+    return decode(ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"),
+                              *[F.col("kept_ids").alias("ids")] * keep_ids)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
