@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geolex.llm.common import in_arrow, named, table
 
@@ -66,6 +67,9 @@ LEXEME = re.compile(r"""
 #: A bare value ends the line or meets a delimiter; none is longer than 4096.
 BARE = re.compile(r"[\x20\t]*([^\s\"'`,;#(){}\[\]<>]{1,4096}+)[\x20\t]*(?=$|[,;}#])")
 
+#: A bare value that may be a name: a reference, unless it has a digit and nothing has that name.
+REFERENCE = re.compile(r"[A-Za-z_]+(?:[.-]?[A-Za-z_]+)*|\$\{?\w+\}?")
+
 Literal = tuple[str, int, int]  # value, start, end
 
 
@@ -96,7 +100,7 @@ def assignments(line: str, at: int) -> Iterator[tuple[str, list[Literal | str]]]
                 i += 1  # name: type = value
                 continue
             terms, more = [], True
-            if (bare := BARE.match(line, m.end())) and not re.fullmatch(r"[A-Za-z_][\w.-]*|\$\{?\w+\}?", bare[1]):
+            if (bare := BARE.match(line, m.end())) and not REFERENCE.fullmatch(bare[1]):
                 terms.append((bare[1], at + bare.start(1), at + bare.end(1)))
                 while i < len(tokens) and tokens[i][1].start() < bare.end():
                     i += 1
@@ -146,13 +150,16 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
         worth = sensitivity(target)
         if not worth:
             continue
-        literals, names, seen = [t for t in terms if isinstance(t, tuple)], [t for t in terms if isinstance(t, str)], set()
-        while names:
-            name = names.pop()
-            if name in known and name not in seen:
-                seen.add(name)
-                literals += [t for t in known[name] if isinstance(t, tuple)]
-                names += [t for t in known[name] if isinstance(t, str)]
+        literals, todo, seen = [], list(terms), set()
+        while todo:
+            term = todo.pop(0)
+            name = term if isinstance(term, str) else term[0]
+            if name in known:
+                if name not in seen:
+                    seen.add(name)
+                    todo += known[name]
+            elif isinstance(term, tuple):
+                literals.append(term)
         whole = "".join(v for v, _, _ in literals)
         for value, start, end in literals:
             score = worth + max(randomness(value), randomness(whole) * 0.9)
@@ -177,8 +184,10 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     given = docs.select(*map(named, others), F.coalesce(named(text), F.lit("")).cast("binary").alias(text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                                ("name", pa.string()), ("score", pa.float64())]))
-    schema = given.drop(text).schema.add(
-        "spans", "array<struct<kind:string,start:int,end:int,name:string,score:double>>")
+    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
+                         T.StructField("end", T.IntegerType()), T.StructField("name", T.StringType()),
+                         T.StructField("score", T.DoubleType())])
+    schema = given.drop(text).schema.add("spans", T.ArrayType(span))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
