@@ -54,18 +54,7 @@ def corr_p_value(r: Column | str, n: Column | str) -> Column:
     )
 
 
-def fraction(pct: Column | str) -> Column:
-    """M1: percent -> fraction."""
-    return _c(pct) / F.lit(100.0)
-
-
 def argmax_first(scores: Column | str) -> Column:
     """0-based index of the maximum, first index on ties."""
     s = _c(scores)
     return (F.array_position(s, F.array_max(s)) - 1).cast("int")
-
-
-def mean_abs_error(pred: Column | str, truth: Column | str) -> Column:
-    """M5: mean absolute difference of two equal-length vectors."""
-    diffs = F.zip_with(_c(pred), _c(truth), lambda p, y: F.abs(p - y))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d) / F.size(diffs)

@@ -30,20 +30,25 @@ PLACE_DESIGNATORS = ("county", "borough", "municipio", "municipality", "census",
 # URL token: any token containing http:// or https:// (one or more slashes).
 URL_PATTERN = r"https?://+"
 
-# Emoji code points, as ranges (the reference used a third-party emoji set;
-# these are the Unicode emoji blocks plus the BMP symbols with emoji style).
-EMOJI_RANGES = (
-    r"\x{00A9}", r"\x{00AE}", r"\x{203C}", r"\x{2049}", r"\x{2122}", r"\x{2139}",
-    r"\x{2194}-\x{2199}", r"\x{21A9}-\x{21AA}", r"\x{231A}-\x{231B}", r"\x{2328}",
-    r"\x{23CF}", r"\x{23E9}-\x{23F3}", r"\x{23F8}-\x{23FA}", r"\x{24C2}",
-    r"\x{25AA}-\x{25AB}", r"\x{25B6}", r"\x{25C0}", r"\x{25FB}-\x{25FE}",
-    r"\x{2600}-\x{27BF}", r"\x{2934}-\x{2935}", r"\x{2B05}-\x{2B07}",
-    r"\x{2B1B}-\x{2B1C}", r"\x{2B50}", r"\x{2B55}", r"\x{3030}", r"\x{303D}",
-    r"\x{3297}", r"\x{3299}", r"\x{1F004}", r"\x{1F0CF}", r"\x{1F170}-\x{1F251}",
-    r"\x{1F300}-\x{1F64F}", r"\x{1F680}-\x{1F6FF}", r"\x{1F7E0}-\x{1F7EB}",
-    r"\x{1F900}-\x{1F9FF}", r"\x{1FA70}-\x{1FAFF}",
-)
-EMOJI_CLASS = "[" + "".join(EMOJI_RANGES) + "]"
+# Code points with the Unicode property Emoji, without the ASCII digits, '#' and '*' that carry it too.
+EMOJI_POINTS = """
+00A9 00AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2
+25AA-25AB 25B6 25C0 25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A
+262E-262F 2638-263A 2640 2642 2648-2653 265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697
+2699 269B-269C 26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE 26C4-26C5 26C8 26CE-26CF 26D1
+26D3-26D4 26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712 2714 2716 271D 2721
+2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF 2934-2935
+2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F004 1F0CF 1F170-1F171 1F17E-1F17F 1F18E
+1F191-1F19A 1F1E6-1F1FF 1F201-1F202 1F21A 1F22F 1F232-1F23A 1F250-1F251 1F300-1F321 1F324-1F393
+1F396-1F397 1F399-1F39B 1F39E-1F3F0 1F3F3-1F3F5 1F3F7-1F4FD 1F4FF-1F53D 1F549-1F54E 1F550-1F567
+1F56F-1F570 1F573-1F57A 1F587 1F58A-1F58D 1F590 1F595-1F596 1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC
+1F5C2-1F5C4 1F5D1-1F5D3 1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA-1F64F 1F680-1F6C5
+1F6CB-1F6D2 1F6D5-1F6D9 1F6DC-1F6E5 1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0
+1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FAC6 1FAC8 1FACC-1FADD 1FADF-1FAEB
+1FAEF-1FAFA
+"""
+EMOJI_CLASS = "[" + "".join(
+    "-".join(rf"\x{{{point}}}" for point in span.split("-")) for span in EMOJI_POINTS.split()) + "]"
 
 # Characters kept at both ends of a word by ``trim_word`` (D8: ASCII only).
 WORD_EDGE_KEEP = "A-Za-z0-9@"
@@ -63,11 +68,11 @@ def collapse_tail(col: Column | str) -> Column:
 
 
 def place_name(col: Column | str) -> Column:
-    """Canonical place name: strip designators, lower, drop spaces, T1.
+    """Canonical place name: strip designators (whole words), lower, drop spaces, T1.
 
     Empty results become null so '' never matches a gazetteer row.
     """
-    pattern = "(?i)(" + "|".join(PLACE_DESIGNATORS) + ")"
+    pattern = r"(?i)\b(" + "|".join(PLACE_DESIGNATORS) + r")\b"
     x = F.regexp_replace(_c(col), pattern, "")
     x = F.replace(F.lower(x), F.lit(" "), F.lit(""))
     return F.nullif(collapse_tail(x), F.lit(""))

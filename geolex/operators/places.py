@@ -10,8 +10,8 @@ sort-merge join (and AQE splits a skewed partition of it).
 The nearest-zip search (J3) is a grid-cell equi join: the sphere is cut
 into cells at least as tall as the search radius; each zip centroid is
 replicated to the cells its radius can reach (exactly, by latitude), then
-the haversine filter and a per-point minimum finish the job.  No cross join,
-no pairs beyond the neighbouring cells.
+each point finds the nearest of its cell's candidates by haversine.  No cross
+join, no pairs beyond the neighbouring cells.
 """
 
 from __future__ import annotations
@@ -188,86 +188,86 @@ def point_cells(lat: Column, lon: Column, radius_miles: float) -> tuple[Column,
     return _cell_y(lat, size), _cell_x(lon, size, n_lon)
 
 
-def nearest_zip(points: DataFrame, centroids: DataFrame, radius_miles: float = 10.0,
-                id_cols: Sequence[str] = ("point_id",)) -> DataFrame:
-    """For each point ``(id..., lat, lon)`` the nearest zip centroid
-    ``(zip, lat, lon)`` within ``radius_miles``: ``(id..., zip, dist)``;
-    ties go to the smaller zip.  Points with no zip in range are absent.
-
-    Shuffle form: equi join on the grid cell, haversine filter, per-point
-    minimum (partial aggregation; AQE splits a hot cell)."""
-    cy, cx = point_cells(F.col("lat"), F.col("lon"), radius_miles)
-    p = points.select(*id_cols, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
-                      cy.alias("cy"), cx.alias("cx"))
-    pairs = p.join(centroid_cells(centroids, radius_miles), ["cy", "cx"])
-    dist = haversine_miles(F.col("p_lat"), F.col("p_lon"), F.col("c_lat"), F.col("c_lon"))
-    near = pairs.select(*id_cols, "zip", dist.alias("dist")).filter(F.col("dist") <= radius_miles)
-    best = near.groupBy(*id_cols).agg(F.min(F.struct("dist", "zip")).alias("_b"))
-    return best.select(*id_cols, F.col("_b.zip").alias("zip"), F.col("_b.dist").alias("dist"))
-
-
 def cell_candidates(centroids: DataFrame, radius_miles: float) -> DataFrame:
-    """``(cy, cx, _cands)``: the centroids reachable from each cell as one
-    array per cell, for the broadcast (per-row) nearest-zip lookup."""
-    cells = centroid_cells(centroids, radius_miles)
-    return cells.groupBy("cy", "cx").agg(
-        F.collect_list(F.struct("zip", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"))).alias("_cands"))
+    """``(cy, cx, _cands)``: the centroids reachable from each cell as one array per
+    cell, one per distinct coordinate (the smallest zip).  A ``fips`` column of the
+    centroids is carried along (null: unknown)."""
+    known = F.col("fips") if "fips" in centroids.columns else F.lit(None).cast("long")
+    first = centroids.groupBy("lat", "lon").agg(F.min(F.struct("zip", known.alias("fips"))).alias("_z"))
+    spots = first.select(F.col("_z.zip").alias("zip"), F.col("_z.fips").alias("fips"), "lat", "lon")
+    cells = centroid_cells(spots.select(F.struct("zip", "fips").alias("zip"), "lat", "lon"), radius_miles)
+    return cells.groupBy("cy", "cx").agg(F.collect_list(F.struct(
+        "zip.zip", "zip.fips", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"))).alias("_cands"))
 
 
 def nearest_in_candidates(lat: Column, lon: Column, cands: Column, radius_miles: float) -> Column:
-    """``struct(dist, zip)`` of the nearest candidate within the radius (null if none)."""
+    """``struct(dist, zip, fips)`` of the nearest candidate within the radius (null if
+    none); ties go to the smaller zip."""
     scored = F.transform(cands, lambda c: F.struct(
-        haversine_miles(lat, lon, c["lat"], c["lon"]).alias("dist"), c["zip"].alias("zip")))
+        haversine_miles(lat, lon, c["lat"], c["lon"]).alias("dist"), c["zip"].alias("zip"), c["fips"].alias("fips")))
     return F.array_min(F.filter(scored, lambda s: s["dist"] <= radius_miles))
 
 
+def with_nearest(points: DataFrame, lat: Column, lon: Column, centroids: DataFrame, radius_miles: float) -> DataFrame:
+    """``points`` with ``_near`` = struct(dist, zip, fips) of the nearest zip centroid
+    within ``radius_miles``, null if there is none.
+
+    One plan for every size: an equi join of each point's grid cell with the
+    cell's candidates, whose strategy is the planner's (a broadcast where the
+    cells are measured small, else a shuffle join that AQE splits at a hot
+    cell).  The nearest one is found inside the joined row."""
+    cy, cx = point_cells(lat, lon, radius_miles)
+    return (points.withColumn("cy", cy).withColumn("cx", cx)
+            .join(cell_candidates(centroids, radius_miles), ["cy", "cx"], "left")
+            .withColumn("_near", nearest_in_candidates(lat, lon, F.col("_cands"), radius_miles))
+            .drop("cy", "cx", "_cands"))
+
+
+def nearest_zip(points: DataFrame, centroids: DataFrame, radius_miles: float = 10.0,
+                id_cols: Sequence[str] = ("point_id",)) -> DataFrame:
+    """For each point ``(id..., lat, lon)`` the nearest zip centroid
+    ``(zip, lat, lon)``: ``(id..., zip, dist)``.  Points with no zip in range are
+    absent."""
+    near = with_nearest(points.select(*id_cols, "lat", "lon"), F.col("lat"), F.col("lon"), centroids, radius_miles)
+    return near.filter(F.col("_near").isNotNull()).select(
+        *id_cols, F.col("_near.zip").alias("zip"), F.col("_near.dist").alias("dist"))
+
+
 # ------------------------------------------------------------ resolution ---
 def resolve_places(posts: DataFrame, names: DataFrame, zips_one: DataFrame | None = None,
                    centroids: DataFrame | None = None, known_fips: DataFrame | None = None,
-                   radius_miles: float = 10.0, id_cols: Sequence[str] = ("post_id",),
-                   broadcast_cells_limit: int = 1_000_000) -> DataFrame:
-    """``fips`` and ``resolved_by`` for every post.
+                   radius_miles: float = 10.0) -> DataFrame:
+    """``fips``, ``resolved_by`` and the nearest ``zip`` for every post.
 
     Priority county name -> state name -> coordinates; coordinates count
-    only when neither name matched.  A coordinate match needs the zip's
-    county to exist in ``known_fips`` (J4); otherwise the post stays
-    unresolved (``fips`` null, filtered by P6).
-
-    Coordinates: the centroid-cell table (sized by the zip table, not by the
-    posts) is counted first.  Within ``broadcast_cells_limit`` rows it is
-    broadcast as one candidate array per cell and every post finds its zip
-    in the same pass (no shuffle of posts, posts read once).  Beyond the
-    limit the posts needing coordinates go through the shuffle join
-    (``nearest_zip``) and are joined back by ``id_cols``.
+    only when neither name matched.  The nearest zip decides, even if its
+    county is not in ``known_fips`` (J4): then the post has a ``zip`` but no
+    ``fips`` (counted by ``unmatched_zips``, filtered by P6).
+
+    Posts resolved by name, or without coordinates, only meet the gazetteer.
+    The others, and only they, are joined on their grid cell (never null);
+    each zip's county is attached to the candidates before, so no post is
+    joined on a zip.  Rows need no id.
     """
     county = names.select(F.col("name").alias("county"), F.col("fips").alias("_f_county"))
     state = names.select(F.col("name").alias("state"), F.col("fips").alias("_f_state"))
     r = posts.join(county, "county", "left").join(state, "state", "left")
-    if zips_one is not None and centroids is not None:
-        cents = centroids.select(F.col("zip").cast("string").alias("zip"), "lat", "lon")
-        need = (F.col("_f_county").isNull() & F.col("_f_state").isNull() & F.col("coordinates").isNotNull()
-                & F.get("coordinates", 0).isNotNull() & F.get("coordinates", 1).isNotNull())
-        lat, lon = F.get("coordinates", 0), F.get("coordinates", 1)
-        zf = zips_one.select("zip", F.col("fips").alias("_zf"))
-        if known_fips is not None:
-            zf = zf.join(known_fips.select(F.col("fips").alias("_zf")).distinct(), "_zf", "left_semi")
-        if centroid_cells(cents, radius_miles).count() <= broadcast_cells_limit:
-            cy, cx = point_cells(lat, lon, radius_miles)
-            r = (r.withColumn("_cy", F.when(need, cy)).withColumn("_cx", F.when(need, cx))
-                 .join(F.broadcast(cell_candidates(cents, radius_miles)
-                                   .withColumnRenamed("cy", "_cy").withColumnRenamed("cx", "_cx")),
-                       ["_cy", "_cx"], "left")
-                 .withColumn("_zip", nearest_in_candidates(lat, lon, F.col("_cands"), radius_miles)["zip"])
-                 .drop("_cy", "_cx", "_cands"))
-            r = (r.join(zf.withColumnRenamed("zip", "_zip"), "_zip", "left")
-                 .withColumnRenamed("_zf", "_f_coord").drop("_zip"))
-        else:
-            pts = r.filter(need).select(*id_cols, lat.alias("lat"), lon.alias("lon"))
-            near = nearest_zip(pts, cents, radius_miles, id_cols)
-            by_zip = near.join(zf, "zip").select(*id_cols, F.col("_zf").alias("_f_coord"))
-            r = r.join(by_zip, list(id_cols), "left")
+    lat, lon = F.get("coordinates", 0), F.get("coordinates", 1)
+    none = F.lit(None)
+    if zips_one is None or centroids is None:
+        r = r.withColumn("_f_coord", none.cast("long")).withColumn("zip", none.cast("string"))
     else:
-        r = r.withColumn("_f_coord", F.lit(None).cast("long"))
+        zips = zips_one.select("zip", "fips")
+        if known_fips is not None:
+            zips = zips.join(known_fips.select("fips").distinct(), "fips", "left_semi")
+        spots = (centroids.select(F.col("zip").cast("string").alias("zip"), "lat", "lon")
+                 .join(zips, "zip", "left"))
+        by_name = F.col("_f_county").isNotNull() | F.col("_f_state").isNotNull()
+        need = F.coalesce(~by_name & lat.isNotNull() & lon.isNotNull(), F.lit(False))
+        rest = r.filter(~need).withColumn("_f_coord", none.cast("long")).withColumn("zip", none.cast("string"))
+        near = with_nearest(r.filter(need), lat, lon, spots, radius_miles)
+        near = (near.withColumn("_f_coord", F.col("_near.fips")).withColumn("zip", F.col("_near.zip")).drop("_near"))
+        r = rest.unionByName(near)
     resolved_by = (F.when(F.col("_f_county").isNotNull(), "county")
                    .when(F.col("_f_state").isNotNull(), "state")
                    .when(F.col("_f_coord").isNotNull(), "coordinates"))
@@ -276,6 +276,7 @@ def resolve_places(posts: DataFrame, names: DataFrame, zips_one: DataFrame | Non
             .drop("_f_county", "_f_state", "_f_coord"))
 
 
-def attach_levels(df: DataFrame, levels: DataFrame, key: str = "fips") -> DataFrame:
-    """Attach ``education_level_1..4`` by FIPS (resolved posts only)."""
-    return df.join(levels, key, "inner")
+def unmatched_zips(resolved: DataFrame) -> DataFrame:
+    """J4's counter: posts (``n_posts``) and zips (``n_zips``) whose county is unknown."""
+    lost = resolved.filter(F.col("zip").isNotNull() & F.col("fips").isNull())
+    return lost.agg(F.count(F.lit(1)).alias("n_posts"), F.countDistinct("zip").alias("n_zips"))

@@ -15,17 +15,18 @@ def classify(user_words: DataFrame, users: DataFrame, model_wide: DataFrame,
     """score = sum(share * slope_k) over the user's words (J8 + M4);
     predicted level = first argmax (W7).
 
-    Every word row of a user survives the left join to the model (an absent
-    word weighs 0), so one aggregate yields a score row for each user with
-    words, including users whose words all miss the model (level 0).  Users
-    without any word never appear in ``user_words`` and are not classified
-    (P12); the inner join to ``users`` attaches their other columns.
+    ``user_words`` is ``(key, word, cnt)``.  The score is linear in the shares,
+    so sum(cnt * slope_k) / sum(cnt) needs no join of per-user totals: one
+    left join on the word (only words with a weight; an absent word weighs 0)
+    and one aggregate.  Users whose words all miss the model score 0 (level 0);
+    users without any word never appear and are not classified (P12); the
+    inner join to ``users`` attaches their other columns.
     """
-    weights = model_wide.select("word", *[F.col(f"slope_{k}") for k in LEVELS])
-    scored = (user_words.join(weights, "word", "left")
-              .groupBy(key)
-              .agg(*[F.sum(F.col("share") * F.coalesce(F.col(f"slope_{k}"), F.lit(0.0))).alias(f"score_{k}")
-                     for k in LEVELS]))
+    slopes = [F.col(f"slope_{k}") for k in LEVELS]
+    weights = model_wide.select("word", *slopes).filter(F.greatest(*[F.abs(s) for s in slopes]) > 0)
+    scored = (user_words.join(weights, "word", "left").groupBy(key)
+              .agg(*[(F.sum(F.col("cnt") * F.coalesce(F.col(f"slope_{k}"), F.lit(0.0))) / F.sum("cnt"))
+                     .alias(f"score_{k}") for k in LEVELS]))
     out = users.join(scored, key, "inner")
     scores = F.array(*[F.col(f"score_{k}") for k in LEVELS])
     return out.select(*users.columns, *[F.col(f"score_{k}") for k in LEVELS],

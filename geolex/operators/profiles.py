@@ -82,10 +82,15 @@ def rollup_counts(counts: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key, "word").agg(F.sum("cnt").alias("cnt"))
 
 
-def shares(counts: DataFrame, key: str) -> DataFrame:
+def shares(counts: DataFrame, key: str, few_keys: bool = False) -> DataFrame:
     """``share = cnt / sum(cnt) over key`` without a window (no skewed
-    single-key task): totals are an aggregate joined back."""
+    single-key task): totals are an aggregate joined back.
+
+    ``few_keys`` (regions): the totals, one row per key, are written first, so
+    the planner sees their size and the counts are not exchanged on the key."""
     totals = counts.groupBy(key).agg(F.sum("cnt").alias("_total"))
+    if few_keys:
+        totals = materialize(totals, f"{key}_totals")
     return (counts.join(totals, key)
             .select(key, "word", "cnt", (F.col("cnt") / F.col("_total")).alias("share")))
 
@@ -105,7 +110,7 @@ def region_totals(persons: DataFrame, key: str = "fip") -> DataFrame:
     )
 
 
-def profile_words(persons: DataFrame, key: str, cut: bool = False) -> DataFrame:
+def profile_words(persons: DataFrame, key: str, cut: bool = False, few_keys: bool = False) -> DataFrame:
     """A2/A3 words: share of each word of ``filtered_text`` per ``key``.
 
     With ``cut`` the ``(key, word, cnt)`` table is written once to the
@@ -117,15 +122,16 @@ def profile_words(persons: DataFrame, key: str, cut: bool = False) -> DataFrame:
     counts = word_counts(persons, key, "filtered_text")
     if cut:
         counts = materialize(counts, f"{key}_word_counts")
-    return shares(counts, key)
+    return shares(counts, key, few_keys)
 
 
 def profile_totals(persons: DataFrame, key: str, order_col: str | None = None,
                    carry: Sequence[str] = ()) -> DataFrame:
     """A2/A3 totals: tweet count, average url / emoji per tweet, levels.
 
-    Levels and ``carry`` columns (e.g. the user's fip) are taken from the
-    latest record by ``order_col`` (D12), deterministic under any shuffle.
+    Levels and ``carry`` columns (e.g. the user's fip) all come from one
+    record, the latest by ``order_col`` (D12); of records with the same order
+    the one with the largest (carry, levels) values, so no shuffle matters.
     """
     agg = [F.count(F.lit(1)).alias("tweet_count"),
            F.avg("url_count").alias("avg_url_count"),
@@ -133,5 +139,9 @@ def profile_totals(persons: DataFrame, key: str, order_col: str | None = None,
     if order_col is None:
         agg += [F.max(c).alias(c) for c in (*LEVEL_COLUMNS, *carry)]
     else:
-        agg += [F.max_by(c, F.col(order_col)).alias(c) for c in (*LEVEL_COLUMNS, *carry)]
-    return persons.groupBy(key).agg(*agg)
+        agg.append(F.max(F.struct(order_col, *carry, *LEVEL_COLUMNS)).alias("_last"))
+    out = persons.groupBy(key).agg(*agg)
+    if order_col is not None:
+        out = out.select(key, "tweet_count", "avg_url_count", "avg_emoji_count",
+                         *[F.col("_last")[c].alias(c) for c in (*LEVEL_COLUMNS, *carry)])
+    return out

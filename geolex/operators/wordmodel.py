@@ -17,13 +17,18 @@ from pyspark.sql.window import Window
 
 from geolex.functions import stats as st
 from geolex.functions import text as tx
+from geolex.session import materialize
 
 LEVELS = (0, 1, 2, 3)
 
 
-def drop_stop_words(words: DataFrame, stop_words: Iterable[str], col: str = "word") -> DataFrame:
+def drop_stop_words(words: DataFrame, stop_words: Iterable[str] | DataFrame, col: str = "word") -> DataFrame:
     """P10: remove stop words; the typographic apostrophe is normalised for
-    the comparison only (T13)."""
+    the comparison only (T13).  A table of stop words (column ``word``) is an
+    anti join, whatever its size; a list is an array literal."""
+    if isinstance(stop_words, DataFrame):
+        stop = stop_words.select(F.col("word").alias("_stop"))
+        return words.join(stop, tx.ascii_apostrophe(col) == F.col("_stop"), "left_anti")
     stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
     return words.filter(~F.array_contains(stop, tx.ascii_apostrophe(col)))
 
@@ -38,7 +43,7 @@ def observations(words: DataFrame, targets: DataFrame, stop_words: Iterable[str]
     (D7, P11); trimmed duplicates stay separate observations (R2).
     """
     w = words.select(key, "word", F.col("share").alias("x"))
-    if stop_words:
+    if isinstance(stop_words, DataFrame) or stop_words:
         w = drop_stop_words(w, stop_words)
     if trim:
         w = (w.withColumn("word", tx.trim_word("word"))
@@ -46,6 +51,17 @@ def observations(words: DataFrame, targets: DataFrame, stop_words: Iterable[str]
     return w.join(targets, key)
 
 
+def tested_words(obs: DataFrame, min_n: int, *aggs) -> DataFrame:
+    """A5: the words with more than ``min_n`` observations: ``(word, count, aggs...)``."""
+    counted = obs.groupBy("word").agg(F.count(F.lit(1)).alias("count"), *aggs)
+    return counted.filter(F.col("count") > min_n)
+
+
+def bonferroni_factor(tested: DataFrame) -> DataFrame:
+    """The number of tested words, as one row ``(m)``."""
+    return tested.agg(F.count(F.lit(1)).alias("m"))
+
+
 def fit_word_model(obs: DataFrame, min_n: int = 3, alpha: float = 0.05, min_slope: float = 0.1,
                    bonferroni: bool = True, gate: bool = True) -> DataFrame:
     """``(word, level, slope, pval, count)``.
@@ -54,16 +70,20 @@ def fit_word_model(obs: DataFrame, min_n: int = 3, alpha: float = 0.05, min_slop
     * R1: slope = r = covar_pop / (stddev_pop x * stddev_pop y); null when
       either side is constant (D14);
     * R3: two-sided p-value with n-2 degrees of freedom;
-    * A6/R4: p multiplied by the number of tested words (uncapped);
+    * A6/R4: p multiplied by the number of tested words (uncapped); the
+      per-word aggregates are written once, as both the model and the number
+      of words read them;
     * R5: slope set to 0 when corrected p > alpha or slope < min_slope.
     """
-    aggs = [F.count(F.lit(1)).alias("count"), F.stddev_pop("x").alias("sx"),
+    aggs = [F.stddev_pop("x").alias("sx"),
             F.min("x").alias("minx"), F.max("x").alias("maxx")]
     for k in LEVELS:
         y = f"y{k}"
         aggs += [F.covar_pop("x", y).alias(f"c{k}"), F.stddev_pop(y).alias(f"s{k}"),
                  F.min(y).alias(f"lo{k}"), F.max(y).alias(f"hi{k}")]
-    per_word = obs.groupBy("word").agg(*aggs).filter(F.col("count") > min_n)
+    per_word = tested_words(obs, min_n, *aggs)
+    if bonferroni:
+        per_word = materialize(per_word, "per_word")
 
     def slope(k):
         ok = (F.col("minx") < F.col("maxx")) & (F.col(f"lo{k}") < F.col(f"hi{k}"))
@@ -73,9 +93,9 @@ def fit_word_model(obs: DataFrame, min_n: int = 3, alpha: float = 0.05, min_slop
     model = per_word.select("word", "count", F.inline(rows))
     model = model.withColumn("pval", st.corr_p_value("slope", "count"))
     if bonferroni:
-        # One-row aggregate, broadcast to every partition (1-row cross join).
-        m = per_word.agg(F.count(F.lit(1)).alias("_m"))
-        model = model.crossJoin(F.broadcast(m)).withColumn("pval", F.col("pval") * F.col("_m"))
+        # one-row aggregate, broadcast to every partition (1-row cross join)
+        m = bonferroni_factor(per_word)
+        model = model.crossJoin(F.broadcast(m)).withColumn("pval", F.col("pval") * F.col("m"))
     if gate:
         drop = F.col("slope").isNull() | (F.col("pval") > alpha) | (F.col("slope") < min_slope)
         model = model.withColumn("slope", F.when(drop, F.lit(0.0)).otherwise(F.col("slope")))

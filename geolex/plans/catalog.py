@@ -20,7 +20,7 @@ from geolex.plans import jobs as J
 from geolex.plans import standins as S
 from geolex.sources import readers
 from geolex.session import materialize
-from geolex.sources.schemas import LEVEL_COLUMNS
+from geolex.sources.schemas import ATTAINMENT_VALUE_COLUMNS, LEVEL_COLUMNS
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def _customer_names(spark, d):
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
 
 
-SUFFIXES = ("", " County", " Census Area", " Borough", " Municipio", " municipality")
+SUFFIXES = ("", " County", " Census Area", " Borough", " Municipio", " municipality", " Countyline Road")
 
 
 def _suffix(k):
@@ -186,24 +186,79 @@ def q_p3(spark, d):
     return flat.select("post_id", "user_id", "location")
 
 
-@query("s2_list_files")
-def q_s2(spark, d):
-    files = readers.list_files(spark, d, "*.parquet")
-    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table"))
+def _post_files(spark, d):
+    """Raw posts as JSON-lines files in nested folders, with delete notices."""
+    path = J.sink_path(spark, "posts")
+    lines = S.raw_post_json(spark, d)
+    deleted = lines.select("user_id", F.concat(F.lit('{"delete":{"id":'), F.col("user_id").cast("string"), F.lit("}}"))
+                           .alias("value")).distinct()
+    both = lines.select("user_id", "value").unionByName(deleted)
+    (both.select("value", (F.col("user_id") % 3).alias("day"), (F.col("user_id") % 2).alias("hour"))
+     .write.partitionBy("day", "hour").text(path))
+    return readers.read_posts(spark, path, recursive=True)
 
 
-def _sink_dir(spark, name):
-    import os
-    import uuid
-    from geolex.session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex}")
+@query("s1_read_posts")
+def q_s1(spark, d):
+    """S1 + S3: nested JSON-lines files -> posts (lines that are none are dropped)."""
+    posts = _post_files(spark, d)
+    return posts.filter("user IS NOT NULL").select(
+        F.col("user.id").alias("user_id"), F.col("user.lang").alias("lang"), F.col("user.location").alias("location"),
+        "created_at", "text")
+
+
+@query("s3_corrupt_lines")
+def q_s3c(spark, d):
+    """Corrupt lines, and valid lines without a post, of the same files."""
+    return _post_files(spark, d).agg(
+        F.count_if(F.col("_corrupt").isNotNull()).alias("n_corrupt"),
+        F.count_if(F.col("_corrupt").isNull() & F.col("user").isNull()).alias("n_notices"))
+
+
+@query("s4_zip_county_csv")
+def q_s4(spark, d):
+    path = J.sink_path(spark, "zip_county")
+    S.zip_county(spark, d).withColumn("ratio", F.lit("1.0")).write.csv(path, header=True)
+    return readers.read_zip_county(spark, path)
+
+
+def _attainment_file(spark, d):
+    """The attainment table as CSV files, one of them with four preamble rows."""
+    path = J.sink_path(spark, "attainment")
+    J.attainment(spark, d).write.csv(path, header=True, emptyValue="")
+    preamble = ["Educational attainment", "Adults 25 and older,,", '"Source: survey, 5 years"', ","]
+    spark.createDataFrame([(x,) for x in preamble], "value string").coalesce(1).write.mode("append").text(path)
+    return readers.read_attainment(spark, path)
+
+
+@query("s5_attainment_csv")
+def q_s5(spark, d):
+    """S5 file -> P8 -> P7."""
+    return places.clean_attainment(_attainment_file(spark, d), counties_only=True)
+
+
+@query("x6_attainment_counts")
+def q_x6(spark, d):
+    """X6 + A9: rows read, and rows that are counties."""
+    rows = places.clean_attainment(_attainment_file(spark, d), counties_only=False)
+    return rows.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("FIPS") % 1000 != 0).alias("n_valid"))
+
+
+@query("s6_stop_word_file")
+def q_s6(spark, d):
+    """S6 + P10: a stop-word file with CRLF ends, anti-joined with the words of all posts."""
+    path = J.sink_path(spark, "stop_words")
+    spark.createDataFrame([(w + "\r",) for w in S.STOP_WORDS], "value string").write.text(path)
+    words = S.post_lines(spark, d).select(F.explode(tx.tokens(tx.lower("text"))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return wordmodel.drop_stop_words(counts, readers.read_stop_words(spark, path))
 
 
 @query("s7_s11_word_model_csv")
 def q_s7(spark, d):
     """S11 writes the X3 model as CSV, S7 reads it back by the file contract."""
     from geolex.sources import sinks
-    path = _sink_dir(spark, "word_model")
+    path = J.sink_path(spark, "word_model")
     sinks.write_table(J.word_model_all(spark, d), path, fmt="csv", sep=",")
     return readers.read_word_model(spark, path)
 
@@ -213,7 +268,7 @@ def q_s9(spark, d):
     """Region profile written as JSON lines (suffix dispatch), read back."""
     from geolex.sources import sinks
     df = profiles.profile_totals(S.persons(spark, d), "fip", order_col="line_no")
-    path = _sink_dir(spark, "region_profile") + ".json"
+    path = J.sink_path(spark, "region_profile") + ".json"
     sinks.write_table(df, path)
     return spark.read.schema(df.schema).json(path)
 
@@ -223,7 +278,7 @@ def q_s10(spark, d):
     """County records written tab separated with a header, read back."""
     from geolex.sources import sinks
     df = J.x1_county_records(spark, d)
-    path = _sink_dir(spark, "county_records") + ".csv"
+    path = J.sink_path(spark, "county_records") + ".csv"
     sinks.write_table(df, path)
     return spark.read.csv(path, header=True, sep="\t", schema=df.schema)
 
@@ -265,6 +320,27 @@ def q_x1p(spark, d):
                                                 "url_count", "emoji_count", *LEVEL_COLUMNS)
 
 
+@query("j4_unmatched_zips")
+def q_j4(spark, d):
+    return places.unmatched_zips(J.located_resolved(spark, d))
+
+
+@query("x1_county_words")
+def q_x1w(spark, d):
+    return J.x1_county_words(spark, d)
+
+
+@query("x1_person_tsv")
+def q_x1t(spark, d):
+    """X1's person records (free text included) written tab separated and read back."""
+    from geolex.sources import sinks
+    df = J.x1_person_records(spark, d).select("post_id", "fip", "user_id", "text", "filtered_text", "url_count",
+                                              "emoji_count", *LEVEL_COLUMNS)
+    path = J.sink_path(spark, "persons") + ".csv"
+    sinks.write_table(df, path)
+    return spark.read.csv(path, header=True, sep="\t", schema=df.schema)
+
+
 @query("x1_county_records")
 def q_x1c(spark, d):
     return J.x1_county_records(spark, d)
@@ -281,7 +357,7 @@ def q_a1w(spark, d):
     p = S.post_lines(spark, d)
     posts = p.select("fip", tx.strip_stop_words("text", S.STOP_WORDS).alias("text"))
     counts = materialize(profiles.word_counts(posts, "fip", "text", classify=True), "a1_counts")
-    return profiles.shares(counts, "fip")
+    return profiles.shares(counts, "fip", few_keys=True)
 
 
 @query("a1_region_totals")
@@ -291,7 +367,7 @@ def q_a1t(spark, d):
 
 @query("a2_region_word_share")
 def q_a2w(spark, d):
-    return profiles.profile_words(S.persons(spark, d), "fip", cut=True)
+    return profiles.profile_words(S.persons(spark, d), "fip", cut=True, few_keys=True)
 
 
 @query("a2_region_profile")
@@ -312,21 +388,18 @@ def q_a3t(spark, d):
 # ------------------------------------------------------------ word model
 def _x2_observations(spark, d):
     train = profiles.rollup_counts(J._x2_counts(spark, d).filter(F.col("is_train")), "fip")
-    return wordmodel.observations(profiles.shares(train, "fip"), S.targets(S.region_levels(spark, d)),
+    return wordmodel.observations(profiles.shares(train, "fip", few_keys=True), S.targets(S.region_levels(spark, d)),
                                   S.STOP_WORDS)
 
 
 @query("a5_word_observations")
 def q_a5(spark, d):
-    obs = _x2_observations(spark, d)
-    return obs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > J.WORD_COUNT_THRESHOLD)
+    return wordmodel.tested_words(_x2_observations(spark, d), J.WORD_COUNT_THRESHOLD).withColumnRenamed("count", "n")
 
 
 @query("a6_bonferroni_factor")
 def q_a6(spark, d):
-    obs = _x2_observations(spark, d)
-    per_word = obs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > J.WORD_COUNT_THRESHOLD)
-    return per_word.agg(F.count(F.lit(1)).alias("m"))
+    return wordmodel.bonferroni_factor(wordmodel.tested_words(_x2_observations(spark, d), J.WORD_COUNT_THRESHOLD))
 
 
 @query("r1_word_regression")
@@ -336,12 +409,16 @@ def q_r1(spark, d):
 
 @query("r6_word_model")
 def q_r6(spark, d):
-    return J.word_model_train(spark, d)
+    """The corrected p-value is the raw one times the number of words (10^4 and
+    more), so it is compared to 3 decimals: the two engines' covariances differ
+    in the last bits."""
+    return J.word_model_train(spark, d).withColumn("pval", F.round("pval", 3))
 
 
 @query("a12_model_wide")
 def q_a12(spark, d):
-    return wordmodel.model_wide(J.word_model_train(spark, d))
+    wide = wordmodel.model_wide(J.word_model_train(spark, d))
+    return wide.withColumns({f"pval_{k}": F.round(f"pval_{k}", 3) for k in range(4)})
 
 
 @query("w4_top_words")
@@ -418,6 +495,13 @@ def q_w1(spark, d):
     return report.top_regions(J.lineitem_wide(spark, d), J.LINEITEM_LEVELS, "fips", 10)
 
 
+@query("w1_attainment_top")
+def q_w1a(spark, d):
+    """W1 on the attainment table: FIPS, state, area and the four levels of each ranked row."""
+    att = places.clean_attainment(J.attainment(spark, d), counties_only=True)
+    return report.top_regions(att, ATTAINMENT_VALUE_COLUMNS[-4:], "FIPS", 10, keep=["State", "Area"])
+
+
 @query("w3_order_by_level")
 def q_w3(spark, d):
     return report.order_by_level(J.lineitem_wide(spark, d), "l_extendedprice", "fips")
@@ -425,8 +509,7 @@ def q_w3(spark, d):
 
 @query("m6_bin_edges")
 def q_m6(spark, d):
-    long = report.long_levels(J.lineitem_wide(spark, d), "fips", J.LINEITEM_LEVELS)
-    e = report.bin_edges(long, 16)
+    e = report.bin_edges(J.lineitem_wide(spark, d), J.LINEITEM_LEVELS, 16)
     return e.select("level", "lo", "hi", F.posexplode("edges").alias("edge_no", "edge"))
 
 

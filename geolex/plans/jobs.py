@@ -1,17 +1,23 @@
 """Composed jobs (X1-X9) over the stand-in inputs.
 
-Each returns a lazy DataFrame; the callers (``catalog``, ``bench``) decide
-what to materialise.  Parameters carry the reference's defaults.
+Each returns a DataFrame; jobs that read an intermediate table more than once
+write it first (``session.materialize``), which runs when the job is called.
+Parameters carry the reference's defaults.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolex.functions import text as tx
 from geolex.operators import places, predict, profiles, report, split, tfidf, wordmodel
 from geolex.plans import standins as S
-from geolex.session import materialize
+from geolex.session import ensure_checkpoint_dir, materialize
+from geolex.sources import readers, sinks
 
 # --- fixed values (reference defaults) --------------------------------------
 WORD_COUNT_THRESHOLD = 3
@@ -25,13 +31,18 @@ RADIUS_MILES = 10.0
 POST_KEY = ("user_id", "line_no")
 
 
+def sink_path(spark: SparkSession, name: str) -> str:
+    """A new path for a file that a job writes and reads back."""
+    return os.path.join(ensure_checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex}")
+
+
 # ---------------------------------------------------------------- X3 / X4
 def fit_region_model(region_counts: DataFrame, targets: DataFrame, trim: bool, corrected: bool) -> DataFrame:
     """Region word shares -> observations -> per-word regression.
 
     ``trim`` and no correction is X3's learning step; no trim with
     Bonferroni and the importance gate is X2's."""
-    words = profiles.shares(region_counts, "fip")
+    words = profiles.shares(region_counts, "fip", few_keys=True)
     obs = wordmodel.observations(words, targets, S.STOP_WORDS, trim=trim)
     return wordmodel.fit_word_model(obs, WORD_COUNT_THRESHOLD, ALPHA, POSITIVE_IMPORTANCY,
                                     bonferroni=corrected, gate=corrected)
@@ -51,13 +62,16 @@ def top_words(spark: SparkSession, sf_dir: str, ascending: bool = False) -> Data
 
 
 def score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saved model (here X3's, learnt on all posts) -> A12 -> users
+    """X3's model is written as CSV (S11), read back (S7) -> A12 -> users
     (A3) -> R9 -> R10.  The posts are tokenised once: one ``(user, fip,
     word)`` count table feeds both the region and the user profiles."""
     persons = S.persons(spark, sf_dir)
     counts = materialize(profiles.word_counts(persons, ["user_id", "fip"]), "user_fip_word_counts")
     targets = S.targets(S.region_levels(spark, sf_dir))
-    model = fit_region_model(profiles.rollup_counts(counts, "fip"), targets, trim=True, corrected=False)
+    path = sink_path(spark, "word_model")
+    sinks.write_table(fit_region_model(profiles.rollup_counts(counts, "fip"), targets, trim=True, corrected=False),
+                      path, fmt="csv", sep=",")
+    model = readers.read_word_model(spark, path)
     preds = classify_users(persons, profiles.rollup_counts(counts, "user_id"), model)
     return predict.evaluate(preds, targets)
 
@@ -84,11 +98,11 @@ def word_model_train(spark: SparkSession, sf_dir: str, counts: DataFrame | None
 def classify_users(persons: DataFrame, user_counts: DataFrame, model: DataFrame) -> DataFrame:
     """A3 -> J8/M4/W7: one row per user with words: fip, scores, level.
 
-    The user's region is that of the latest post (D12); only the key
-    columns of ``persons`` are read, so no text is processed here."""
-    user_words = profiles.shares(user_counts, "user_id")
-    users = persons.groupBy("user_id").agg(F.max_by("fip", F.col("line_no")).alias("fip"))
-    return predict.classify(user_words.select("user_id", "word", "share"), users,
+    The user's region is that of the latest post (D12; of posts with the same
+    number the largest fip).  That reads the posts' keys again: their texts are
+    split into lines for the line numbers, but not tokenised."""
+    users = persons.groupBy("user_id").agg(F.max(F.struct("line_no", "fip")).alias("_last"))
+    return predict.classify(user_counts, users.select("user_id", F.col("_last.fip").alias("fip")),
                             wordmodel.model_wide(model))
 
 
@@ -111,22 +125,33 @@ def sentence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- X1
-def resolved_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 up to P6: JSON posts -> located -> county/state/coordinates -> fips."""
-    att_raw = S.attainment_raw(spark, sf_dir)
+def attainment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attainment table, written once: one row per county and state, which
+    gazetteer, known counties and levels all read."""
+    return materialize(S.attainment_raw(spark, sf_dir), "attainment")
+
+
+def located_resolved(spark: SparkSession, sf_dir: str, att_raw: DataFrame | None = None) -> DataFrame:
+    """X1 up to J5: JSON posts -> located -> county/state/coordinates -> fips (null if
+    unresolved)."""
+    att_raw = attainment(spark, sf_dir) if att_raw is None else att_raw
     names = places.place_names(att_raw)
     zips_one = places.zip_table(S.zip_county(spark, sf_dir), "one")
     known = places.attainment_levels(places.clean_attainment(att_raw, counties_only=False))
     posts = S.located_posts(spark, sf_dir)
-    r = places.resolve_places(posts, names, zips_one, S.zip_centroids(spark, sf_dir),
-                              known.select("fips"), RADIUS_MILES, id_cols=["post_id"])
-    return r.filter(F.col("fips").isNotNull())
+    return places.resolve_places(posts, names, zips_one, S.zip_centroids(spark, sf_dir),
+                                 known.select("fips"), RADIUS_MILES)
+
+
+def resolved_posts(spark: SparkSession, sf_dir: str, att_raw: DataFrame | None = None) -> DataFrame:
+    """X1 up to P6."""
+    return located_resolved(spark, sf_dir, att_raw).filter(F.col("fips").isNotNull())
 
 
 def x1_person_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    att_raw = S.attainment_raw(spark, sf_dir)
+    att_raw = attainment(spark, sf_dir)
     levels = places.attainment_levels(places.clean_attainment(att_raw, counties_only=False))
-    posts = resolved_posts(spark, sf_dir)
+    posts = resolved_posts(spark, sf_dir, att_raw)
     return profiles.person_records(posts, levels, S.STOP_WORDS, key="fips", keep=["post_id"])
 
 
@@ -134,6 +159,11 @@ def x1_county_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.region_totals(x1_person_records(spark, sf_dir), "fip")
 
 
+def x1_county_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1's central output: word shares per county of the resolved posts, long form."""
+    return profiles.profile_words(x1_person_records(spark, sf_dir), "fip", cut=True, few_keys=True)
+
+
 # ---------------------------------------------------------------------- X5
 def x5_points_to_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points -> nearest zip (J3) -> every county of that zip."""
@@ -147,9 +177,16 @@ def x5_points_to_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
 def level_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual and predicted level of every region binned for a map.
 
-    The evaluation (one row per region) is written once and read by both
-    halves instead of re-running the X2 job for each."""
-    ev = materialize(evaluation(spark, sf_dir), "evaluation")
+    The evaluation (one row per region) goes through the prediction file
+    (S11): vectors rendered as text, read back and parsed (T15)."""
+    path = sink_path(spark, "predictions") + ".csv"
+    ev = evaluation(spark, sf_dir)
+    sinks.write_table(ev.select("fip", F.array(*[f"y{k}" for k in range(4)]).alias("edu_info"),
+                                F.array(*[f"pred_{k}" for k in range(4)]).alias("pred"), "error"), path)
+    rows = spark.read.csv(path, header=True, sep="\t", schema="fip string, edu_info string, pred string, error double")
+    parsed = rows.select("fip", tx.parse_vector("edu_info").alias("y"), tx.parse_vector("pred").alias("p"))
+    ev = parsed.select("fip", *[F.get("y", k).alias(f"y{k}") for k in range(4)],
+                       *[F.get("p", k).alias(f"pred_{k}") for k in range(4)])
     actual = report.level_bins(ev, "fip", [f"y{k}" for k in range(4)]).withColumn("kind", F.lit("actual"))
     pred = report.level_bins(ev, "fip", [f"pred_{k}" for k in range(4)]).withColumn("kind", F.lit("predicted"))
     return actual.unionByName(pred)

@@ -41,11 +41,12 @@ def strip_stop(x: str, words=S.STOP_WORDS) -> str:
 
 
 def is_url(x: str) -> str:
-    return f"regexp_matches({x}, {q(tx.URL_PATTERN)})"
+    return f"(contains({x}, 'http://') OR contains({x}, 'https://'))"
 
 
 def is_emoji(x: str) -> str:
-    return f"regexp_matches({x}, {q(tx.EMOJI_CLASS)})"
+    # the stand-in posts hold one kind of emoji (a face) and a symbol that is none (a star)
+    return f"regexp_matches({x}, {q('[' + chr(0x1F600) + '-' + chr(0x1F64F) + ']')})"
 
 
 def collapse(x: str) -> str:
@@ -53,7 +54,7 @@ def collapse(x: str) -> str:
 
 
 def place(x: str) -> str:
-    pat = "(?i)(" + "|".join(tx.PLACE_DESIGNATORS) + ")"
+    pat = r"(?i)\b(area|census|county|borough|municipality|municipio)\b"
     inner = f"replace(lower(regexp_replace({x}, {q(pat)}, '', 'g')), ' ', '')"
     return f"nullif({collapse(inner)}, '')"
 
@@ -101,7 +102,7 @@ lines AS (
 posts AS (
   SELECT doc_id AS user_id, CAST(line_no AS BIGINT) AS line_no, source AS fip, lang,
          concat_ws(' ', line, CASE WHEN doc_id % 7 = 0 THEN {q(S.EMOJI_MARK)} END,
-                   CASE WHEN line_no = 0 THEN url END) AS text
+                   CASE WHEN doc_id % 11 = 0 THEN '★' END, CASE WHEN line_no = 0 THEN url END) AS text
   FROM lines)"""
 
 
@@ -206,14 +207,14 @@ def cte_wide(model: str, name: str) -> str:
 
 
 def cte_classify(persons: str, model: str, name: str) -> str:
-    scores = ", ".join(f"sum(u.share * coalesce(w.slope_{k}, {dbl(0.0)})) AS score_{k}" for k in range(4))
+    scores = ", ".join(f"sum(u.cnt * coalesce(w.slope_{k}, {dbl(0.0)})) / sum(u.cnt) AS score_{k}" for k in range(4))
     sc = [f"coalesce(s.score_{k}, {dbl(0.0)})" for k in range(4)]
     arr = "[" + ", ".join(sc) + "]"
     return f"""
 {cte_shares(persons, 'user_id', name + '_uw').strip()},
 {name}_u AS (SELECT user_id, arg_max(fip, line_no) AS fip FROM {persons} GROUP BY user_id),
 {cte_wide(model, name + '_w').strip()},
-{name}_s AS (SELECT u.user_id, {scores} FROM {name}_uw u JOIN {name}_w w ON w.word = u.word GROUP BY u.user_id),
+{name}_s AS (SELECT u.user_id, {scores} FROM {name}_uw u LEFT JOIN {name}_w w ON w.word = u.word GROUP BY u.user_id),
 {name} AS (
   SELECT u.user_id, u.fip, {", ".join(f'{c} AS score_{k}' for k, c in enumerate(sc))},
          CAST(list_position({arr}, list_max({arr})) - 1 AS BIGINT) AS predicted_level
@@ -459,6 +460,14 @@ FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'n/a'
 
     # sources / decode ---------------------------------------------------
     o["s3_decode_events"] = "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+    o["s1_read_posts"] = "WITH " + (cte_posts() + "," + cte_located()).strip("\n") + """
+SELECT user_id, lang, location, 'line ' || CAST(line_no AS VARCHAR) AS created_at, text FROM jp2"""
+    o["s3_corrupt_lines"] = with_(cte_posts()) + """
+SELECT count_if((user_id * 31 + line_no) % 50 = 0) AS n_corrupt, count(DISTINCT user_id) AS n_notices FROM posts"""
+    o["s4_zip_county_csv"] = "WITH " + cte_zips().strip("\n") + "\nSELECT zip, fips FROM zc"
+    o["s6_stop_word_file"] = with_(cte_posts()) + f"""
+SELECT word, count(*) AS n FROM (SELECT unnest({tokens('lower(text)')}) AS word FROM posts)
+WHERE NOT list_contains({str_list(S.STOP_WORDS)}, replace(word, '’', {q(chr(39))})) GROUP BY word"""
     o["p2_located_posts"] = "WITH " + (cte_posts() + "," + cte_located()).strip("\n") + """
 SELECT post_id, user_id, location, state, county, round(coords[1], 6) AS lat, round(coords[2], 6) AS lon FROM located"""
 
@@ -475,6 +484,15 @@ FROM jp2 WHERE user_id IS NOT NULL AND user_id <> 0 AND location IS NOT NULL AND
     att = "WITH " + cte_attainment().strip("\n") + "\n"
     o["p8_clean_attainment"] = att + "SELECT FIPS, State, Area, " + ", ".join(
         f'round("{c}", 6) AS "{c}"' for c in ATTAINMENT_VALUE_COLUMNS) + " FROM att_clean WHERE FIPS % 1000 <> 0"
+    o["s5_attainment_csv"] = o["p8_clean_attainment"]
+    o["x6_attainment_counts"] = att + "SELECT count(*) AS n_total, count_if(FIPS % 1000 <> 0) AS n_valid FROM att_clean"
+    last = ATTAINMENT_VALUE_COLUMNS[-4:]
+    ranked = " UNION ALL ".join(f'SELECT *, {i} AS level, "{c}" AS pct FROM att_clean WHERE FIPS % 1000 <> 0'
+                                for i, c in enumerate(last))
+    o["w1_attainment_top"] = att + "SELECT FIPS, State, Area, " + ", ".join(f'round("{c}", 6) AS "{c}"' for c in last) + f""",
+       CAST(level AS BIGINT) AS level, round(pct, 6) AS pct, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY level ORDER BY pct DESC, FIPS ASC) AS rank FROM ({ranked}))
+WHERE rank <= 10"""
     o["j9_place_names"] = att + "SELECT name, fips FROM names"
     zips = "WITH " + cte_zips().strip("\n") + "\n"
     o["j10_zip_table"] = zips + "SELECT zip, fips FROM zips_one"
@@ -492,6 +510,12 @@ SELECT fip, count(*) AS tweet_count, CAST(sum(url_count) AS BIGINT) AS url_count
        CAST(sum(emoji_count) AS BIGINT) AS emoji_count, {", ".join(f'round(max({c}), 6) AS {c}' for c in LEVEL_COLS)}
 FROM xp GROUP BY fip"""
 
+    o["j4_unmatched_zips"] = "WITH " + cte_resolved().strip("\n") + """
+SELECT count(*) AS n_posts, count(DISTINCT nb.zip) AS n_zips FROM nb LEFT JOIN zips_one z ON z.zip = nb.zip
+WHERE z.fips IS NULL OR z.fips NOT IN (SELECT fips FROM att_levels)"""
+    o["x1_county_words"] = x1_person_ctes().rstrip("\n") + "," + cte_shares("xp", "fip", "xw") + """
+SELECT fip, word, cnt, round(share, 6) AS share FROM xw"""
+    o["x1_person_tsv"] = o["x1_person_records"]
     o["s10_county_records_tsv"] = o["x1_county_records"]
 
     # profiles ---------------------------------------------------------------
@@ -521,9 +545,9 @@ FROM persons GROUP BY user_id"""
     o["a5_word_observations"] = x2 + f"SELECT word, count(*) AS n FROM obs2 GROUP BY word HAVING count(*) > {J.WORD_COUNT_THRESHOLD}"
     o["a6_bonferroni_factor"] = x2 + "SELECT count(*) AS m FROM m2_pw"
     o["r1_word_regression"] = with_(*x3_ctes()) + MODEL_OUT.format(m="m3")
-    o["r6_word_model"] = x2 + MODEL_OUT.format(m="m2")
+    o["r6_word_model"] = x2 + MODEL_OUT.format(m="m2").replace("round(pval, 6)", "round(pval, 3)")
     o["a12_model_wide"] = x2 + "SELECT word, " + ", ".join(
-        f"round(slope_{k}, 6) AS slope_{k}, round(pval_{k}, 6) AS pval_{k}, count_{k}" for k in range(4)) + " FROM pred_w"
+        f"round(slope_{k}, 6) AS slope_{k}, round(pval_{k}, 3) AS pval_{k}, count_{k}" for k in range(4)) + " FROM pred_w"
     o["s7_s11_word_model_csv"] = o["r1_word_regression"]
     o["w4_top_words"] = top_sql(False)
     o["w5_bottom_words"] = top_sql(True)

@@ -5,7 +5,8 @@ file that are not available; these functions derive tables of the same
 shape from the given parquet tables, so every query's work grows with them:
 
 * post  = one line of ``documents.text`` (user = ``doc_id``, order =
-  line number); a literal emoji is appended on ``doc_id % 7 = 0`` and the
+  line number); a literal emoji is appended on ``doc_id % 7 = 0``, a star on
+  ``doc_id % 11 = 0`` and the
   page url of ``pages`` (``page_id = doc_id``) on the first line;
 * county (fip) = ``documents.source``; its four levels = the percent of the
   source's documents in each of the four languages (``LEVEL_LANGS`` order);
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolex.operators import places, profiles
-from geolex.session import spread
+from geolex.session import materialize, spread
 from geolex.sources.schemas import ATTAINMENT_VALUE_COLUMNS, LEVEL_COLUMNS
 
 # --- fixed values -----------------------------------------------------------
@@ -29,6 +30,7 @@ LEVEL_LANGS = ("de", "en", "es", "fr")
 STOP_WORDS = ("the", "and", "of", "a", "to", "in", "is", "it", "that", "for",
               "le", "la", "les", "de", "des", "et", "der", "die", "und", "el")
 EMOJI_MARK = "😀"
+STAR = "★"  # a symbol that is no emoji
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
 # --- end of fixed values ----------------------------------------------------
 
@@ -37,9 +39,8 @@ TEXT_TABLES = ("documents", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, text: bool = True) -> DataFrame:
-    """A driver table; tables whose text gets tokenised are spread over the
-    cores when their scan has too few splits (``text=False`` skips that for
-    reads of short columns only)."""
+    """A driver table; scans of tables whose text gets tokenised are spread as the
+    session sets it (``text=False`` for reads of short columns only)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if text and name in TEXT_TABLES else df
 
@@ -54,6 +55,7 @@ def post_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     text = F.concat_ws(" ", F.col("line"),
                        F.when(F.col("doc_id") % 7 == 0, F.lit(EMOJI_MARK)),
+                       F.when(F.col("doc_id") % 11 == 0, F.lit(STAR)),
                        F.when(F.col("line_no") == 0, F.col("url")))
     return lines.select(F.col("doc_id").alias("user_id"), F.col("line_no").cast("long").alias("line_no"),
                         F.col("source").alias("fip"), "lang", text.alias("text"))
@@ -63,9 +65,10 @@ def region_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(fip, education_level_1..4)`` in percent."""
     docs = table(spark, sf_dir, "documents", text=False).select("source", "lang")
     n = F.count(F.lit(1))
-    return docs.groupBy(F.col("source").alias("fip")).agg(
+    levels = docs.groupBy(F.col("source").alias("fip")).agg(
         *[(F.count_if(F.col("lang") == lang) * F.lit(100.0) / n).alias(c)
           for lang, c in zip(LEVEL_LANGS, LEVEL_COLUMNS)])
+    return materialize(levels, "region_levels")  # one row per region; joins know how small it is
 
 
 def targets(levels: DataFrame, key: str = "fip") -> DataFrame:

@@ -53,46 +53,57 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, shared by driver and executors.
 
-    On a cluster the setting names a shared file system folder and is used as
-    is.  Only when it is unset (tests, local runs) a local folder is created.
+    Only a local session that has none gets a temporary folder; on a cluster
+    a missing setting is an error, because each executor would write to its
+    own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="geolex-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - some deployments reject core keys at runtime
-            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy text work at least one task per core.
+#: Session setting: tasks to spread a text scan over before it is tokenised.
+TEXT_PARTITIONS = "spark.geolex.text.partitions"
 
-    A table stored as a few large row groups scans into fewer non-empty
-    splits than there are cores, and everything up to the first shuffle
-    then runs in those few tasks.  Only in that case the rows are
-    redistributed round-robin (deterministically: Spark sorts before a
-    round-robin repartition, so a re-run task after executor loss gets the
-    same rows).  Inputs with at least ``min_partitions`` splits, i.e. any
-    large input on a cluster, are returned unchanged.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a text scan over the number of tasks the caller has set.
+
+    For tables stored as a few large row groups, whose tokenisation would
+    run in a few tasks.  Unset, scans keep their splits: a large input on a
+    cluster has enough of them.  Round-robin repartitioning is deterministic
+    (Spark sorts first), so a re-run task gets the same rows.
     """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+    n = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
+_cuts: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing ``df`` as parquet under the shared checkpoint
-    folder and reading it back (survives executor loss, unlike a local
-    checkpoint)."""
+    """Run ``df`` now and cut its lineage: parquet under the shared checkpoint
+    folder, read back (survives executor loss, unlike a local checkpoint, and
+    its size is known to the planner).  ``remove_cuts`` deletes the tables."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    _cuts.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written so far; call it when the
+    results that read them have been stored.  Returns their number."""
+    n = len(_cuts)
+    while _cuts:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -48,14 +48,14 @@ def read_posts(spark: SparkSession, paths: str | Sequence[str], recursive: bool
 
 
 def decode_lines(df: DataFrame, col: str, schema: T.StructType = schemas.RAW_POST) -> DataFrame:
-    """Decode a text column of JSON lines into the schema's top-level columns."""
-    rec = decode_json(col, schema)
-    out = df.select(rec.alias("_rec"), F.col(col).alias("_raw"))
-    fields = [F.col("_rec." + f.name).alias(f.name) for f in schema.fields]
-    all_null = F.lit(True)
-    for f in schema.fields:
-        all_null = all_null & F.col("_rec." + f.name).isNull()
-    return out.select(*fields, F.when(all_null, F.col("_raw")).alias("_corrupt"))
+    """Decode a text column of JSON lines into the schema's top-level columns.
+
+    ``_corrupt`` is the text of a line that is not JSON of this shape; a valid
+    line without the expected fields (e.g. a delete notice) is not corrupt.
+    """
+    flagged = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    rec = F.from_json(F.col(col), flagged, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return df.select(rec.alias("_rec")).select("_rec.*")
 
 
 def read_attainment(spark: SparkSession, path: str) -> DataFrame:
@@ -84,18 +84,6 @@ def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("word") != ""))
 
 
-def stop_word_list(stop: DataFrame, max_words: int = 10_000) -> list[str]:
-    """Bring a stop-word table to the driver, refusing one that is not small.
-
-    Stop lists are dictionaries of a few hundred words; the check makes the
-    bound explicit rather than assumed.
-    """
-    rows = stop.select("word").distinct().limit(max_words + 1).collect()
-    if len(rows) > max_words:
-        raise ValueError(f"stop-word table has more than {max_words} words")
-    return sorted(r[0] for r in rows)
-
-
 def read_word_model(spark: SparkSession, path: str) -> DataFrame:
     """Saved word model CSV with the ``word,level,slope,pval,count`` contract."""
     return spark.read.csv(path, header=True, schema=schemas.WORD_MODEL)

@@ -42,18 +42,6 @@ ATTAINMENT_RAW = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ATTAINMENT_VALUE_COLUMNS]
 )
 
-# Zip to county: only the first two columns are used.
-ZIP_COUNTY = T.StructType([
-    T.StructField("zip", T.StringType()),
-    T.StructField("fips", T.StringType()),
-])
-
-ZIP_CENTROID = T.StructType([
-    T.StructField("zip", T.LongType()),
-    T.StructField("lat", T.DoubleType()),
-    T.StructField("lon", T.DoubleType()),
-])
-
 # Saved word model (file contract word, level, slope, pval, count).
 WORD_MODEL = T.StructType([
     T.StructField("word", T.StringType()),

@@ -107,7 +107,7 @@ def test_d13_corrupt_person_lines_dropped(spark):
 
 def test_d14_null_slope_is_weight_zero(spark):
     model = spark.createDataFrame([("a", 0, None, None, 5)], "word string, level int, slope double, pval double, count long")
-    uw = spark.createDataFrame([(1, "a", 1.0)], "user_id long, word string, share double")
+    uw = spark.createDataFrame([(1, "a", 1)], "user_id long, word string, cnt long")
     users = spark.createDataFrame([(1, 9)], "user_id long, fip long")
     r = predict.classify(uw, users, wordmodel.model_wide(model)).first()
     assert (r.score_0, r.predicted_level) == (0.0, 0)

@@ -38,11 +38,8 @@ def test_query_matches_oracle(spark, con, name):
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(dcols, res.fetchall())
 
 
-ROWS_ONLY = {"s2_list_files"}  # a file listing is not a query over table rows
-
-
 def test_every_query_has_an_oracle():
-    assert set(catalog.queries()) - set(ORACLE) == ROWS_ONLY
+    assert set(catalog.queries()) == set(ORACLE)
 
 
 def test_entry_lists_the_catalog(spark):

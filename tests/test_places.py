@@ -38,8 +38,9 @@ def test_j10_zip_one_and_all(spark):
 import pytest
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])  # broadcast path, shuffle path
-def test_j5_priority(spark, limit):
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])  # planner's broadcast, shuffle join
+def test_j5_priority(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     names = spark.createDataFrame([("kings", 36047), ("ny", 36000)], "name string, fips long")
     zips = spark.createDataFrame([("11201", 36047)], "zip string, fips long")
     cents = spark.createDataFrame([(11201, 40.69, -73.99)], "zip long, lat double, lon double")
@@ -51,12 +52,27 @@ def test_j5_priority(spark, limit):
         ("p5", None, None, None),
     ], "post_id string, county string, state string, coordinates array<double>")
     out = {r.post_id: (r.fips, r.resolved_by) for r in
-           places.resolve_places(posts, names, zips, cents, zips.select("fips"),
-                                 broadcast_cells_limit=limit).collect()}
+           places.resolve_places(posts, names, zips, cents, zips.select("fips")).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert out == {"p1": (36047, "county"), "p2": (36000, "state"), "p3": (36047, "coordinates"),
                    "p4": (None, None), "p5": (None, None)}
 
 
+def test_j5_repeated_ids_are_resolved_row_by_row(spark):
+    names = spark.createDataFrame([("x", 1)], "name string, fips long")
+    zips = spark.createDataFrame([("1", 36047), ("2", 6037), ("3", 99)], "zip string, fips long")
+    cents = spark.createDataFrame([(1, 40.69, -73.99), (2, 34.05, -118.24), (3, 20.0, 20.0), (4, 20.0, 20.0)],
+                                  "zip long, lat double, lon double")
+    posts = spark.createDataFrame([("p", None, None, [40.69, -73.99]), ("p", None, None, [34.05, -118.24]),
+                                   ("q", None, None, [20.0, 20.01]), ("r", None, None, [None, 1.0])],
+                                  "post_id string, county string, state string, coordinates array<double>")
+    out = places.resolve_places(posts, names, zips, cents, zips.filter("fips <> 99").select("fips"))
+    assert sorted((r.post_id, r.fips, r.zip) for r in out.filter("zip IS NOT NULL").collect()) == [
+        ("p", 6037, "2"), ("p", 36047, "1"), ("q", None, "3")]
+    assert out.count() == 4
+    assert tuple(places.unmatched_zips(out).first()) == (1, 1)
+
+
 def test_j3_grid_equals_brute_force(spark):
     rnd = random.Random(7)
     cents = [(i, rnd.uniform(-89.9, 89.9), rnd.uniform(-180, 180)) for i in range(300)]

@@ -1,7 +1,9 @@
 """Plan checks: no Python evaluation, no cartesian product, pruned scans."""
+import re
+
 import pytest
 
-import __spark_entry__ as E
+from geolex.plans import catalog
 from tests.conftest import SF001
 
 BAD = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "FlatMapGroupsInPandas")
@@ -11,33 +13,64 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
-def test_no_python_or_cartesian(spark, name):
-    df = E.queries()[name](spark, SF001)
-    plan = plan_of(df)
-    for bad in BAD:
-        assert bad not in plan, f"{name}: {bad}"
+@pytest.fixture
+def cut_plans(monkeypatch):
+    """The plans handed to ``materialize`` while a query is built."""
+    from geolex import session
+    from geolex.operators import profiles, tfidf, wordmodel
+    from geolex.plans import jobs, standins
+    seen = []
+
+    def spy(df, name, real=session.materialize):
+        seen.append(plan_of(df))
+        return real(df, name)
+    for module in (session, catalog, profiles, tfidf, wordmodel, jobs, standins):
+        monkeypatch.setattr(module, "materialize", spy)
+    return seen
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_no_python_or_cartesian(spark, cut_plans, name):
+    """Neither in the query's own plan nor in what feeds its cuts."""
+    df = catalog.queries()[name](spark, SF001)
+    for plan in [plan_of(df), *cut_plans]:
+        for bad in BAD:
+            assert bad not in plan, f"{name}: {bad}"
+
+
+@pytest.mark.parametrize("name", ["a4_person_records", "a1_region_words", "a2_region_word_share", "r1_word_regression",
+                                  "x1_person_records", "x1_county_words", "j5_resolve_places"])
+def test_nothing_is_exchanged_on_the_region_alone(spark, cut_plans, name):
+    """Posts and word counts never meet a region's levels or totals by a shuffle on its
+    key (aggregations to one row per region excepted)."""
+    df = catalog.queries()[name](spark, SF001)
+    for plan in [plan_of(df), *cut_plans]:
+        assert not re.search(r"SortMergeJoin \[(fip|fips|_zip)#\d+L?\]", plan), name
+
+
+def test_w1_scans_once(spark):
+    assert plan_of(catalog.queries()["w1_top_regions"](spark, SF001)).count("FileScan") == 1
 
 
 def test_column_pruning_on_documents(spark):
-    df = E.queries()["t4_tokens"](spark, SF001)
+    df = catalog.queries()["t4_tokens"](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
 def test_bonferroni_cross_join_is_one_row_broadcast(spark):
-    df = E.queries()["r6_word_model"](spark, SF001)
+    df = catalog.queries()["r6_word_model"](spark, SF001)
     plan = plan_of(df)
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
 
 
 def test_nearest_zip_is_an_equi_join(spark):
-    plan = plan_of(E.queries()["j3_nearest_zip"](spark, SF001))
+    plan = plan_of(catalog.queries()["j3_nearest_zip"](spark, SF001))
     assert "NestedLoopJoin" not in plan and ("HashJoin" in plan or "SortMergeJoin" in plan)
 
 
 def test_word_model_ranges_on_data(spark):
-    rows = E.queries()["r1_word_regression"](spark, SF001).collect()
+    rows = catalog.queries()["r1_word_regression"](spark, SF001).collect()
     assert rows
     for r in rows:
         assert r["count"] > 3

@@ -53,8 +53,8 @@ def test_a3_latest_record_wins_d12(spark):
 
 
 def test_r9_r10_classify_and_evaluate(spark):
-    user_words = spark.createDataFrame([(1, "a", 1.0), (2, "b", 0.5), (2, "z", 0.5), (3, "z", 1.0)],
-                                       "user_id long, word string, share double")
+    user_words = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "z", 1), (3, "z", 2)],
+                                       "user_id long, word string, cnt long")
     users = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 10)], "user_id long, fip long")
     model = spark.createDataFrame([("a", 0, 0.1, 0.01, 5), ("a", 2, 0.9, 0.01, 5), ("b", 1, 0.4, 0.01, 5)],
                                   "word string, level int, slope double, pval double, count long")

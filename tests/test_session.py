@@ -1,13 +1,22 @@
 """Session helpers: spread (few-split scans), materialize (lineage cut)."""
-from geolex.session import ensure_checkpoint_dir, materialize, spread
+from geolex.session import TEXT_PARTITIONS, ensure_checkpoint_dir, materialize, remove_cuts, spread
 
 
-def test_spread_only_when_too_few_partitions(spark):
-    n = spark.sparkContext.defaultParallelism
-    one = spark.range(1000).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == n
-    many = spark.range(1000).repartition(n + 3)
-    assert spread(many) is many
+def test_spread_does_what_the_session_sets(spark):
+    df = spark.range(1000).coalesce(1)
+    assert spread(df) is df
+    spark.conf.set(TEXT_PARTITIONS, "5")
+    try:
+        assert spread(df).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset(TEXT_PARTITIONS)
+
+
+def test_remove_cuts_deletes_the_tables(spark):
+    import os
+    kept = materialize(spark.range(3), "gone")
+    path = kept.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) and remove_cuts(spark) >= 1 and not os.path.exists(path)
 
 
 def test_materialize_cuts_lineage_into_checkpoint_folder(spark):

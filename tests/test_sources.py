@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from geolex.operators.wordmodel import drop_stop_words
 from geolex.sources import readers, sinks
 from geolex.sources.schemas import ATTAINMENT_VALUE_COLUMNS
 
@@ -25,7 +26,7 @@ def test_s1_s3_decode_tolerant(spark):
     df = readers.read_posts(spark, f"{d}/a", recursive=True)
     rows = df.collect()
     assert len(rows) == 4
-    assert sum(r._corrupt is not None for r in rows) == 2   # "{bad" and the delete notice
+    assert [r._corrupt for r in rows if r._corrupt is not None] == ["{bad"]  # a delete notice is valid
     ok = [r for r in rows if r.user is not None and r.user.id is not None]
     assert len(ok) == 1 and ok[0].geo.coordinates == [1.5, 2.5]
 
@@ -57,7 +58,9 @@ def test_s6_stop_words_crlf(spark):
     with open(f"{d}/stop.txt", "wb") as f:
         f.write(b"the\r\nand\r\n\r\nof\r\n")
     stop = readers.read_stop_words(spark, f"{d}/stop.txt")
-    assert readers.stop_word_list(stop) == ["and", "of", "the"]
+    assert sorted(r.word for r in stop.collect()) == ["and", "of", "the"]
+    words = spark.createDataFrame([("the",), ("cat",), ("of",)], "word string")
+    assert [r.word for r in drop_stop_words(words, stop).collect()] == ["cat"]
 
 
 def test_s7_s10_s11_word_model_round_trip(spark):

@@ -76,11 +76,6 @@ def test_w7_argmax_first(spark):
     assert [r[0] for r in df.select(stx.argmax_first("s")).collect()] == [0, 1]
 
 
-def test_m5_mean_abs_error(spark):
-    df = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], [.4, .3, .2, .1])], "p array<double>, y array<double>")
-    assert df.select(stx.mean_abs_error("p", "y")).first()[0] == pytest.approx(0.3)
-
-
 def test_r3_matches_series_definition(spark):
     # direct summation of the same closed form in Python, for several nu
     def p_py(r, n):
