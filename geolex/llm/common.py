@@ -6,14 +6,20 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Words are runs of anything but the ASCII white space space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a Python worker handles at once.
+ROWS = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +60,26 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def replaced(df: DataFrame, source: str, added: list[T.StructField], make) -> DataFrame:
+    """``df`` with the columns ``added`` in place of ``source``: ``make`` turns a list of
+    the source's values as bytes into one Arrow array per added column.  A task
+    handles ``ROWS`` rows at once."""
+    others = [c for c in df.columns if c not in (source, *(f.name for f in added))]
+    given = df.select(F.struct(F.lit(0).alias("_"), *map(named, others)).alias("_row"),
+                      named(source).cast("binary").alias("_source"))
+    schema = T.StructType([given.schema["_row"], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *make(part.column(1).to_pylist())],
+                                                 names=schema.names)
+
+    out = in_arrow(given, run, schema)
+    return out.select(*[F.col("_row")[c].alias(c) for c in others], *[f.name for f in added])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors
     share.  Only a local session that has none gets a temporary one."""

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolex.llm.common import in_arrow, named, table
+from geolex.llm.common import replaced, table
 
 # --- fixed values: the patterns of the contract ------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -180,21 +180,16 @@ def spans(text: str) -> list[dict]:
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``spans`` in place of the text: kind, start, end, and for lexed ones
     the target's name and the score."""
-    others = [c for c in docs.columns if c not in (text, "spans")]
-    given = docs.select(*map(named, others), F.coalesce(named(text), F.lit("")).cast("binary").alias(text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                                ("name", pa.string()), ("score", pa.float64())]))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
                          T.StructField("end", T.IntegerType()), T.StructField("name", T.StringType()),
                          T.StructField("score", T.DoubleType())])
-    schema = given.drop(text).schema.add("spans", T.ArrayType(span))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [spans(t.as_py().decode("utf-8", "replace")) for t in batch.column(len(others))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*others, "spans"])
+    def make(raw: list[bytes | None]) -> list[pa.Array]:
+        return [pa.array([spans((t or b"").decode("utf-8", "replace")) for t in raw], kind)]
 
-    return in_arrow(given, run, schema)
+    return replaced(docs, text, [T.StructField("spans", T.ArrayType(span))], make)
 
 
 def listing(found: Column) -> Column:
@@ -203,8 +198,11 @@ def listing(found: Column) -> Column:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in KINDS[:3]]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS[:3]]
     base = F.filter("spans", lambda x: x["kind"] != "lexed")
     return found.select("doc_id", *counts, F.sha2(listing(base).cast("binary"), 256).alias("base_sha256"),
                         listing(F.col("spans")).alias("spans"))

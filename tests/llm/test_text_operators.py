@@ -142,8 +142,10 @@ def test_lexed_secrets(text, secrets):
 
 
 def test_secret_query_digests(spark, odd, none, clashing):
-    docs = {r.doc_id: r.text for r in docs_of(spark).collect()}
-    for r in op6.op6_secret_scan(spark, SF001).collect():
+    docs = {r.doc_id: r.text for r in docs_of(spark, SF01).collect()}
+    rows = op6.op6_secret_scan(spark, SF01).collect()
+    assert sum(r.n_assign for r in rows) > 5 and sum(r.n_hex for r in rows) > 5
+    for r in rows:
         base = brute_spans(docs[r.doc_id])
         text = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
@@ -208,6 +210,12 @@ def test_bpe_query(spark, odd, none, library):
     assert op9.encoded_digests(none).count() == 0
 
 
+def test_encode_and_decode_keep_the_other_columns(clashing):
+    out = op9.decode(op9.encode(clashing))
+    assert set(out.columns) == set(clashing.columns) - {"text", "ids"} | {"decoded"}
+    assert sorted(bytes(r.decoded) for r in out.collect()) == sorted((r.text or "").encode() for r in clashing.collect())
+
+
 # ------------------------------------------------------------------ token files
 @pytest.mark.parametrize("block", [1, 3, 64, 1 << 18])
 def test_scan_of_flat_files(spark, tmp_path, block):
@@ -228,7 +236,7 @@ def test_scan_of_flat_files(spark, tmp_path, block):
 
 def test_flat_files_hold_nothing_but_ids(spark, tmp_path, odd, library):
     path = str(tmp_path / "flat")
-    op7.write_flat(op9.encode(odd.coalesce(1).select("text")), path)
+    op7.write_flat(odd.coalesce(1), path)
     (name,) = [f for f in os.listdir(path) if f.startswith("part-")]
     want = [i for r in odd.coalesce(1).collect() for i in (*library.encode_ordinary(r.text or ""), op7.END)]
     assert np.fromfile(f"{path}/{name}", ">u2").tolist() == want
