@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from geolex.llm.common import cut, held_out, named, packed, ship, table, unpacked
 
-SAMPLE_ROWS = 256
+SAMPLE_ROWS, SALTS = 256, 16
 DICTIONARY, ALL_DICTIONARIES = 64 << 10, 16 << 20
 SAMPLE_SEGMENT, SEGMENT, LEVEL = 1024, 4096, 6
 #: Margins below this are rejected.
@@ -46,9 +46,11 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     (language, hash) pairs are ranked; the chosen few then fetch their texts."""
     labelled = docs.filter("lang IS NOT NULL AND length(text) > 0").select(
         "lang", "text", F.xxhash64("text").alias("_h"))
-    first = Window.partitionBy("lang").orderBy("_h")
-    chosen = (labelled.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(first))
-              .filter(F.col("_n") <= rows).select(F.col("lang").alias("_lang"), F.col("_h").alias("_chosen")))
+    chosen = labelled.select("lang", "_h").distinct()
+    for salt in (F.pmod("_h", F.lit(SALTS)), F.lit(0)):  # so a language's last window has SALTS * rows at most
+        first = Window.partitionBy("lang", salt).orderBy("_h")
+        chosen = chosen.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows).drop("_n")
+    chosen = chosen.select(F.col("lang").alias("_lang"), F.col("_h").alias("_chosen"))
     chosen = cut(chosen, "op5-sample")  # so that its size is known before any text moves
     return (labelled.join(chosen, (F.col("lang") == F.col("_lang")) & (F.col("_h") == F.col("_chosen")), "left_semi")
             .groupBy("lang", "_h").agg(F.first("text").alias("text")))
