@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField
 
-from geolex.llm.common import in_arrow, named, table
+from geolex.llm.common import named, replaced, table
 
 #: Characters handled at once in a task (more if one text has more), and slices
 #: that the cache may hold.
@@ -310,6 +311,13 @@ class Vocabulary:
         return self.bytes[where + np.arange(len(where))], offsets
 
 
+    def encode_all(self, raw: list[bytes | None]) -> list[bytes]:
+        return [ids for run in chunks(raw) for ids in self.encode(run)]
+
+    def decode_all(self, raw: list[bytes | None]) -> list[bytes]:
+        return [self.decode(np.frombuffer(ids or b"", "<u4"))[0].tobytes() for ids in raw]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(rank_file: bytes) -> Vocabulary:
     return Vocabulary(rank_file)
@@ -339,51 +347,45 @@ def read_ranks(path: str | None = None) -> bytes:
         return f.read()
 
 
-def with_column(df: DataFrame, name: str, source: str, one_batch) -> DataFrame:
-    """``df`` without ``source``, with a binary column ``name`` that ``one_batch`` makes
-    from the list of the source's bytes."""
-    others = [c for c in df.columns if c not in (source, name)]
-    given = df.select(*map(named, others), named(source).cast("binary").alias(source))
-    schema = given.drop(source).schema.add(name, "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array(one_batch(batch.column(len(others)).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*others, name])
-
-    return in_arrow(given, run, schema)
-
-
 def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``df`` with ``ids`` (unsigned 32-bit little-endian) in place of the text."""
     rank_file = df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    def one_batch(raw: list[bytes | None]) -> list[bytes]:
-        words = vocabulary(rank_file.value)
-        return [ids for run in chunks(raw) for ids in words.encode(run)]
+    def make(raw: list[bytes | None]) -> list[pa.Array]:
+        return [pa.array(vocabulary(rank_file.value).encode_all(raw), pa.binary())]
 
-    return with_column(df, "ids", text, one_batch)
+    return replaced(df, text, [StructField("ids", BinaryType())], make)
 
 
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` with the bytes ``decoded`` in place of ``ids``."""
     rank_file = df.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    def one_batch(raw: list[bytes | None]) -> list[bytes]:
+    def make(raw: list[bytes | None]) -> list[pa.Array]:
+        return [pa.array(vocabulary(rank_file.value).decode_all(raw), pa.binary())]
+
+    return replaced(df, "ids", [StructField("decoded", BinaryType())], make)
+
+
+def encode_and_decode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``df`` with ``ids`` and the bytes ``decoded`` from them in place of the text: both
+    directions in one worker."""
+    rank_file = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def make(raw: list[bytes | None]) -> list[pa.Array]:
         words = vocabulary(rank_file.value)
-        return [words.decode(np.frombuffer(ids or b"", "<u4"))[0].tobytes() for ids in raw]
+        ids = words.encode_all(raw)
+        return [pa.array(ids, pa.binary()), pa.array(words.decode_all(ids), pa.binary())]
 
-    return with_column(df, "decoded", "ids", one_batch)
+    return replaced(df, text, [StructField("ids", BinaryType()), StructField("decoded", BinaryType())], make)
 
 
 def encoded_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encodes, decodes again, and keeps counts and digests of both (and the ids)."""
-    ids = encode(docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")))
-    kept = [F.col("ids").alias("kept_ids")] if keep_ids else []
-    ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                     F.sha2("ids", 256).alias("ids_sha256"), "ids", *kept)
-    return decode(ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"),
-                              *[F.col("kept_ids").alias("ids")] * keep_ids)
+    both = encode_and_decode(docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")))
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                       *["ids"] * keep_ids)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
