@@ -31,27 +31,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from geolex.llm.common import cut, in_arrow, shared_path, table
-from geolex.llm.op9_byte_bpe import encode
+from geolex.llm.common import cut, in_arrow, named, replaced, shared_path, table
+from geolex.llm.op9_byte_bpe import read_ranks, vocabulary
 
 #: End-of-document id, ids' width in bytes, and ids per block.
 END, WIDTH, BLOCK = 50256, 2, 1 << 18
 
 
-def write_flat(ids: DataFrame, path: str, column: str = "ids", end: int = END, width: int = WIDTH) -> None:
-    """Writes ``column`` (unsigned 32-bit little-endian ids, as ``encode`` gives them)."""
+def write_flat(docs: DataFrame, path: str, text: str = "text", ranks: str | None = None, end: int = END,
+               width: int = WIDTH) -> None:
+    """Encodes the texts and writes them as flat files."""
     tail = end.to_bytes(width, "big")
     if tail[-1] >= 0x80:
         raise ValueError("the last byte of the end-of-document id must be ASCII")
+    rank_file = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.frombuffer(x.as_py(), "<u4").astype(f">u{width}").tobytes() + tail[:-1] for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["line"])
+    def lines(raw: list[bytes | None]) -> list[pa.Array]:
+        ids = vocabulary(rank_file.value).encode_all(raw)
+        return [pa.array([np.frombuffer(x, "<u4").astype(f">u{width}").tobytes() + tail[:-1] for x in ids], pa.binary())]
 
-    flat = in_arrow(ids.select(F.coalesce(column, F.lit(b"")).alias(column)), lines, "line binary")
+    flat = replaced(docs.select(named(text).alias("text")), "text", [T.StructField("line", T.BinaryType())], lines)
     flat.select(F.col("line").cast("string").alias("value")).write.option("lineSep", chr(tail[-1])).text(path)
 
 
@@ -100,6 +102,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from flat files made of them.  ``shard`` is the
     partition that wrote the file."""
     path = shared_path(spark, "op7-flat")
-    write_flat(encode(table(spark, sf_dir, "documents").select("text")), path)
+    write_flat(table(spark, sf_dir, "documents"), path)
     shard = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int").alias("shard")
     return scan(spark, path).select(shard, "ordinal", "first_token", "n_tokens")
