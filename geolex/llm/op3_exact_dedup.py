@@ -82,7 +82,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("_id").alias(doc_id), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), *carried)
     shared = rows.filter("_full IS NOT NULL")
-    grouped = shared.join(group_keepers(shared), F.col("_full") == F.col("_group")).select(
+    keepers = cut(group_keepers(shared), "op3-keepers")
+    grouped = shared.join(keepers, F.col("_full") == F.col("_group")).select(
         F.col("_id").alias(doc_id), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), *carried)
     return alone.unionByName(grouped)
