@@ -6,12 +6,16 @@ window is a few consecutive shingles, and windows overlap so that any stretch as
 long as a template piece lies wholly in one.  Two window lengths are used:
 
   length  stride  pieces of     an intact piece's share of its window
-  3       2       1-2 shingles  at least 1/3
-  9       4       3-6 shingles  at least 1/3
-
-Longer templates are cut into pieces of 3-6 shingles.  With ``BANDS`` = 16 bands of
-one row each, a window and a piece of similarity j share a band with probability
-1 - (1 - j)^16: over 0.998 from 1/3 on, and any one piece retrieves its template.
+  2       1       1-2 shingles  at least 1/2
+  6       3       3-4 shingles  at least 1/2
+
+Longer templates are cut into pieces of 3-4 shingles (of five: 2 and 3).  There are
+``BANDS`` = 10 bands of one row each.  A band orders the 64-bit shingle hashes by
+their exclusive-or with its mask, which is a permutation; the masks are evenly
+spaced, so that the bands' minima spread over a window better than random ones
+would: an intact piece (similarity 1/2 and more) shares a band with its window
+with probability over 0.9995 (random permutations: 1 - (1/2)^10 = 0.9990), and any
+one piece retrieves its template.
 A retrieved (document, license) is then verified on the whole text: the share of
 the template's distinct shingles that the document has must be ``CONTAINED`` (0.8)
 or more.
@@ -34,9 +38,11 @@ from pyspark.sql import functions as F
 
 from geolex.llm.common import cut, named, table
 
-SHINGLE, BANDS, CONTAINED = 5, 16, 0.8
+SHINGLE, BANDS, CONTAINED = 5, 10, 0.8
+#: Evenly spaced over 64 bits, as signed integers.
+MASKS = tuple(((2 * j + 1) << 63) // BANDS - (1 << 63) for j in range(BANDS))
 #: (window length, stride, most shingles in a piece)
-SCALES = ((3, 2, 2), (9, 4, 6))
+SCALES = ((2, 1, 2), (6, 3, 4))
 
 # --- fixed values: public license notices -------------------------------------
 TEMPLATES = (
@@ -81,8 +87,8 @@ def hashes(text: Column) -> Column:
 
 def band_keys(window: Column) -> Column:
     """MinHash of a window of shingle hashes in each band of one row."""
-    numbers = F.array(*[F.lit(j) for j in range(BANDS)])
-    return F.transform(numbers, lambda j: F.array_min(F.transform(window, lambda x: F.xxhash64(x, j))))
+    masks = F.array(*[F.lit(m) for m in MASKS])
+    return F.transform(masks, lambda mask: F.array_min(F.transform(window, lambda x: x.bitwiseXOR(mask))))
 
 
 def template_bands(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +122,11 @@ def retrieve(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFr
         return F.flatten(F.transform(starts, lambda i: let(F.slice(sh, i, length), lambda window: F.filter(
             band_keys(window), lambda key: key.isin(wanted[scale])))))
 
+    def scaled(sh: Column, scale: int) -> Column:
+        return F.transform(hits(sh, scale), lambda key: F.struct(F.lit(scale).alias("scale"), key.alias("key")))
+
     def all_hits(sh: Column) -> Column:
-        return F.concat(*[F.transform(hits(sh, s), lambda key, s=s: F.struct(F.lit(s).alias("scale"), key.alias("key")))
-                          for s in wanted if wanted[s]])
+        return F.concat(*[scaled(sh, s) for s in wanted if wanted[s]])
 
     found = docs.select(named(doc_id).alias("_doc"), let(hashes(named(text)), lambda sh: F.when(
         F.size(sh) > 0, all_hits(sh))).alias("_hits")).filter(F.size("_hits") > 0)
