@@ -64,11 +64,13 @@ LEXEME = re.compile(r"""
   | (?P<space>[\x20\t]+)
   | (?P<other>.)
 """, re.VERBOSE)
-#: A bare value ends the line or meets a delimiter; none is longer than 4096.
-BARE = re.compile(r"[\x20\t]*([^\s\"'`,;#(){}\[\]<>]{1,4096}+)[\x20\t]*(?=$|[,;}#])")
+LINE = re.compile(r"[^\r\n]+")  # lines end at \r\n, \r or \n
+#: A run of characters that a bare value may have; the empty group says that a line's end or a delimiter follows.
+RUN = re.compile(r"[^\s\"'`,;#(){}\[\]<>]++(?=[\x20\t]*+(?:$|[,;}#])())?")
+BLANK = re.compile(r"[\x20\t]*")
 
 #: A bare value that may be a name: a reference, unless it has a digit and nothing has that name.
-REFERENCE = re.compile(r"[A-Za-z_]+(?:[.-]?[A-Za-z_]+)*|\$\{?\w+\}?")
+REFERENCE = re.compile(r"[A-Za-z_]+(?:[.-][A-Za-z_]+)*|\$\{?\w+\}?")
 
 Literal = tuple[str, int, int]  # value, start, end
 
@@ -87,6 +89,8 @@ def assignments(line: str, at: int) -> Iterator[tuple[str, list[Literal | str]]]
     """(target, terms) of a line that begins at ``at``: terms are literals with their
     place in the text, or names of other targets."""
     tokens = [(m.lastgroup, m) for m in LEXEME.finditer(line) if m.lastgroup != "space"]
+    runs = RUN.finditer(line)  # each found once, however many assignments begin in it
+    run = next(runs, None)
     i, target = 0, None
     while i < len(tokens):
         kind, m = tokens[i]
@@ -100,10 +104,15 @@ def assignments(line: str, at: int) -> Iterator[tuple[str, list[Literal | str]]]
                 i += 1  # name: type = value
                 continue
             terms, more = [], True
-            if (bare := BARE.match(line, m.end())) and not REFERENCE.fullmatch(bare[1]):
-                terms.append((bare[1], at + bare.start(1), at + bare.end(1)))
-                while i < len(tokens) and tokens[i][1].start() < bare.end():
-                    i += 1
+            begin = BLANK.match(line, m.end()).end()
+            while run and run.end() <= begin:
+                run = next(runs, None)
+            if run and run.start() <= begin and run[1] is not None:
+                bare = line[begin:run.end()]
+                if not REFERENCE.fullmatch(bare):
+                    terms.append((bare, at + begin, at + run.end()))
+                    while i < len(tokens) and tokens[i][1].start() < run.end():
+                        i += 1
             while more and i < len(tokens) and tokens[i][0] in ("string", "name", "reference"):
                 part = tokens[i][1]
                 if tokens[i][0] == "string":
@@ -139,11 +148,9 @@ def randomness(value: str) -> float:
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     """Literals that assignments, directly or through constants, give to sensitive names."""
     found: list[tuple[str, list[Literal | str]]] = []
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            found += assignments(line, at)
-        at += len(line) + 1
+    for m in LINE.finditer(text):
+        if "=" in m[0] or ":" in m[0]:
+            found += assignments(m[0], m.start())
     known = dict(found)  # a name's last value
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for target, terms in found:

@@ -141,6 +141,19 @@ def test_lexed_secrets(text, secrets):
     assert [text[x["start"]:x["end"]] for x in op6.spans(text) if x["kind"] == "lexed"] == secrets
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_bare_values_at_every_line_end(end):
+    long = "Zz19fkLs0Qp2" * 400
+    text = end.join(["A = 1", "SIGNING_KEY=Zz19fkLs0Qp2", "", f"  client.auth: {long}  ", "pwd=B", "B=q8Wj-Z2mP0xTt"])
+    assert [text[x["start"]:x["end"]] for x in op6.spans(text) if x["kind"] == "lexed"] == \
+        ["Zz19fkLs0Qp2", long, "q8Wj-Z2mP0xTt"]
+
+
+def test_long_bare_values_take_linear_time():
+    for text in ("pwd=" + "a" * 200000 + "1", "a:" * 100000 + " " * 50000 + "z", "pwd=" + "a=" * 100000):
+        op6.spans(text)
+
+
 def test_secret_query_digests(spark, odd, none, clashing):
     docs = {r.doc_id: r.text for r in docs_of(spark, SF01).collect()}
     rows = op6.op6_secret_scan(spark, SF01).collect()
