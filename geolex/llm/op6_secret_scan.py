@@ -5,7 +5,7 @@ hex digits.  The lexer then reads the lines that assign something as source or
 configuration syntax: a target (identifier, dotted or subscripted name, quoted
 key, upper-case variable) followed by ``=  :=  :  =>`` and an expression of
 string literals, bare configuration values, references and ``+``.  References
-are resolved through the document's other assignments, so a literal is judged
+are resolved through all of the document's assignments of the name, so a literal is judged
 by every name it reaches: ``A = "..."`` and ``db_password = A`` make A's literal
 a password.  A literal is reported when the sensitivity of its best target name
 and the randomness of its value together reach ``THRESHOLD`` and no pattern
@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -145,31 +146,65 @@ def randomness(value: str) -> float:
     return min(1.0, entropy / 3.5 * min(1.0, len(value) / 12)) * (0.4 if mixed == 1 else 0.8 if mixed == 2 else 1.0)
 
 
+def named(term: Literal | str) -> str:
+    return term if isinstance(term, str) else term[0]
+
+
+def joined(found: list, places: dict[str, list[int]], i: int) -> list[Literal]:
+    """The literals of assignment ``i`` with its references replaced: by the nearest earlier
+    assignment of the name, or the nearest later one if there is none.  Empty if one of
+    them has white space, for then the whole is not random."""
+    literals, todo, seen = [], deque((i, term) for term in found[i][1]), {i}
+    while todo:
+        at, term = todo.popleft()
+        if of := places.get(named(term)):
+            k = bisect_left(of, at)
+            to = of[k - 1] if k else next((j for j in of if j > at), at)
+            if to not in seen:
+                seen.add(to)
+                todo.extend((to, t) for t in found[to][1])
+        elif isinstance(term, tuple):
+            if any(map(str.isspace, term[0])):
+                return []
+            literals.append(term)
+    return literals
+
+
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
-    """Literals that assignments, directly or through constants, give to sensitive names."""
+    """Literals that assignments, directly or through constants, give to sensitive names.  A
+    reference stands for every assignment of its name, so a reassigned name loses none."""
     found: list[tuple[str, list[Literal | str]]] = []
     for m in LINE.finditer(text):
         if "=" in m[0] or ":" in m[0]:
             found += assignments(m[0], m.start())
-    known = dict(found)  # a name's last value
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for target, terms in found:
-        worth = sensitivity(target)
-        if not worth:
-            continue
-        literals, todo, seen = [], list(terms), set()
+    places = defaultdict(list)  # a name's assignments, in order
+    for i, (target, _) in enumerate(found):
+        places[target].append(i)
+    # each assignment's most sensitive name among those that its value reaches
+    reached: dict[int, tuple[float, str]] = {}
+    followed = set()
+    worths = {name: sensitivity(name) for name in places}
+    for first in sorted((i for i, (t, _) in enumerate(found) if worths[t]), key=lambda i: -worths[found[i][0]]):
+        todo = [first]
         while todo:
-            term = todo.pop(0)
-            name = term if isinstance(term, str) else term[0]
-            if name in known:
-                if name not in seen:
-                    seen.add(name)
-                    todo += known[name]
-            elif isinstance(term, tuple):
-                literals.append(term)
-        whole = "".join(v for v, _, _ in literals)
-        for value, start, end in literals:
-            score = worth + max(randomness(value), randomness(whole) * 0.9)
+            i = todo.pop()
+            if i in reached:
+                continue
+            reached[i] = (worths[found[first][0]], found[first][0])
+            for name in map(named, found[i][1]):
+                if name in places and name not in followed:
+                    followed.add(name)
+                    todo += places[name]
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    for i in sorted(reached):
+        worth, target = reached[i]
+        parts = [(term, 0.0) for term in found[i][1] if isinstance(term, tuple) and term[0] not in places]
+        if len(found[i][1]) > 1:
+            all_parts = joined(found, places, i)
+            whole = randomness("".join(v for v, _, _ in all_parts)) * 0.9
+            parts += [(part, whole) for part in all_parts]
+        for (value, start, end), whole in parts:
+            score = worth + max(randomness(value), whole)
             if score >= THRESHOLD and len(value) and score > best.get((start, end), (0.0, ""))[0]:
                 best[start, end] = (score, target)
     return [("lexed", s, e, name, score) for (s, e), (score, name) in best.items()]

@@ -149,6 +149,21 @@ def test_bare_values_at_every_line_end(end):
         ["Zz19fkLs0Qp2", long, "q8Wj-Z2mP0xTt"]
 
 
+@pytest.mark.parametrize("text, secrets", [
+    ('A = "k9#Lm2$Qx81Zp"\ndb_password = A\nA = "x"', ["k9#Lm2$Qx81Zp"]),
+    ('if prod:\n  A = "k9#Lm2$Qx81Zp"\nelse:\n  A = "x"\ndb_password = A', ["k9#Lm2$Qx81Zp"]),
+    ('A = "q8Wj-Z2mP0xTt"\ndb_password = A\nA = "k9#Lm2$Qx81Zp"\npwd = A\nA = 1', ["q8Wj-Z2mP0xTt", "k9#Lm2$Qx81Zp"]),
+    ('A = "q8Wj"\nA = A + "Z2mP0xTt"\nauthToken = A\nA = ""', ["q8Wj", "Z2mP0xTt"]),
+    ('A = "k9#Lm2$Qx81Zp"\nA = A\npwd = 7', []),
+])
+def test_reassigned_names(text, secrets):
+    assert [text[x["start"]:x["end"]] for x in op6.spans(text) if x["kind"] == "lexed"] == secrets
+
+
+def test_propagation_is_linear_in_assignments():
+    op6.spans("value = 1\npwd = value\n" * 20000)
+
+
 def test_long_bare_values_take_linear_time():
     for text in ("pwd=" + "a" * 200000 + "1", "a:" * 100000 + " " * 50000 + "z", "pwd=" + "a=" * 100000):
         op6.spans(text)
