@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns plus assignment-aware lexing.
 
 The patterns find assignments to five names, access-key ids and long runs of
-hex digits.  The lexer then reads the lines that assign something as source or
-configuration syntax: a target (identifier, dotted or subscripted name, quoted
-key, upper-case variable) followed by ``=  :=  :  =>`` and an expression of
-string literals, bare configuration values, references and ``+``.  References
+hex digits.  The lexer then reads the text as source or configuration syntax: a
+target (identifier, dotted or subscripted name, variable, quoted key) followed
+by ``=  :=  :  =>`` and an expression of string literals (with prefixes, triple
+quotes), bare configuration values, references, operators, calls and brackets,
+which may go on over line ends.  References
 are resolved through all of the document's assignments of the name, so a literal is judged
 by every name it reaches: ``A = "..."`` and ``db_password = A`` make A's literal
 a password.  A literal is reported when the sensitivity of its best target name
@@ -24,7 +25,6 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict, deque
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,25 +55,44 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$?\{.*\}|%.*%|(?:your|my|the
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 LEXEME = re.compile(r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
-  | (?P<subscript>\[\s*(?:"[^"\n]*"|'[^'\n]*')\s*\])
+    (?P<triple>[rRbBuUfF]{0,2}(?P<quotes>\"{3}|'{3})(?P<inner>[\s\S]*?)(?P=quotes))
+  | (?P<string>(?:[rRbBuUfFL]{1,2}|u8|b?r\#+|\$@|@\$|[@$])?
+      (?:"(?:[^"\\\r\n]|\\[^\r\n])*"|'(?:[^'\\\r\n]|\\[^\r\n])*'|`[^`\r\n]*`))
+  | (?P<subscript>\[\s*(?:"[^"\r\n]*"|'[^'\r\n]*')\s*\])
   | (?P<reference>\$\{\w+\}|\$\w+)
   | (?P<name>[A-Za-z_][\w-]*(?:\.[A-Za-z_][\w-]*)*)
   | (?P<compare>[=!<>]=)
   | (?P<assign>:=|=>|=|:(?!//))
-  | (?P<plus>\+)
-  | (?P<space>[\x20\t]+)
-  | (?P<other>.)
+  | (?P<space>(?:[\x20\t]|\\(?:\r\n|\r|\n))+)
+  | (?P<newline>(?:\r\n|\r|\n)(?:[\x20\t]*+(?:\r\n|\r|\n))*+)
+  | (?P<other>\\[^\r\n]|.)
 """, re.VERBOSE)
 LINE = re.compile(r"[^\r\n]+")  # lines end at \r\n, \r or \n
 #: A run of characters that a bare value may have; the empty group says that a line's end or a delimiter follows.
-RUN = re.compile(r"[^\s\"'`,;#(){}\[\]<>]++(?=[\x20\t]*+(?:$|[,;}#])())?")
+RUN = re.compile(r"[^\s\"'`,;#(){}\[\]<>]++(?=[\x20\t]*+(?:$|[\r\n,;}#])())?")
 BLANK = re.compile(r"[\x20\t]*")
+ASSIGNS = re.compile(r"[=:]")
+#: The start of a line that is an assignment of its own.
+STATEMENT = re.compile(r"[\x20\t]*(?:(?:export|const|let|var|final|static|public|private)[\x20\t]+)?"
+                       r"[A-Za-z_][\w.-]*[\x20\t]*[-+*/%|&^]?(?::=|=>|=|:)(?![=/])(?=.)")
+#: YAML's block values: what follows the colon, and a line of the block that is one value.
+BLOCK = re.compile(r"[\x20\t]*[|>][-+0-9]*[\x20\t]*(\r\n|\r|\n)")
+BLOCK_LINE = re.compile(r"([\x20\t]*)([^\r\n]*)(?:\r\n|\r|\n|$)")
+BLOCK_HEAD = re.compile(r".*:[\x20\t]*[|>][-+0-9]*[\x20\t]*$")
+VALUE_LINE = re.compile(r"\S+")
+#: An argument that names a setting, and is no value of it: words in one case each.
+SETTING = re.compile(r"(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)\d{0,2}"
+                     r"(?:[_./: -](?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)\d{0,2})*")
+CLOSING = {"(": ")", "[": "]", "{": "}"}
+#: After these an expression goes on, as it does before them on the next line.
+OPERATORS, JOINING, PREFIXES = frozenset("+|&?%."), frozenset("+%."), frozenset("!&*@-")
+WORDS = frozenset({"or", "and", "if", "else", "not", "new", "await"})
 
 #: A bare value that may be a name: a reference, unless it has a digit and nothing has that name.
 REFERENCE = re.compile(r"[A-Za-z_]+(?:[.-][A-Za-z_]+)*|\$\{?\w+\}?")
 
-Literal = tuple[str, int, int]  # value, start, end
+Literal = tuple[str, int, int, bool]  # value, start, end, and whether it is bare and so may be a name
+Term = Literal | str | int  # a literal, a name, or the number of an assignment inside
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -86,49 +105,187 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def assignments(line: str, at: int) -> Iterator[tuple[str, list[Literal | str]]]:
-    """(target, terms) of a line that begins at ``at``: terms are literals with their
-    place in the text, or names of other targets."""
-    tokens = [(m.lastgroup, m) for m in LEXEME.finditer(line) if m.lastgroup != "space"]
-    runs = RUN.finditer(line)  # each found once, however many assignments begin in it
-    run = next(runs, None)
-    i, target = 0, None
-    while i < len(tokens):
-        kind, m = tokens[i]
-        i += 1
-        if kind in ("name", "string"):
-            target = m[0] if kind == "name" else m[0][1:-1]
-        elif kind == "subscript" and target:
-            target += "." + m[0].strip("[]\t '\"")
-        elif kind == "assign" and target:
-            if m[0] == ":" and i + 1 < len(tokens) and tokens[i][0] == "name" and tokens[i + 1][1][0] == "=":
-                i += 1  # name: type = value
+def value_lines(text: str, start: int, end: int) -> list[Literal]:
+    """The lines of a part of the text that are one value each, without their margins."""
+    return [(m[0], m.start(), m.end(), False) for line in LINE.finditer(text, start, end)
+            if (m := VALUE_LINE.search(text, line.start(), line.end())) and not text[m.end():line.end()].strip()]
+
+
+def block_lines(text: str, at: int, hi: int, indent: int) -> list[Literal]:
+    """The values of a YAML block that begins at ``at`` and whose key is indented by ``indent``."""
+    out = []
+    while at < hi and (m := BLOCK_LINE.match(text, at, hi)) and (not m[2] or len(m[1]) > indent):
+        if BLOCK_HEAD.match(m[2]):
+            break
+        if not STATEMENT.match(m[2]):
+            out += value_lines(text, m.start(2), m.end(2))
+        at = m.end()
+    return out
+
+
+class Lexer:
+    """The assignments of a text in one pass: ``found`` has (target, terms) in order of the targets.
+
+    The value of an assignment goes on over operators, calls and brackets, whose strings and
+    names are its terms too, and over line ends inside brackets, after an operator, and where
+    the value has not begun.  An assignment inside the parentheses of a call is a term of the
+    outer one; in braces and lists each key judges its own value.  Arguments that look like
+    the name of a setting (``getenv("API_KEY")``) are no values."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, []
+        self.read(0, len(text))
+
+    def next(self, at: int, hi: int) -> re.Match | None:
+        m = LEXEME.match(self.text, at, hi)
+        return LEXEME.match(self.text, m.end(), hi) if m and m.lastgroup == "space" else m
+
+    def line_from(self, at: int, hi: int) -> int:
+        """The start of the first line from ``at`` on that assigns something."""
+        m = ASSIGNS.search(self.text, at, hi)
+        return max(at, self.text.rfind("\n", at, m.start()) + 1, self.text.rfind("\r", at, m.start()) + 1) if m else hi
+
+    def element(self, owner: int | None) -> int | None:
+        """A nameless assignment for one argument, list element or alternative of the owner's value."""
+        if owner is None:
+            return None
+        self.found.append(("", []))
+        self.found[owner][1].append(len(self.found) - 1)
+        return len(self.found) - 1
+
+    def read(self, lo: int, hi: int) -> None:
+        text, found = self.text, self.found
+        pos = self.line_from(lo, hi)
+        runs = RUN.finditer(text, pos, hi)  # each found once, however many assignments begin in it
+        run = next(runs, None)
+        # open brackets in values: what closes them, whose value is in them, whose goes on after them, if it is a call
+        frames: list[tuple[str, int | None, int | None, bool]] = []
+        target: str | None = None
+        value: int | None = None  # the assignment whose value is read
+        want = bare = False  # whether an operand must follow, and whether that may be a bare value
+        operand = None  # the kind of the operand just read: it may turn out to be a target
+        crossed = colon = dash = ternary = False
+        indent = base = BLANK.match(text, pos, hi).end() - pos
+        while pos < hi and (m := LEXEME.match(text, pos, hi)):
+            kind, start, pos = m.lastgroup, m.start(), m.end()
+            if kind == "space":
+                continue
+            if kind == "newline":
+                after = self.next(pos, hi)
+                margin = BLANK.match(text, pos, hi).end() - pos
+                target, before = None, operand
+                if frames:
+                    if margin <= base and STATEMENT.match(text, pos, hi):
+                        frames.clear()  # a bracket was never closed
+                        value, want = None, False
+                    else:
+                        operand = before
+                if not frames:
+                    sign = after[0] if after else ""
+                    if value is not None and want and (margin > indent or sign[-1:] in ('"', "'") or sign == "-"):
+                        bare = True
+                    elif value is not None and not want and operand and (
+                            sign in OPERATORS or dash and sign == "-" and margin >= indent):
+                        want = dash and sign == "-"
+                        bare = want
+                    else:
+                        value, want, operand, dash = None, False, None, False
+                        pos = self.line_from(pos, hi)
+                        indent = BLANK.match(text, pos, hi).end() - pos
+                crossed = True
                 continue
-            terms, more = [], True
-            begin = BLANK.match(line, m.end()).end()
-            while run and run.end() <= begin:
-                run = next(runs, None)
-            if run and run.start() <= begin and run[1] is not None:
-                bare = line[begin:run.end()]
-                if not REFERENCE.fullmatch(bare):
-                    terms.append((bare, at + begin, at + run.end()))
-                    while i < len(tokens) and tokens[i][1].start() < run.end():
-                        i += 1
-            while more and i < len(tokens) and tokens[i][0] in ("string", "name", "reference"):
-                part = tokens[i][1]
-                if tokens[i][0] == "string":
-                    if i + 1 < len(tokens) and tokens[i + 1][0] == "assign":
-                        break  # it is the next target
-                    terms.append((part[0][1:-1], at + part.start() + 1, at + part.end() - 1))
+            if value is not None and want and bare:
+                while run and run.end() <= start:
+                    run = next(runs, None)
+                if run and run.start() <= start and run[1] is not None:
+                    given = text[start:run.end()]
+                    if not REFERENCE.fullmatch(given) and not (crossed and STATEMENT.match(given)):
+                        found[value][1].append((given, start, run.end(), True))
+                        pos, want, bare, operand, target = run.end(), False, False, "bare", None
+                        continue
+                bare = crossed and kind == "other"  # after a list's dash
+            if kind in ("string", "triple"):
+                if kind == "triple":
+                    parts = value_lines(text, *m.span("inner"))
+                    if ASSIGNS.search(text, *m.span("inner")):
+                        self.read(*m.span("inner"))
+                else:
+                    quote = next(i for i, c in enumerate(m[0]) if c in "\"'`")
+                    parts = [(m[0][quote + 1:-1], start + quote + 1, pos - 1, False)]
+                if value is not None and (want or operand == "string"):
+                    called = frames and frames[-1][3]
+                    found[value][1].extend(part for part in parts if not (called and SETTING.fullmatch(part[0])))
+                    operand, want = "string", False
+                else:
+                    operand = None
+                target = parts[0][0] if kind == "string" else None
+            elif kind in ("name", "reference"):
+                target = m[0].strip("${}")
+                if value is not None and target in WORDS:
+                    value, want, operand, target = self.element(value), True, None, None
+                elif value is not None and want and not (crossed and colon and not frames):
+                    found[value][1].append(target)
+                    operand, want = "name", False
                 else:
-                    terms.append(part[0].strip("${}"))
-                more = i + 1 < len(tokens) and tokens[i + 1][0] == "plus"
-                i += 1 + more
-            if terms:
-                yield target, terms
-            target = None
-        elif kind != "plus":
-            target = None
+                    operand = None
+                    if value is not None and not frames:
+                        value, want = None, False
+            elif kind == "subscript":
+                if value is not None and want:
+                    part = m[0].strip("[] \t\r\n")
+                    at = start + m[0].index(part)
+                    found[value][1].append((part[1:-1], at + 1, at + len(part) - 1, False))
+                    operand, want, target = "list", False, None
+                elif target:
+                    target += "." + m[0].strip("[]\t\r\n '\"")
+            elif kind == "assign" and ternary and value is not None and m[0] == ":":
+                value, want, operand, ternary, target = self.element(value), True, None, False, None
+            elif kind == "assign" and target:
+                outer = value
+                if outer is not None and operand in ("string", "name") and found[outer][1]:
+                    last = found[outer][1][-1]
+                    if target == (last[0] if isinstance(last, tuple) else last):
+                        found[outer][1].pop()  # it was no operand
+                value = len(found)
+                found.append((target, []))
+                if outer is not None and (frames[-1][0] == ")" if frames else m[0] == "=" and not crossed):
+                    found[outer][1].append(value)
+                want, bare, operand, target = True, True, None, None
+                crossed, colon, dash, ternary = False, m[0] == ":", False, False
+                if colon and not frames and sensitivity(found[value][0]) and (block := BLOCK.match(text, pos, hi)):
+                    found[value][1].extend(block_lines(text, block.end(), hi, indent))
+                    value, want, pos = None, False, block.start(1)
+            elif kind == "assign" and value is not None and not want:
+                want = bare = True  # name: some[type] = value
+                crossed = False
+            elif m[0] in CLOSING and (frames or value is not None):
+                if not frames:
+                    base = indent
+                owner = value if want or m[0] == "(" else None  # else an index or a block
+                called = m[0] == "(" and (not want or bool(frames) and frames[-1][3])
+                frames.append((CLOSING[m[0]], owner, value, called))
+                value = self.element(owner)
+                want, bare, operand, target = value is not None, False, None, None
+            elif frames and m[0] in (")", "]", "}"):
+                for up in range(1, min(4, len(frames)) + 1):
+                    if frames[-up][0] == m[0]:
+                        value = frames[-up][2]
+                        del frames[-up:]
+                        break
+                operand, want, target = "list", False, None
+            elif m[0] == "," and frames:
+                value = self.element(frames[-1][1])
+                want, bare, operand, target, ternary = value is not None, False, None, None, False
+            elif value is not None and m[0] in OPERATORS and not want:
+                want, operand, target = True, None, None
+                ternary = ternary or m[0] == "?"
+                if m[0] not in JOINING:
+                    value = self.element(value)
+            elif value is not None and want and (m[0] in OPERATORS or m[0] in PREFIXES):
+                dash = dash or m[0] == "-" and crossed
+                target = None
+            elif m[0] not in ("+", "?") or value is not None:
+                value, want, bare, operand, target = None, False, False, None, None
 
 
 def sensitivity(name: str) -> float:
@@ -146,8 +303,8 @@ def randomness(value: str) -> float:
     return min(1.0, entropy / 3.5 * min(1.0, len(value) / 12)) * (0.4 if mixed == 1 else 0.8 if mixed == 2 else 1.0)
 
 
-def named(term: Literal | str) -> str:
-    return term if isinstance(term, str) else term[0]
+def named(term: Term) -> str | None:
+    return term if isinstance(term, str) else term[0] if isinstance(term, tuple) and term[3] else None
 
 
 def joined(found: list, places: dict[str, list[int]], i: int) -> list[Literal]:
@@ -173,24 +330,23 @@ def joined(found: list, places: dict[str, list[int]], i: int) -> list[Literal]:
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     """Literals that assignments, directly or through constants, give to sensitive names.  A
     reference stands for every assignment of its name, so a reassigned name loses none."""
-    found: list[tuple[str, list[Literal | str]]] = []
-    for m in LINE.finditer(text):
-        if "=" in m[0] or ":" in m[0]:
-            found += assignments(m[0], m.start())
+    found = Lexer(text).found
     places = defaultdict(list)  # a name's assignments, in order
-    for i, (target, _) in enumerate(found):
-        places[target].append(i)
+    for i, (target, terms) in enumerate(found):
+        if target and terms:
+            places[target].append(i)
     # each assignment's most sensitive name among those that its value reaches
     reached: dict[int, tuple[float, str]] = {}
     followed = set()
     worths = {name: sensitivity(name) for name in places}
-    for first in sorted((i for i, (t, _) in enumerate(found) if worths[t]), key=lambda i: -worths[found[i][0]]):
+    for first in sorted((i for i, (t, _) in enumerate(found) if worths.get(t)), key=lambda i: -worths[found[i][0]]):
         todo = [first]
         while todo:
             i = todo.pop()
             if i in reached:
                 continue
             reached[i] = (worths[found[first][0]], found[first][0])
+            todo += [term for term in found[i][1] if isinstance(term, int)]
             for name in map(named, found[i][1]):
                 if name in places and name not in followed:
                     followed.add(name)
@@ -198,12 +354,12 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for i in sorted(reached):
         worth, target = reached[i]
-        parts = [(term, 0.0) for term in found[i][1] if isinstance(term, tuple) and term[0] not in places]
+        parts = [(term, 0.0) for term in found[i][1] if isinstance(term, tuple) and named(term) not in places]
         if len(found[i][1]) > 1:
             all_parts = joined(found, places, i)
-            whole = randomness("".join(v for v, _, _ in all_parts)) * 0.9
+            whole = randomness("".join(v for v, *_ in all_parts)) * 0.9
             parts += [(part, whole) for part in all_parts]
-        for (value, start, end), whole in parts:
+        for (value, start, end, _), whole in parts:
             score = worth + max(randomness(value), whole)
             if score >= THRESHOLD and len(value) and score > best.get((start, end), (0.0, ""))[0]:
                 best[start, end] = (score, target)

@@ -160,6 +160,64 @@ def test_reassigned_names(text, secrets):
     assert [text[x["start"]:x["end"]] for x in op6.spans(text) if x["kind"] == "lexed"] == secrets
 
 
+@pytest.mark.parametrize("text, secrets", [
+    ('SECRET_KEY = b"zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+    ("auth_key = r'zX81-kkP0-99aa'", ['zX81-kkP0-99aa']),
+    ('string authToken = @"zX81-kkP0-99aa";', ['zX81-kkP0-99aa']),
+    ('pwd = f"zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+    ('AUTH_KEY = os.getenv("AUTH_KEY", "k9#Lm2$Qx81Zp")', ['k9#Lm2$Qx81Zp']),
+    ('const pwd = process.env.PWD || "k9#Lm2$Qx81Zp";', ['k9#Lm2$Qx81Zp']),
+    ('"privateKey":\n    "k9#Lm2$Qx81Zp",\n"a": 1', ['k9#Lm2$Qx81Zp']),
+    ('pwd:\n  zX81-kkP0-99aa\nuser: bob', ['zX81-kkP0-99aa']),
+    ('pwd = (\n    "zX81-kkP0"\n    "-99aa"\n)', ['zX81-kkP0', '-99aa']),
+    ('pwd = """zX81-kkP0-99aa"""', ['zX81-kkP0-99aa']),
+    ('privateKey = """\nzX81-kkP0-99aa\nk9#Lm2$Qx81Zp\n"""', ['zX81-kkP0-99aa', 'k9#Lm2$Qx81Zp']),
+    ('privateKey: |\n  zX81-kkP0-99aa\n  k9#Lm2$Qx81Zp\nother: 1', ['zX81-kkP0-99aa', 'k9#Lm2$Qx81Zp']),
+    ('pwd = \\\n  "zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+    ('pwd = "zX81" +\n   "-kkP0-99aa"', ['zX81', '-kkP0-99aa']),
+    ('pwd = "zX81"\n   + "-kkP0-99aa"', ['zX81', '-kkP0-99aa']),
+    ('c = connect(user="bob", pwd="zX81-kkP0-99aa")', ['zX81-kkP0-99aa']),
+    ('pwd = get("PWD", default="zX81-kkP0-99aa")', ['zX81-kkP0-99aa']),
+    ('pwds = 1\npwd = ["zX81-kkP0-99aa", "k9#Lm2$Qx81Zp"]', ['zX81-kkP0-99aa', 'k9#Lm2$Qx81Zp']),
+    ('auth = {"user": "zX81-kkP0-99aa", "pwd": "k9#Lm2$Qx81Zp"}', ['k9#Lm2$Qx81Zp']),
+    ('auth = {user: "zX81-kkP0-99aa", pwd: "k9#Lm2$Qx81Zp"}', ['k9#Lm2$Qx81Zp']),
+    ('PWD=\nOTHER=zX81-kkP0-99aa', []),
+    ('pwd: Optional[str] = "zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+    ('let pwd: &str = "zX81-kkP0-99aa";', ['zX81-kkP0-99aa']),
+    ('if token:\n    self.count+=1\n    foo("zX81-kkP0-99aa")', []),
+    ('$pwd = "zX81-kkP0-99aa";', ['zX81-kkP0-99aa']),
+    ('pwd = dev ? "x1" : "zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+    ('pwd = B = "zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+    ('pwd = foo(bar\n\nid = "zX81-kkP0-99aa"', []),
+    ('auth:\n  user: zX81-kkP0-99aa\n  pwd: k9LmQx81Zp-2\n', ['k9LmQx81Zp-2']),
+    ('x = """\npwd=zX81-kkP0-99aa\n"""\npwd = 1', ['zX81-kkP0-99aa']),
+    ('pwd: [\n  "zX81-kkP0-99aa",\n  "k9#Lm2$Qx81Zp"\n]', ['zX81-kkP0-99aa', 'k9#Lm2$Qx81Zp']),
+    ('signing:\n- zX81-kkP0-99aa\npwd:\n  - zX81-kkP0-99aa\n  - k9LmQx81Zp-2\nx: 1',
+     ['zX81-kkP0-99aa', 'zX81-kkP0-99aa', 'k9LmQx81Zp-2']),
+    ('if ok {\n  pwd := "zX81-kkP0-99aa"\n}', ['zX81-kkP0-99aa']),
+    ('{"a": {"pwd": "zX81-kkP0-99aa"}, "b": {"c": "zX81-kkP0-99ab"}}', ['zX81-kkP0-99aa']),
+    ('pwd = str(base64.b64decode("zX81-kkP0-99aa"))', ['zX81-kkP0-99aa']),
+    ("it's pwd = 'zX81-kkP0-99aa'", []),
+    ('pwd = A[0]\nA = ["zX81-kkP0-99aa"]', ['zX81-kkP0-99aa']),
+    ('x = f(a, [b)\npwd = "zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+    ('pwd = x;\ny = "zX81-kkP0-99aa"', []),
+    ('secret = os.getenv("APP_SECRET_KEY")\nauth_token = form.get("accessToken", headers.get("X-Auth-Token"))', []),
+    ('"zX81-kkP0-99aa" = 1\npwd = "zX81-kkP0-99aa"', ["zX81-kkP0-99aa"]),
+    ('pwd = :zX81-kkP0', [":zX81-kkP0"]),
+    ('os.environ["PRIVATE_KEY"] = "zX81-kkP0-99aa"', ['zX81-kkP0-99aa']),
+])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_expressions(text, secrets, end):
+    text = text.replace("\n", end)
+    assert [text[x["start"]:x["end"]] for x in op6.spans(text) if x["kind"] == "lexed"] == secrets
+
+
+def test_whole_text_lexer_is_linear():
+    for text in ("a=[" * 20000, "a=f(" * 20000 + ")]" * 20000, "a=\n" * 30000, 'x="""' * 10001, 'x="' + '\\"' * 20000,
+                 "pwd = \\\n" * 20000, "pwd: |\n" + " a: |\n" * 20000, "pwd=[" + "\n  a," * 20000, "pwd:\n -" + " -" * 30000):
+        op6.spans(text)
+
+
 def test_propagation_is_linear_in_assignments():
     op6.spans("value = 1\npwd = value\n" * 20000)
 
