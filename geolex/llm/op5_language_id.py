@@ -5,7 +5,10 @@ language.  A text is lower-cased and cut into segments (so that the dictionary,
 text's own beginning, explains each of them), every segment is encoded with
 every language's dictionary, and the language with the fewest bytes wins.  The
 margin is the share of bytes that the winner saves on the second; where it is
-narrow the answer is rejected.
+narrow the answer is rejected.  Frames are whole bytes, so short texts often tie:
+the languages that tie on a text too short for its bytes to show ``MIN_MARGIN``
+are measured again by the bytes that the text adds to each of ``PIECES`` evenly
+spaced pieces of their dictionaries, and that margin decides.
 
 The dictionaries are fitted on a bounded sample of labelled rows: per language
 the ``SAMPLE_ROWS`` distinct texts with the smallest hashes, cut to
@@ -37,6 +40,10 @@ from geolex.llm.common import cut, held_out, named, packed, ship, table, unpacke
 SAMPLE_ROWS, SALTS = 256, 16
 DICTIONARY, ALL_DICTIONARIES = 64 << 10, 16 << 20
 SAMPLE_SEGMENT, SEGMENT, LEVEL = 1024, 4096, 6
+#: Pieces of a dictionary, and their most bytes, that measure ties.
+PIECES, PIECE = 16, 2048
+FINE = dict(window_log=17, chain_log=13, hash_log=13, search_log=4, min_match=4, target_length=64,
+            strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
 #: Margins below this are rejected.
 MIN_MARGIN = 0.002
 
@@ -84,6 +91,17 @@ class Judge:
             data.precompute_compress(level=LEVEL)
             self.coders.append((lang, zstandard.ZstdCompressor(
                 dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        self.dictionaries = sorted(dictionaries.items())
+        self.fine = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**FINE))
+        self.pieces: dict[int, list[tuple[bytes, int]]] = {}  # a language's pieces and their sizes
+
+    def added(self, k: int, raw: bytes) -> int:
+        """The bytes that ``raw`` adds to the pieces of the k-th language's dictionary."""
+        if k not in self.pieces:
+            content = self.dictionaries[k][1]
+            cuts = [content[at:at + PIECE] for at in (len(content) * i // PIECES for i in range(PIECES))]
+            self.pieces[k] = [(cut, len(self.fine.compress(cut))) for cut in cuts]
+        return max(1, sum(len(self.fine.compress(piece + raw)) - size for piece, size in self.pieces[k]))
 
     def __call__(self, text: str) -> tuple[str, float, float]:
         """(language, score, margin)."""
@@ -95,6 +113,11 @@ class Judge:
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min(sizes[:best] + sizes[best + 1:], default=0)
         margin = 1 - sizes[best] / second if second else 1.0
+        if margin < MIN_MARGIN and sizes[best] * MIN_MARGIN < 1:
+            tied = [k for k, size in enumerate(sizes) if size == sizes[best]]
+            sizes = [self.added(k, raw) for k in tied]
+            first, second = sorted(sizes)[:2]
+            best, margin = tied[sizes.index(first)], 1 - first / second
         return self.coders[best][0], min(1.0, 0.5 + 5 * margin), margin
 
 

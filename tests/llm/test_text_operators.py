@@ -79,6 +79,16 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.rejected for r in rows) < 0.02 * len(rows)
 
 
+def test_short_texts_are_judged(spark):
+    docs = docs_of(spark, SF01)
+    judge = op5.Judge(op5.learn(docs))
+    texts = [(" ".join(r.text.split()[:3]), r.lang) for r in docs.collect() if brute_held(r.doc_id)]
+    answers = [(judge(text), lang) for text, lang in texts if any(map(str.isalpha, text))]
+    assert len(answers) > 250
+    assert sum(margin < op5.MIN_MARGIN for (_, _, margin), _ in answers) < 0.05 * len(answers)
+    assert sum(got == lang for (got, _, _), lang in answers) > 0.75 * len(answers)
+
+
 def test_language_rules(spark, odd, none, clashing):
     found = {r.doc_id: r for r in op5.classify(odd.filter("doc_id IS NOT NULL"),
                                                op5.learn(docs_of(spark, SF01))).collect()}
