@@ -309,6 +309,16 @@ def q_j6(spark, d):
     return J.x5_points_to_counties(spark, d)
 
 
+@query("x5_located_counties")
+def q_x5(spark, d):
+    return J.x5_located_counties(spark, d)
+
+
+@query("x5_located_counts")
+def q_x5_counts(spark, d):
+    return J.x5_located_counts(spark, d)
+
+
 @query("j5_resolve_places")
 def q_j5(spark, d):
     return J.resolved_posts(spark, d).select("post_id", "state", "county", "fips", "resolved_by")

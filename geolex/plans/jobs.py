@@ -173,6 +173,36 @@ def x5_points_to_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.zip_to_fips(near.withColumn("zip", F.col("zip").cast("string")), zips_all)
 
 
+#: Values come back from the delimited file as they were written, white space and line ends included.
+EXACT_CSV = dict(header=True, sep="\t", quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                 ignoreTrailingWhiteSpace=False)
+
+
+def located_counties(raw: DataFrame, centroids: DataFrame, zips_all: DataFrame) -> DataFrame:
+    """X5 on decoded posts: P1 -> P3 -> T16 -> J3 -> J6 -> S10, read back: one row per
+    post and county of the zip nearest to the coordinates that its location text states."""
+    flat = places.keep_located(places.flatten_posts(raw), strict=True)
+    at = tx.parse_lat_long("location")
+    keep = ["user_id", "text", "created_at"]
+    points = flat.select(*keep, at["lat"].alias("lat"), at["long"].alias("lon")).dropna(subset=["lat", "lon"])
+    near = places.nearest_zip(points, centroids, RADIUS_MILES, keep)
+    found = places.zip_to_fips(near.withColumn("zip", F.col("zip").cast("string")), zips_all).select("fips", *keep)
+    path = sink_path(raw.sparkSession, "located-counties") + ".csv"
+    found.write.options(**EXACT_CSV).csv(path)
+    return raw.sparkSession.read.options(**EXACT_CSV, multiLine=True).schema(found.schema).csv(path)
+
+
+def x5_located_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return located_counties(S.coordinate_posts(spark, sf_dir), S.zip_centroids(spark, sf_dir),
+                            places.zip_table(S.zip_county(spark, sf_dir), "all"))
+
+
+def x5_located_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5's A9: lines read (those that are no JSON included), and records of the delimited file."""
+    total = S.coordinate_posts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_total"))
+    return total.crossJoin(F.broadcast(x5_located_counties(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_valid"))))
+
+
 # ---------------------------------------------------------------------- X9
 def level_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual and predicted level of every region binned for a map.

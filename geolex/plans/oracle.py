@@ -502,6 +502,15 @@ WHERE rank <= 10"""
     o["j3_nearest_zip"] = near + "SELECT point_id, zip, round(dist, 6) AS dist FROM near"
     o["j6_points_to_counties"] = near + """
 SELECT z.zip, n.point_id, round(n.dist, 6) AS dist, z.fips FROM near n JOIN zips_all z ON z.zip = CAST(n.zip AS VARCHAR)"""
+    x5 = with_(cte_posts(), cte_zips(), f"""
+stated AS (SELECT *, {lat_of('user_id')} + {dbl(0.02)} AS lat, {lon_of('user_id')} + {dbl(0.02)} AS lon FROM posts
+           WHERE (user_id * 31 + line_no) % 50 <> 0 AND user_id % 6 = 3 AND user_id <> 0 AND lang = 'en'),
+spts AS (SELECT DISTINCT user_id AS point_id, lat, lon FROM stated)""", cte_nearest("spts", "cents", "snear"), """
+counties AS (SELECT z.fips, s.user_id, s.text, 'line ' || CAST(s.line_no AS VARCHAR) AS created_at
+             FROM stated s JOIN snear n ON n.point_id = s.user_id JOIN zips_all z ON z.zip = CAST(n.zip AS VARCHAR))""")
+    o["x5_located_counties"] = x5 + "SELECT fips, user_id, text, created_at FROM counties"
+    o["x5_located_counts"] = x5 + """SELECT count(*) AS n_total,
+       (SELECT count(*) FROM counties) AS n_valid FROM posts"""
     o["j5_resolve_places"] = "WITH " + cte_resolved().strip("\n") + "\nSELECT post_id, state, county, fips, resolved_by FROM resolved"
     o["x1_person_records"] = x1_person_ctes() + f"""
 SELECT post_id, fip, user_id, text, filtered_text, url_count, emoji_count, {lv} FROM xp"""

@@ -38,6 +38,12 @@ def test_query_matches_oracle(spark, con, name):
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(dcols, res.fetchall())
 
 
+def test_x5_posts_reach_counties(spark):
+    rows = catalog.queries()["x5_located_counties"](spark, SF001).collect()
+    counts = catalog.queries()["x5_located_counts"](spark, SF001).first()
+    assert 0 < len(rows) == counts.n_valid and counts.n_total > 0 and all(r.user_id % 6 == 3 for r in rows)
+
+
 def test_every_query_has_an_oracle():
     assert set(catalog.queries()) == set(ORACLE)
 
