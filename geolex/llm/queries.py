@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from geolex.llm import (
     op1_simhash_near_dedup,
     op10_inverted_multi_index,
+    op11_best_fit_packing,
+    op12_ranked_search,
+    op13_phrase_collocations,
     op2_mix_sources,
     op3_exact_dedup,
     op4_license_scan,
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_crf": op8_quality_crf.op8_quality_crf,
         "op9_byte_bpe": op9_byte_bpe.op9_byte_bpe,
         "op10_inverted_multi_index": op10_inverted_multi_index.op10_inverted_multi_index,
+        "op11_best_fit_packing": op11_best_fit_packing.op11_best_fit_packing,
+        "op12_ranked_search": op12_ranked_search.op12_ranked_search,
+        "op13_phrase_collocations": op13_phrase_collocations.op13_phrase_collocations,
     }
 
 
@@ -41,4 +47,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": op3_exact_dedup.ORACLE_SQL,
         "op4_license_scan": op4_license_scan.ORACLE_SQL,
         "op10_inverted_multi_index": op10_inverted_multi_index.ORACLE_SQL,
+        "op12_ranked_search": op12_ranked_search.ORACLE_SQL,
+        "op13_phrase_collocations": op13_phrase_collocations.ORACLE_SQL,
     }
