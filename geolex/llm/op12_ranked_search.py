@@ -168,23 +168,23 @@ class Shard:
         return found, scores, read
 
 
-def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of rows as (doc_id, valid, owner, term, impact)."""
+def shards(batches: Iterator[pa.RecordBatch], weights: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of rows (doc_id, m, terms, tfs) as (doc_id, valid, owner, term, impact)."""
     held, postings = [], 0
 
     def joined():
-        whole = pa.Table.from_batches(held).combine_chunks()
-        sizes = whole["terms"].combine_chunks().value_lengths().to_numpy()
-        ids = whole["doc_id"].combine_chunks()
-        return (ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False),
-                np.repeat(np.arange(len(sizes)), sizes), whole["terms"].combine_chunks().flatten().to_numpy(),
-                whole["impacts"].combine_chunks().flatten().to_numpy())
+        ids, m, terms_, tfs = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        sizes = terms_.value_lengths().to_numpy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        term, tf = terms_.flatten().to_numpy(), tfs.flatten().to_numpy()
+        impact = weights[term] * (1000000000 * tf // (1000 * tf + 8 * m.to_numpy()[owner]))
+        return ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), owner, term, impact
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             held.append(part)
-            postings += len(part.column(1).flatten()) + part.num_rows
+            postings += len(part.column(2).flatten()) + part.num_rows
             if postings >= limit:
                 yield joined()
                 held, postings = [], 0
@@ -192,19 +192,20 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.n
         yield joined()
 
 
-def answers(impacts: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, limit: int) -> DataFrame:
+def answers(docs: DataFrame, queries: list[tuple[int, np.ndarray]], weights: np.ndarray, k: int, limit: int) -> DataFrame:
     """(item, doc_id, score): each task's best k documents of each query."""
-    shipped = impacts.sparkSession.sparkContext.broadcast(queries)
+    shipped = docs.sparkSession.sparkContext.broadcast((queries, weights))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, weight = shipped.value
         top: dict[int, list[tuple]] = {}
-        for ids, valid, owner, term, impact in shards(batches, limit):
+        for ids, valid, owner, term, impact in shards(batches, weight, limit):
             order = np.lexsort((ids, ~valid))  # ties go by id, null ids last
             rank = np.empty(len(ids), np.int64)
             rank[order] = np.arange(len(ids))
             shard = Shard(ids[order], rank[owner], term, impact)
             valid = valid[order]
-            for item, query in shipped.value:
+            for item, query in asked:
                 have = top.get(item, [])
                 floor = -have[-1][0] if len(have) == k else 0
                 found, scores, _ = shard.best(query, k, floor)
@@ -217,7 +218,7 @@ def answers(impacts: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, l
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(doc, pa.int64()),
                                               pa.array(score, pa.int64())], names=["item", "doc_id", "score"])
 
-    return in_arrow(impacts, search, "item long, doc_id long, score long")
+    return in_arrow(docs, search, "item long, doc_id long, score long")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -234,17 +235,16 @@ def weight(n: Column, df: Column) -> Column:
     return F.floor(1000 * F.log((2 * n + 2).cast("double") / (2 * df + 1).cast("double")))
 
 
-def impact_table(docs: DataFrame, b: int = B) -> DataFrame:
-    """(doc_id, terms, impacts) of a term table; impacts of weight 0 are left out."""
+def weighed(docs: DataFrame, terms_: int, b: int = B) -> tuple[DataFrame, np.ndarray]:
+    """A term table with ``m`` in place of ``n``, and the weight of each of a block's ``terms_`` terms."""
     total = docs.agg(F.count("*").alias("_N"), F.sum("n").alias("_L"))
     df = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weights = (df.crossJoin(F.broadcast(total)).select("term", weight(F.col("_N"), F.col("df")).alias("w"))
-               .agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_w")))  # a block's terms at most
-    m = F.expr(f"100 - {b} + ({b} * cast(n as decimal(18,0)) * cast(_N as decimal(18,0))) div _L")
-    rows = docs.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(weights)).withColumn("_m", m)
-    return rows.select("doc_id", "terms", F.expr(
-        "transform(arrays_zip(terms, tfs), x -> _w[x.terms] * ((1000000000 * x.tfs) div (1000 * x.tfs + 8 * _m)))")
-        .alias("impacts"))
+    rows = df.crossJoin(F.broadcast(total)).select("term", weight(F.col("_N"), F.col("df")).alias("w")).collect()
+    weights = np.zeros(terms_, np.int64)
+    for term, w in rows:  # at most the block's terms
+        weights[term] = w
+    m = F.expr(f"100 - {b} + ({b} * cast(n as decimal(18,0)) * cast(_N as decimal(18,0))) div _L").alias("m")
+    return docs.crossJoin(F.broadcast(total)).select("doc_id", m, "terms", "tfs"), weights
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc_id", text: str = "text",
@@ -260,8 +260,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc
         wanted: dict[bytes, int] = {}
         held = [(row.item, np.sort(np.array([wanted.setdefault(bytes(t), len(wanted)) for t in row.terms], np.int32)))
                 for row in rows]
-        impacts = impact_table(cut(term_table(docs, doc_id, text, wanted), "op12-terms"))
-        part = cut(answers(impacts, held, k, limit), "op12-answers")
+        postings, weights = weighed(cut(term_table(docs, doc_id, text, wanted), "op12-terms"), len(wanted))
+        part = cut(answers(postings, held, weights, k, limit), "op12-answers")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "item long, doc_id long, score long")
