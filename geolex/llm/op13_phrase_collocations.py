@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +66,9 @@ class Numbered(dict):
         return number
 
 
-def word_hash(word: bytes, lang: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang))
+def word_hashes(words: list[bytes], lang: bytes) -> np.ndarray:
+    seed, digest = xxhash.xxh32_intdigest(lang), xxhash.xxh64_intdigest
+    return np.array([digest(w, seed) for w in words], np.uint64)
 
 
 def mixed(hashes: list[np.ndarray]) -> np.ndarray:
@@ -78,10 +80,9 @@ def mixed(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def phrase_hashes(langs: list[bytes], phrases: list[bytes]) -> np.ndarray:
+def phrase_hashes(lang: bytes, phrases: list[bytes]) -> np.ndarray:
     """Hashes of phrases that have as many words each."""
-    places = zip(*(p.split(b" ") for p in phrases))
-    return mixed([np.array([word_hash(w, l) for w, l in zip(words, langs)], np.uint64) for words in places])
+    return mixed([word_hashes(words, lang) for words in zip(*(p.split(b" ") for p in phrases))])
 
 
 def inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -96,11 +97,10 @@ def bit_set(phrases: DataFrame) -> Broadcast:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes = phrase_hashes(*(c.to_pylist() for c in batch.columns))
-            at = (hashes & np.uint64(size - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(at & 63, pa.int32())], names=["at", "bit"])
+            for lang in batch.column(0).unique():
+                phrases = batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist()
+                at = (phrase_hashes(lang.as_py(), phrases) & np.uint64(size - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(at & 63, pa.int32())], names=["at", "bit"])
 
     given = phrases.select(F.col("lang").cast("binary"), F.col("phrase").cast("binary"))
     words = (in_arrow(given, hashed, "at long, bit int").groupBy("at")
@@ -137,17 +137,36 @@ def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[bytes,
         yield lang, END.join(texts)
 
 
-STRIPE = "lang binary, prefix binary, slice int, nexts array<binary>, counts array<long>"
+#: ``key`` is prefix, slice and language, joined by END; ``nexts`` the next words, joined by spaces;
+#: ``counts`` as many 64-bit integers.
+STRIPE = "key binary, nexts binary, counts binary"
+
+
+def packed_stripes(keys: list[bytes], starts: np.ndarray, nexts: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Stripes of which the i-th has the words and counts from ``starts[i]`` on."""
+    ends = np.append(starts, len(counts)).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), nexts), b" ")
+    raw = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * 8), pa.py_buffer(
+        np.ascontiguousarray(counts, np.int64))])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), joined, raw], names=["key", "nexts", "counts"])
+
+
+def unpacked_stripes(stripes: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The number of each entry's stripe, its word and its count."""
+    words = pc.split_pattern(stripes.column(1), " ")
+    sizes = words.value_lengths().to_numpy()
+    counts = np.frombuffer(b"".join(stripes.column(2).to_pylist()), np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), words.flatten(), counts
 
 
 def stripes_of(lang: bytes, text: bytes, length: int, frequent: np.ndarray | None,
                hot: np.ndarray | None) -> pa.RecordBatch | None:
-    """The stripes of a run of text for phrases of ``length`` words."""
+    """The stripes of a run of text for phrases of ``length`` words; none if there are no such phrases."""
     numbers = Numbered({END: 0})
     tokens = filter(None, text.replace(END, b" \n ").split(b" "))
     ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64)
     words, many = list(numbers), len(numbers)
-    hashes = np.array([word_hash(w, lang) for w in words], np.uint64)
+    hashes = word_hashes(words, lang)
     if len(ids) < length:
         return None
     if length == 1:
@@ -183,20 +202,45 @@ def stripes_of(lang: bytes, text: bytes, length: int, frequent: np.ndarray | Non
     order = np.lexsort((slices, prefixes))
     prefixes, slices, nexts, counts = prefixes[order], slices[order], nexts[order], counts[order]
     starts = np.flatnonzero(np.diff(prefixes * SLICES + slices, prepend=-1))
-    offsets = pa.array(np.append(starts, len(nexts)), pa.int32())
+    keys = [b"%b\n%d\n%b" % (prefix_words[p], part, lang)
+            for p, part in zip(prefixes[starts].tolist(), slices[starts].tolist())]
+    return packed_stripes(keys, starts, pa.array(words, pa.binary()).take(pa.array(nexts)), counts)
+
+
+def merge_sorted(stripes: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, pa.Array, np.ndarray]:
+    """Stripes of equal keys, which follow each other, become one: (keys, starts, words, counts), with the end
+    as last start."""
+    keys = stripes.column(0).dictionary_encode()
+    row, words, counts = unpacked_stripes(stripes)
+    words = words.dictionary_encode()
+    many = len(words.dictionary)
+    code = keys.indices.to_numpy()[row].astype(np.int64) * many + words.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    code, sums = code[first], np.add.reduceat(counts[order], first)
+    starts = np.append(np.flatnonzero(np.diff(code // many, prepend=-1)), len(code))
+    return keys.dictionary.to_pylist(), starts, words.dictionary.take(pa.array(code % many)), sums
+
+
+def finished(keys: list[bytes], starts: np.ndarray, words: pa.Array, counts: np.ndarray, least: int) -> pa.RecordBatch:
+    """The whole stripes' totals and entries of ``least`` and more; those without any are left out, but for the
+    empty prefix."""
+    kept = counts >= least
+    sizes, totals = np.add.reduceat(kept.astype(np.int64), starts[:-1]), np.add.reduceat(counts, starts[:-1])
+    parts = [key.split(END, 2) for key in keys]
+    told = np.flatnonzero((sizes > 0) | np.array([not prefix for prefix, _, _ in parts]))
+    offsets = pa.array(np.append(0, np.cumsum(sizes[told])).astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(starts), pa.binary()),
-         pa.array(prefix_words, pa.binary()).take(pa.array(prefixes[starts])),
-         pa.array(slices[starts], pa.int32()),
-         pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary()).take(pa.array(nexts))),
-         pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))],
-        names=["lang", "prefix", "slice", "nexts", "counts"])
+        [pa.array([parts[i][2] for i in told], pa.binary()), pa.array([parts[i][0] for i in told], pa.binary()),
+         pa.array(totals[told]), pa.ListArray.from_arrays(offsets, words.filter(pa.array(kept))),
+         pa.ListArray.from_arrays(offsets, pa.array(counts[kept]))],
+        names=["lang", "prefix", "total", "nexts", "counts"])
 
 
 def merged_stripes(docs: DataFrame, length: int, frequent: Broadcast | None, hot: Broadcast | None, least: int,
                    run: int) -> DataFrame:
-    """(lang, prefix, total, nexts, counts): merged slices, their totals and their entries of ``least``
-    and more."""
+    """(lang, prefix, total, nexts, counts) of the merged slices."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in runs(batches, run):
@@ -205,40 +249,20 @@ def merged_stripes(docs: DataFrame, length: int, frequent: Broadcast | None, hot
                 yield made.slice(at, 8192)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sums = None, {}
-        out: list[tuple] = []
-
-        def close():
-            if key:
-                kept = [(w, c) for w, c in sums.items() if c >= least]
-                out.append((key[0], key[1], sum(sums.values()), [w for w, _ in kept], [c for _, c in kept]))
-
-        def flushed():
-            lang, prefix, total, nexts, counts = zip(*out)
-            out.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.binary()), pa.array(prefix, pa.binary()), pa.array(total, pa.int64()),
-                 pa.array(nexts, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["lang", "prefix", "total", "nexts", "counts"])
-
+        held = None  # the last stripe so far, which the next rows may go on with
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                columns = [c.to_pylist() for c in batch.slice(start, 1024).columns]
-                for lang, prefix, part, nexts, counts in zip(*columns):
-                    if (lang, prefix, part) != key:
-                        close()
-                        key, sums = (lang, prefix, part), dict(zip(nexts, counts))
-                        continue
-                    for word, count in zip(nexts, counts):
-                        sums[word] = sums.get(word, 0) + count
-                if len(out) >= 4096:
-                    yield flushed()
-        close()
-        if out:
-            yield flushed()
-
-    keys = ["lang", "prefix", "slice"]
-    dealt = in_arrow(docs, build, STRIPE).repartition(*keys).sortWithinPartitions(*keys)
+            if not batch.num_rows:
+                continue
+            stripes = pa.RecordBatch.from_arrays(batch.columns, names=["key", "nexts", "counts"])
+            keys, starts, words, counts = merge_sorted(pa.concat_batches([held, stripes]) if held else stripes)
+            last, entry = len(keys) - 1, int(starts[-2])
+            held = packed_stripes(keys[last:], np.zeros(1, np.int64), words.slice(entry), counts[entry:])
+            if last:
+                yield finished(keys[:last], starts[:-1], words.slice(0, entry), counts[:entry], least)
+        if held:
+            yield finished(*merge_sorted(held), least)
+
+    dealt = in_arrow(docs, build, STRIPE).repartition("key").sortWithinPartitions("key")
     return in_arrow(dealt, merge, "lang binary, prefix binary, total long, nexts array<binary>, counts array<long>")
 
 
