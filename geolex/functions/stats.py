@@ -1,16 +1,18 @@
-"""Column-level statistics helpers.
+"""Column-level statistics helpers (R3, M1, M4/M5, W7), as built-in expressions.
 
-The p-value is computed natively (no UDF, no scipy): for a Pearson r with
-nu = n - 2 degrees of freedom, the two-sided Student-t tail has a closed
-form in r.  With a = |r|, c2 = 1 - r^2:
+The p-value of a Pearson r over n points is the regularised incomplete beta function
+I_x(a, 1/2) with a = (n - 2) / 2, x = 1 - r^2.  It is computed from the upper tail, so small values
+keep their relative precision, and in constant work whatever n is.  With y = r^2:
 
-* nu even: p = 1 - a * S,            S = sum_{k<nu/2} a_k c2^k,
-  a_0 = 1, a_k = a_{k-1} (2k-1)/(2k);
-* nu odd:  p = 1 - 2/pi (asin a + a sqrt(c2) S),  S = sum_{k<=(nu-3)/2} b_k c2^k,
-  b_0 = 1, b_k = b_{k-1} (2k)/(2k+1); the sum is empty for nu = 1.
+* y >= 1/2: x^a y^(1/2) / (a B) F(a + 1/2, 1; a + 1; x), a series of positive terms whose ratios
+  are below x <= 1/2;
+* y < 1/2 and a y >= 3: x^a y^(-1/2) / (a B) F(1/2, 1; a + 1; -x/y), whose continued fraction has
+  positive terms only and converges the faster the larger a y is;
+* else 1 - 2 y^(1/2) x^a / B F(a + 1/2, 1; 3/2; y), a series of positive terms, where the
+  p-value is not small.
 
-Both sums are evaluated in Horner form with ``aggregate`` over a descending
-``sequence``, O(nu) per row.
+Here B = B(a, 1/2), and 1 / B comes from an asymptotic series of gamma ratios, shifted by
+``SHIFT`` so that it is exact to double precision from a = 1/2 on.
 """
 
 from __future__ import annotations
@@ -25,33 +27,58 @@ def _c(col):
     return F.col(col) if isinstance(col, str) else col
 
 
-def _horner(upper: Column, c2: Column, num, den) -> Column:
-    """1 + c2*num(k)/den(k)*(1 + ... ) for k = upper .. 1 (1.0 if upper < 1)."""
-    seq = F.sequence(F.greatest(upper, F.lit(1)), F.lit(1), F.lit(-1))
-    folded = F.aggregate(
-        seq,
-        F.lit(1.0),
-        lambda acc, k: F.lit(1.0) + ((c2 * num(k)) / den(k)) * acc,
-    )
-    return F.when(upper >= 1, folded).otherwise(F.lit(1.0))
+#: Terms of the series (ratios end below 1/2), of the continued fraction, and factors of the gamma ratio.
+SERIES, FRACTION, SHIFT = 62, 56, 8
+#: Coefficients of 1/b, 1/b^3, ... of log Gamma(b + 1/2) - log Gamma(b) - log(b) / 2.
+GAMMA = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432, 691 / 180224)
+
+
+def _steps(upper: int, start: Column, step) -> Column:
+    """``step`` applied for k = upper .. 1."""
+    return F.aggregate(F.array(*[F.lit(float(k)) for k in range(upper, 0, -1)]), start, step)
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a)."""
+    b = a + F.lit(float(SHIFT))
+    i = F.lit(1.0) / b
+    log = F.lit(0.0)
+    for c in reversed(GAMMA):
+        log = F.lit(c) + i * i * log
+    ratio = F.sqrt(b) * F.exp(i * log)
+    for j in range(SHIFT):
+        ratio = ratio * (a + float(j)) / (a + (j + 0.5))
+    return ratio
+
+
+def _series(top: Column, bottom: Column, z: Column) -> Column:
+    """F(top, 1; bottom; z) = 1 + top/bottom z (1 + (top + 1)/(bottom + 1) z (...))."""
+    return _steps(SERIES, F.lit(1.0), lambda acc, k: F.lit(1.0) + (top + k - 1.0) / (bottom + k - 1.0) * z * acc)
+
+
+def _fraction(a: Column, w: Column) -> Column:
+    """F(1/2, 1; a + 1; -w) = 1/(1 + c1 w/(1 + c2 w/(1 + ...)))."""
+    def step(acc, k):
+        c = (k / 2.0) * (a + (k - 1.0) / 2.0) / ((a + k - 1.0) * (a + k))
+        return F.lit(1.0) / (F.lit(1.0) + c * w * acc)
+
+    return _steps(FRACTION, F.lit(1.0), step)
 
 
 def corr_p_value(r: Column | str, n: Column | str) -> Column:
-    """Two-sided p-value of a Pearson correlation r over n points."""
-    r, n = _c(r), _c(n).cast("int")
-    a = F.least(F.abs(r), F.lit(1.0))
-    c2 = F.lit(1.0) - a * a
-    nu = n - 2
-    even_sum = _horner(F.floor(nu / 2).cast("int") - 1, c2, lambda k: 2 * k - 1, lambda k: 2 * k)
-    odd_sum = _horner(F.floor((nu - 3) / 2).cast("int"), c2, lambda k: 2 * k, lambda k: 2 * k + 1)
-    p_even = F.lit(1.0) - a * even_sum
-    p_odd = F.when(nu == 1, F.lit(1.0) - F.lit(2.0 / math.pi) * F.asin(a)).otherwise(
-        F.lit(1.0) - F.lit(2.0 / math.pi) * (F.asin(a) + (a * F.sqrt(c2)) * odd_sum)
-    )
-    p = F.when(nu % 2 == 0, p_even).otherwise(p_odd)
-    return F.when(r.isNull() | (nu < 1), F.lit(None).cast("double")).otherwise(
-        F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-    )
+    """Two-sided p-value of a Pearson correlation r over n points (null below 3 points)."""
+    r, n = _c(r), _c(n).cast("long")
+    size = F.least(F.abs(r), F.lit(1.0))
+    a = (n - 2) / F.lit(2.0)
+    y, x = size * size, (F.lit(1.0) - size) * (F.lit(1.0) + size)
+    log_x = F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(x))
+    scale = F.exp(a * log_x) * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))  # x^a / B
+    p = (F.when(x == 0, F.lit(0.0)).when(y == 0, F.lit(1.0))
+         .when(y >= 0.5, scale / a * size * _series(a + 0.5, a + 1.0, x))
+         .when(a * y >= 3, scale / a / size * _fraction(a, x / y))
+         .otherwise(F.lit(1.0) - F.lit(2.0) * size * scale * _series(a + 0.5, F.lit(1.5), y)))
+    return F.when(r.isNull() | (n < 3), F.lit(None).cast("double")).otherwise(
+        F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
 def argmax_first(scores: Column | str) -> Column:

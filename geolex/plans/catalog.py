@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolex.functions import stats as st
 from geolex.functions import text as tx
 from geolex.operators import places, predict, profiles, report, split, tfidf, wordmodel
 from geolex.plans import jobs as J
@@ -431,6 +432,16 @@ def q_a12(spark, d):
     return wide.withColumns({f"pval_{k}": F.round(f"pval_{k}", 3) for k in range(4)})
 
 
+@query("r3_tail_p_values")
+def q_r3(spark, d):
+    """R3 on a correlation and a number of points made of each part's key: logarithms, so that the
+    far tail is compared in its leading digits."""
+    k = F.col("p_partkey")
+    pairs = S.table(spark, d, "part").select("p_partkey", ((100 + k * 7919 % 891) / F.lit(1000.0)).alias("r"),
+                                             (3 + k * 104729 % 301).alias("n"))
+    return pairs.select("p_partkey", "n", "r", F.log10(st.corr_p_value("r", "n")).alias("log10_p"))
+
+
 @query("w4_top_words")
 def q_w4(spark, d):
     return J.top_words(spark, d, ascending=False)

@@ -554,6 +554,17 @@ FROM persons GROUP BY user_id"""
     o["a5_word_observations"] = x2 + f"SELECT word, count(*) AS n FROM obs2 GROUP BY word HAVING count(*) > {J.WORD_COUNT_THRESHOLD}"
     o["a6_bonferroni_factor"] = x2 + "SELECT count(*) AS m FROM m2_pw"
     o["r1_word_regression"] = with_(*x3_ctes()) + MODEL_OUT.format(m="m3")
+    # the hypergeometric series in 1 - r^2, summed term by term with the library's log gamma
+    o["r3_tail_p_values"] = f"""
+WITH t AS (SELECT p_partkey, (100 + p_partkey * 7919 % 891) / {dbl(1000)} AS r, 3 + p_partkey * 104729 % 301 AS n
+           FROM part),
+u AS (SELECT *, (n - 2) / {dbl(2)} AS a, ln(1 - r * r) AS lx FROM t)
+SELECT p_partkey, n, round(r, 6) AS r,
+       round((a * lx + ln(r) + lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) - ln(a)
+              + ln(list_sum(list_transform(range(0, 2500), lambda k:
+                  exp(lgamma(a + 0.5 + k) - lgamma(a + 0.5) - lgamma(a + 1 + k) + lgamma(a + 1) + k * lx))))) / ln(10), 6)
+         AS log10_p
+FROM u"""
     o["r6_word_model"] = x2 + MODEL_OUT.format(m="m2").replace("round(pval, 6)", "round(pval, 3)")
     o["a12_model_wide"] = x2 + "SELECT word, " + ", ".join(
         f"round(slope_{k}, 6) AS slope_{k}, round(pval_{k}, 3) AS pval_{k}, count_{k}" for k in range(4)) + " FROM pred_w"

@@ -24,7 +24,7 @@ def test_r3_edges(spark):
     out = p_of(spark, [(1.0, 10), (0.0, 10), (None, 10), (-0.982708, 4), (0.3, 3203)])
     assert out[0] == 0.0 and out[1] == pytest.approx(1.0) and out[2] is None
     assert out[3] == pytest.approx(0.017292, abs=1e-6)
-    assert 0.0 <= out[4] < 1e-60 or out[4] == 0.0
+    assert 0.0 < out[4] < 1e-60
 
 
 def obs_df(spark, xs, ys):
@@ -97,3 +97,38 @@ def test_r3_matches_series_definition(spark):
     pairs = [(r, n) for r in (0.05, 0.3, 0.77) for n in (3, 4, 5, 8, 13, 50)]
     for (r, n), p in zip(pairs, p_of(spark, pairs)):
         assert p == pytest.approx(p_py(r, n), abs=1e-12)
+
+
+def exact_p(r, n):
+    """The finite sum for an even n - 2, in exact rational arithmetic."""
+    from fractions import Fraction
+    a = abs(Fraction(r))
+    total = term = Fraction(1)
+    for k in range(1, (n - 2) // 2):
+        term = term * Fraction(2 * k - 1, 2 * k) * (1 - a * a)
+        total += term
+    return 1 - a * total
+
+
+@pytest.mark.parametrize("r", [0.001, 0.05, 0.1, 0.3, 0.5, 0.7071, 0.77, 0.9, 0.99, 0.9999])
+def test_r3_keeps_its_relative_precision_in_the_tail(spark, r):
+    pairs = [(r, n) for n in (4, 6, 8, 10, 14, 20, 50, 102, 202)]
+    for (_, n), p in zip(pairs, p_of(spark, pairs)):
+        want = float(exact_p(r, n))
+        assert want < 1e-300 or p == pytest.approx(want, rel=1e-10, abs=0)
+
+
+def test_r3_far_tail_and_large_n(spark):
+    # n - 2 = 398 and r^2 = 0.9: x^199 is 1e-199
+    (p,) = p_of(spark, [(math.sqrt(0.9), 400)])
+    assert p == pytest.approx(float(exact_p(math.sqrt(0.9), 400)), rel=1e-10, abs=0) and p < 1e-199
+    df = spark.createDataFrame([(1e-5, 10**11), (1e-5, 3 * 10**9)], "r double, n long")
+    far, near = [row[0] for row in df.select(stx.corr_p_value("r", "n")).collect()]
+    # the normal limit: t = r sqrt(n)
+    assert near == pytest.approx(math.erfc(1e-5 * math.sqrt(3e9) / math.sqrt(2)), rel=1e-6)
+    assert far == pytest.approx(math.erfc(1e-5 * math.sqrt(1e11) / math.sqrt(2)), rel=1e-6)
+
+
+def test_r3_work_does_not_grow_with_n(spark):
+    plan = spark.range(3).selectExpr("id * 0.1 AS r", "id AS n").select(stx.corr_p_value("r", "n"))
+    assert "sequence" not in plan._jdf.queryExecution().optimizedPlan().toString()
