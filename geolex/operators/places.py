@@ -7,30 +7,20 @@ forced: the static planner broadcasts a side whose estimated size is below
 of every shuffle stage, so a side that turns out large falls back to a
 sort-merge join (and AQE splits a skewed partition of it).
 
-The nearest-zip search (J3) is a grid-cell equi join: the sphere is cut
-into cells at least as tall as the search radius; each zip centroid is
-replicated to the cells its radius can reach (exactly, by latitude), then
-each point finds the nearest of its cell's candidates by haversine.  No cross
-join, no pairs beyond the neighbouring cells.
+The nearest-zip search (J3) is an equi join on adaptive cells (``operators.nearest``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolex.functions import text as tx
+from geolex.operators.nearest import nearest_zips, with_nearest
 from geolex.sources.schemas import ATTAINMENT_VALUE_COLUMNS, LEVEL_COLUMNS
 
-# --- fixed values -----------------------------------------------------------
-# Mean Earth radius in statute miles (distances and the radius are in miles).
-EARTH_RADIUS_MILES = 3958.8
-# --- end of fixed values ----------------------------------------------------
-
-
 # ----------------------------------------------------------------- posts ---
 def flatten_posts(raw: DataFrame) -> DataFrame:
     """Nested post -> flat columns; a null ``user`` gives null fields."""
@@ -134,103 +124,12 @@ def zip_to_fips(df: DataFrame, zips_all: DataFrame, zip_col: str = "zip") -> Dat
 
 
 # ------------------------------------------------------------- geo search ---
-def _rad(c: Column) -> Column:
-    return c * F.lit(math.pi / 180.0)
-
-
-def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in miles."""
-    s_lat = F.sin(_rad(lat2 - lat1) / 2)
-    s_lon = F.sin(_rad(lon2 - lon1) / 2)
-    a = s_lat * s_lat + F.cos(_rad(lat1)) * F.cos(_rad(lat2)) * (s_lon * s_lon)
-    return F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
-def grid(radius_miles: float) -> tuple[int, float, float]:
-    """Cells of ``size`` degrees (360/size cells around), size >= the radius
-    as an angle, so a match is at most one cell away in latitude."""
-    delta = radius_miles / EARTH_RADIUS_MILES
-    d_deg = math.degrees(delta)
-    n_lon = max(1, int(math.floor(360.0 / d_deg)))
-    return n_lon, 360.0 / n_lon, delta
-
-
-def _cell_y(lat: Column, size: float) -> Column:
-    return F.floor((lat + F.lit(90.0)) / F.lit(size)).cast("long")
-
-
-def _cell_x(lon: Column, size: float, n_lon: int) -> Column:
-    return F.pmod(F.floor((lon + F.lit(180.0)) / F.lit(size)).cast("long"), F.lit(n_lon))
-
-
-def centroid_cells(centroids: DataFrame, radius_miles: float) -> DataFrame:
-    """``(cy, cx, zip, c_lat, c_lon)``: every centroid in each grid cell its
-    radius cap can reach (exact longitude half-width by latitude; all cells
-    near a pole; wrap-around at +-180 degrees)."""
-    n_lon, size, delta = grid(radius_miles)
-    d_deg = math.degrees(delta)
-    c = centroids.select(F.col("zip"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    span = F.degrees(F.asin(F.least(F.lit(1.0),
-                                    F.lit(math.sin(delta)) / F.cos(_rad(F.abs(F.col("c_lat")))))))
-    polar = F.abs(F.col("c_lat")) + F.lit(d_deg) >= F.lit(90.0)
-    k = F.when(polar, F.lit(n_lon)).otherwise(F.floor(span / F.lit(size)).cast("long") + 1)
-    cx = _cell_x(F.col("c_lon"), size, n_lon)
-    xs = F.when(2 * k + 1 >= n_lon, F.sequence(F.lit(0).cast("long"), F.lit(n_lon - 1).cast("long"))
-                ).otherwise(F.transform(F.sequence(-k, k), lambda d: F.pmod(cx + d, F.lit(n_lon))))
-    ys = F.transform(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")),
-                     lambda d: _cell_y(F.col("c_lat"), size) + d)
-    return (c.select("*", F.explode(ys).alias("cy"))
-            .select("cy", F.explode(xs).alias("cx"), "zip", "c_lat", "c_lon"))
-
-
-def point_cells(lat: Column, lon: Column, radius_miles: float) -> tuple[Column, Column]:
-    n_lon, size, _ = grid(radius_miles)
-    return _cell_y(lat, size), _cell_x(lon, size, n_lon)
-
-
-def cell_candidates(centroids: DataFrame, radius_miles: float) -> DataFrame:
-    """``(cy, cx, _cands)``: the centroids reachable from each cell as one array per
-    cell, one per distinct coordinate (the smallest zip).  A ``fips`` column of the
-    centroids is carried along (null: unknown)."""
-    known = F.col("fips") if "fips" in centroids.columns else F.lit(None).cast("long")
-    first = centroids.groupBy("lat", "lon").agg(F.min(F.struct("zip", known.alias("fips"))).alias("_z"))
-    spots = first.select(F.col("_z.zip").alias("zip"), F.col("_z.fips").alias("fips"), "lat", "lon")
-    cells = centroid_cells(spots.select(F.struct("zip", "fips").alias("zip"), "lat", "lon"), radius_miles)
-    return cells.groupBy("cy", "cx").agg(F.collect_list(F.struct(
-        "zip.zip", "zip.fips", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"))).alias("_cands"))
-
-
-def nearest_in_candidates(lat: Column, lon: Column, cands: Column, radius_miles: float) -> Column:
-    """``struct(dist, zip, fips)`` of the nearest candidate within the radius (null if
-    none); ties go to the smaller zip."""
-    scored = F.transform(cands, lambda c: F.struct(
-        haversine_miles(lat, lon, c["lat"], c["lon"]).alias("dist"), c["zip"].alias("zip"), c["fips"].alias("fips")))
-    return F.array_min(F.filter(scored, lambda s: s["dist"] <= radius_miles))
-
-
-def with_nearest(points: DataFrame, lat: Column, lon: Column, centroids: DataFrame, radius_miles: float) -> DataFrame:
-    """``points`` with ``_near`` = struct(dist, zip, fips) of the nearest zip centroid
-    within ``radius_miles``, null if there is none.
-
-    One plan for every size: an equi join of each point's grid cell with the
-    cell's candidates, whose strategy is the planner's (a broadcast where the
-    cells are measured small, else a shuffle join that AQE splits at a hot
-    cell).  The nearest one is found inside the joined row."""
-    cy, cx = point_cells(lat, lon, radius_miles)
-    return (points.withColumn("cy", cy).withColumn("cx", cx)
-            .join(cell_candidates(centroids, radius_miles), ["cy", "cx"], "left")
-            .withColumn("_near", nearest_in_candidates(lat, lon, F.col("_cands"), radius_miles))
-            .drop("cy", "cx", "_cands"))
-
-
 def nearest_zip(points: DataFrame, centroids: DataFrame, radius_miles: float = 10.0,
                 id_cols: Sequence[str] = ("point_id",)) -> DataFrame:
     """For each point ``(id..., lat, lon)`` the nearest zip centroid
     ``(zip, lat, lon)``: ``(id..., zip, dist)``.  Points with no zip in range are
     absent."""
-    near = with_nearest(points.select(*id_cols, "lat", "lon"), F.col("lat"), F.col("lon"), centroids, radius_miles)
-    return near.filter(F.col("_near").isNotNull()).select(
-        *id_cols, F.col("_near.zip").alias("zip"), F.col("_near.dist").alias("dist"))
+    return nearest_zips(points, centroids, radius_miles, 1, id_cols).drop("rank")
 
 
 # ------------------------------------------------------------ resolution ---
@@ -244,15 +143,14 @@ def resolve_places(posts: DataFrame, names: DataFrame, zips_one: DataFrame | Non
     county is not in ``known_fips`` (J4): then the post has a ``zip`` but no
     ``fips`` (counted by ``unmatched_zips``, filtered by P6).
 
-    Posts resolved by name, or without coordinates, only meet the gazetteer.
-    The others, and only they, are joined on their grid cell (never null);
-    each zip's county is attached to the candidates before, so no post is
-    joined on a zip.  Rows need no id.
+    The posts are read once: those resolved by name, or without coordinates, take
+    part in the join with the cells under salted keys that no centroid has.  Each
+    zip's county is attached to the candidates before, so no post is joined on a
+    zip.  Rows need no id.
     """
     county = names.select(F.col("name").alias("county"), F.col("fips").alias("_f_county"))
     state = names.select(F.col("name").alias("state"), F.col("fips").alias("_f_state"))
     r = posts.join(county, "county", "left").join(state, "state", "left")
-    lat, lon = F.get("coordinates", 0), F.get("coordinates", 1)
     none = F.lit(None)
     if zips_one is None or centroids is None:
         r = r.withColumn("_f_coord", none.cast("long")).withColumn("zip", none.cast("string"))
@@ -262,12 +160,11 @@ def resolve_places(posts: DataFrame, names: DataFrame, zips_one: DataFrame | Non
             zips = zips.join(known_fips.select("fips").distinct(), "fips", "left_semi")
         spots = (centroids.select(F.col("zip").cast("string").alias("zip"), "lat", "lon")
                  .join(zips, "zip", "left"))
-        by_name = F.col("_f_county").isNotNull() | F.col("_f_state").isNotNull()
-        need = F.coalesce(~by_name & lat.isNotNull() & lon.isNotNull(), F.lit(False))
-        rest = r.filter(~need).withColumn("_f_coord", none.cast("long")).withColumn("zip", none.cast("string"))
-        near = with_nearest(r.filter(need), lat, lon, spots, radius_miles)
-        near = (near.withColumn("_f_coord", F.col("_near.fips")).withColumn("zip", F.col("_near.zip")).drop("_near"))
-        r = rest.unionByName(near)
+        need = F.col("_f_county").isNull() & F.col("_f_state").isNull()
+        salt = [c for c in posts.columns if c != "text"]
+        r = with_nearest(r, F.get("coordinates", 0), F.get("coordinates", 1), spots, radius_miles, need=need, salt=salt)
+        first = F.get("_near", 0)
+        r = r.withColumn("_f_coord", first["fips"]).withColumn("zip", first["zip"]).drop("_near")
     resolved_by = (F.when(F.col("_f_county").isNotNull(), "county")
                    .when(F.col("_f_state").isNotNull(), "state")
                    .when(F.col("_f_coord").isNotNull(), "coordinates"))

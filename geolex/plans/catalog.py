@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from geolex.functions import stats as st
 from geolex.functions import text as tx
-from geolex.operators import places, predict, profiles, report, split, tfidf, wordmodel
+from geolex.operators import nearest, places, predict, profiles, report, split, tfidf, wordmodel
 from geolex.plans import jobs as J
 from geolex.plans import standins as S
 from geolex.sources import readers
@@ -305,6 +305,11 @@ def q_j3(spark, d):
     return places.nearest_zip(S.supplier_points(spark, d), S.zip_centroids(spark, d), J.RADIUS_MILES)
 
 
+@query("j3_three_nearest_zips")
+def q_j3k(spark, d):
+    return nearest.nearest_zips(S.supplier_points(spark, d), S.zip_centroids(spark, d), J.RADIUS_MILES, 3)
+
+
 @query("j6_points_to_counties")
 def q_j6(spark, d):
     return J.x5_points_to_counties(spark, d)

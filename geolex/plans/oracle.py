@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 from geolex.functions import text as tx
-from geolex.operators.places import EARTH_RADIUS_MILES
+from geolex.operators.nearest import EARTH_RADIUS_MILES
 from geolex.plans import jobs as J
 from geolex.plans import standins as S
 from geolex.plans.catalog import SUFFIXES as _SUFFIXES
@@ -500,6 +500,9 @@ WHERE rank <= 10"""
            f"{lon_of('s_suppkey')} - {dbl(0.05)} AS lon FROM supplier)")
     near = "WITH " + cte_zips().strip("\n") + ",\n" + pts + "," + cte_nearest("pts", "cents", "near") + "\n"
     o["j3_nearest_zip"] = near + "SELECT point_id, zip, round(dist, 6) AS dist FROM near"
+    o["j3_three_nearest_zips"] = near + """, three AS (
+SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, zip) AS rank FROM near_p)
+SELECT point_id, rank, zip, round(dist, 6) AS dist FROM three WHERE rank <= 3"""
     o["j6_points_to_counties"] = near + """
 SELECT z.zip, n.point_id, round(n.dist, 6) AS dist, z.fips FROM near n JOIN zips_all z ON z.zip = CAST(n.zip AS VARCHAR)"""
     x5 = with_(cte_posts(), cte_zips(), f"""

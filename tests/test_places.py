@@ -1,10 +1,12 @@
-"""Resolution priority, gazetteer, zips, nearest-zip grid."""
+"""Resolution priority, gazetteer, zips, nearest zips."""
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from geolex.operators import places
+from geolex.operators import nearest, places
 from geolex.sources.schemas import ATTAINMENT_VALUE_COLUMNS
 
 
@@ -35,9 +37,6 @@ def test_j10_zip_one_and_all(spark):
     assert places.zip_table(z, "all").count() == 3
 
 
-import pytest
-
-
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])  # planner's broadcast, shuffle join
 def test_j5_priority(spark, threshold):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
@@ -89,7 +88,7 @@ def test_j3_grid_equals_brute_force(spark):
         r = math.pi / 180
         s1, s2 = math.sin((c - a) * r / 2), math.sin((d - b) * r / 2)
         x = s1 * s1 + math.cos(a * r) * math.cos(c * r) * s2 * s2
-        return 2 * places.EARTH_RADIUS_MILES * math.asin(math.sqrt(min(x, 1.0)))
+        return 2 * nearest.EARTH_RADIUS_MILES * math.asin(math.sqrt(min(x, 1.0)))
     want = {}
     for pid, la, lo in pts:
         best = min(((hav(la, lo, cl, cn), z) for z, cl, cn in cents), default=None)
@@ -100,6 +99,79 @@ def test_j3_grid_equals_brute_force(spark):
         assert got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9
 
 
+def brute_nearest(points, cents, radius, k):
+    """By numpy, over all pairs."""
+    r = math.pi / 180
+    lat, lon = (np.array([c[i] for c in cents]) for i in (1, 2))
+    out = []
+    for pid, la, lo in points:
+        s1, s2 = np.sin((lat - la) * r / 2), np.sin((lon - lo) * r / 2)
+        x = s1 * s1 + np.cos(la * r) * np.cos(lat * r) * (s2 * s2)
+        dist = 2 * nearest.EARTH_RADIUS_MILES * np.arcsin(np.sqrt(np.minimum(x, 1.0)))
+        near = np.flatnonzero(dist <= radius)
+        best = sorted((float(dist[i]), cents[i][0]) for i in near)
+        out += [(pid, rank, zip_, d) for rank, (d, zip_) in enumerate(best[:k], 1)]
+    return out
+
+
+def dense_places(seed):
+    """10^4 centroids in one base cell, a few far ones, some at one place, and points around them."""
+    rnd = random.Random(seed)
+    cents = [(i, 40.1 + rnd.random() * .12, -75.3 + rnd.random() * .12) for i in range(10_000)]
+    cents += [(20_000 + i, rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for i in range(50)]
+    cents += [(30_000 + i, 40.05, -75.0) for i in range(200)]
+    pts = [(i, rnd.uniform(39.8, 40.5), rnd.uniform(-75.7, -74.7)) for i in range(150)]
+    pts += [(1000 + i, c[1] + rnd.uniform(-.01, .01), c[2]) for i, c in enumerate(cents[::150])]
+    return cents, pts
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_j3_dense_cells_split_and_equal_brute_force(spark, k):
+    cents, pts = dense_places(k)
+    c = spark.createDataFrame(cents, "zip long, lat double, lon double")
+    p = spark.createDataFrame(pts, "point_id long, lat double, lon double")
+    got = sorted(tuple(r) for r in nearest.nearest_zips(p, c, 10.0, k).collect())
+    want = sorted(brute_nearest(pts, cents, 10.0, k))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert max(abs(a[3] - b[3]) for a, b in zip(got, want)) < 1e-9
+    if k > 1:
+        return
+    leaves, deepest = nearest.leaf_cells(c, 10.0, k)
+    assert 0 < deepest < nearest.DEPTH
+    assert leaves.agg(F.max(F.size("cands"))).first()[0] <= nearest.LEAF
+    # every cell is a leaf once
+    assert leaves.count() == leaves.select(*nearest.CELL).distinct().count()
+
+
+def test_j3_centroids_on_a_line_stop_splitting(spark):
+    cents = [(i, 40.1, -75.3 + i * 1e-4) for i in range(2000)]
+    pts = [(i, 40.1 + (i % 10) * .01, -75.3 + i * .002) for i in range(100)]
+    got = sorted(tuple(r) for r in nearest.nearest_zips(
+        spark.createDataFrame(pts, "point_id long, lat double, lon double"),
+        spark.createDataFrame(cents, "zip long, lat double, lon double"), 10.0, 1, leaf=16).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(brute_nearest(pts, cents, 10.0, 1))]
+
+
+def test_j3_small_leaves_at_poles_and_date_line(spark):
+    rnd = random.Random(3)
+    cents = [(i, 89.7 + rnd.random() * .3, rnd.uniform(-180, 180)) for i in range(300)]
+    cents += [(1000 + i, 10 + rnd.random() * .2, 180 - rnd.random() * .1 if i % 2 else -180 + rnd.random() * .1)
+              for i in range(300)]
+    pts = [(i, c[1], ((c[2] + rnd.uniform(-.05, .05) + 180) % 360) - 180) for i, c in enumerate(cents[::4])]
+    got = sorted(tuple(r) for r in nearest.nearest_zips(
+        spark.createDataFrame(pts, "point_id long, lat double, lon double"),
+        spark.createDataFrame(cents, "zip long, lat double, lon double"), 10.0, 2, leaf=64).collect())
+    want = sorted(brute_nearest(pts, cents, 10.0, 2))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+
+
+def test_j3_without_centroids_or_points(spark):
+    none = spark.createDataFrame([], "zip long, lat double, lon double")
+    one = spark.createDataFrame([(1, 40.0, -75.0), (2, None, -75.0)], "point_id long, lat double, lon double")
+    assert nearest.nearest_zips(one, none).count() == 0
+    assert nearest.nearest_zips(one.limit(0), one.withColumnRenamed("point_id", "zip").filter("lat > 0")).count() == 0
+
+
 def test_p1_p2_p3_filters(spark):
     raw = spark.createDataFrame([
         ({"id": 1, "lang": "en", "location": "Miami", "time_zone": None}, "t", None, None),

@@ -17,14 +17,14 @@ def plan_of(df):
 def cut_plans(monkeypatch):
     """The plans handed to ``materialize`` while a query is built."""
     from geolex import session
-    from geolex.operators import profiles, tfidf, wordmodel
+    from geolex.operators import nearest, profiles, tfidf, wordmodel
     from geolex.plans import jobs, standins
     seen = []
 
     def spy(df, name, real=session.materialize):
         seen.append(plan_of(df))
         return real(df, name)
-    for module in (session, catalog, profiles, tfidf, wordmodel, jobs, standins):
+    for module in (session, catalog, nearest, profiles, tfidf, wordmodel, jobs, standins):
         monkeypatch.setattr(module, "materialize", spy)
     return seen
 
@@ -64,6 +64,12 @@ def test_bonferroni_cross_join_is_one_row_broadcast(spark):
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("name", ["j5_resolve_places", "x1_person_records"])
+def test_posts_are_read_once(spark, name):
+    """Resolved by name or by coordinates, every post comes from one scan of the texts."""
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:string", plan_of(catalog.queries()[name](spark, SF001)))) == 1
+
+
 def test_nearest_zip_is_an_equi_join(spark):
     plan = plan_of(catalog.queries()["j3_nearest_zip"](spark, SF001))
     assert "NestedLoopJoin" not in plan and ("HashJoin" in plan or "SortMergeJoin" in plan)
