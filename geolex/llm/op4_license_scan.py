@@ -20,13 +20,14 @@ A retrieved (document, license) is then verified on the whole text: the share of
 the template's distinct shingles that the document has must be ``CONTAINED`` (0.8)
 or more.
 
-The windows are walked inside each row, so nothing is shuffled but retrieved
-(document, license) pairs; templates (a parameter) are the only broadcast.
+The windows are walked inside each row, and retrieved rows are written and verified where they
+stand: no text is shuffled.  Templates (a parameter) are the only broadcast.
 
 Rules: null text counts as empty; texts under five words match nothing; templates
 must have five words.  Repeated occurrences count once.  A repeated row is
-reported as often as it stands in the table; a null id is reported as null.  An
-empty table gives an empty result.
+reported as often as it stands in the table; a null id is reported as null.  Only
+``doc_id`` and ``text`` are read, extra columns of any name play no part.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,6 +60,35 @@ TEMPLATES = (
                    "GNU General Public License as published by the Free Software Foundation."),
     ("BSD-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted "
                    "provided that the following conditions are met."),
+    ("MIT-warranty", "The software is provided \"as is\", without warranty of any kind, express or implied, including but "
+                     "not limited to the warranties of merchantability, fitness for a particular purpose and "
+                     "noninfringement."),
+    ("MIT-reference", "Licensed under the MIT License."),
+    ("BSD-reference", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-endorsement", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+                          "or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0-spdx", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0-spdx", "SPDX-License-Identifier: GPL-2.0"),
+    ("BSD-3-Clause-spdx", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("LGPL-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                    "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                    "License, or (at your option) any later version."),
+    ("AGPL-notice", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+                    "later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+                "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0 which is available at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-reference", "licensed under CC BY-SA 4.0"),
+    ("CC-BY-reference", "licensed under CC BY 4.0"),
+    ("CC0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+            "this work."),
 )
 # --- end of fixed values --------------------------------------------------------
 
@@ -91,65 +121,66 @@ def band_keys(window: Column) -> Column:
     return F.transform(masks, lambda mask: F.array_min(F.transform(window, lambda x: x.bitwiseXOR(mask))))
 
 
-def template_bands(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
-    """(license, shingles) and (license, scale, key) of the templates."""
+def template_bands(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """(license, shingles, hashes, keys) of the templates; ``keys`` are (scale, key) of each piece and band."""
     given = spark.createDataFrame(list(templates), "license string, notice string")
     exact = given.select("license", let(words(F.col("notice")), lambda w: F.array_distinct(
-        shingles(w, lambda parts: F.concat_ws(" ", *parts)))).alias("shingles"))
+        shingles(w, lambda parts: F.concat_ws(" ", *parts)))).alias("shingles"), hashes(F.col("notice")).alias("_h"))
     if exact.filter("shingles IS NULL").count():
         raise ValueError(f"templates need at least {SHINGLE} words")
     # pieces: as few as allowed, of sizes that differ by one at most
-    hashed = given.select("license", hashes(F.col("notice")).alias("_h")).withColumn("_n", F.size("_h"))
-    hashed = (hashed.withColumn("scale", F.when(F.col("_n") <= SCALES[0][2], 0).otherwise(1))
-              .withColumn("_pieces", F.ceil(F.col("_n") / F.when(F.col("scale") == 0, SCALES[0][2])
-                                            .otherwise(SCALES[1][2])).cast("int"))
-              .withColumn("_p", F.explode(F.expr("sequence(0, _pieces - 1)")))
-              .withColumn("_from", F.expr("cast(_n * _p div _pieces as int)"))
-              .withColumn("_to", F.expr("cast(_n * (_p + 1) div _pieces as int)"))
-              .withColumn("_window", F.expr("slice(_h, _from + 1, _to - _from)")))
-    keys = hashed.select("license", "scale", F.explode(band_keys(F.col("_window"))).alias("key")).distinct()
-    return exact, keys
-
-
-def retrieve(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(_doc, license) pairs of which a window and a template piece share a band."""
-    rows = keys.select("scale", "key").distinct().collect()  # BANDS per template piece
-    wanted = {s: [r.key for r in rows if r.scale == s] for s in range(len(SCALES))}
+    n = F.col("_n")
+    most = F.when(n <= SCALES[0][2], SCALES[0][2]).otherwise(SCALES[1][2])
+    sized = exact.withColumn("_n", F.size("_h")).withColumn("_scale", F.when(n <= SCALES[0][2], 0).otherwise(1))
+    pieces = sized.withColumn("_pieces", F.ceil(n / most).cast("int"))
+    keys = F.flatten(F.transform(F.expr("sequence(0, _pieces - 1)"), lambda p: F.transform(
+        band_keys(F.slice("_h", F.floor(n * p / F.col("_pieces")).cast("int") + 1,
+                          (F.floor(n * (p + 1) / F.col("_pieces")) - F.floor(n * p / F.col("_pieces"))).cast("int"))),
+        lambda key: F.struct(F.col("_scale").alias("scale"), key.alias("key")))))
+    return pieces.select("license", "shingles", F.col("_h").alias("hashes"), F.array_distinct(keys).alias("keys"))
+
+
+def retrieve(docs: DataFrame, bands: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_id, _text, _hits): the rows of which a window and a template piece share a band, and the bands shared.
+
+    A window's key is one of its shingle hashes under a mask, so it can only be a template's key if that
+    shingle is a template's: texts without any are dropped in the same expression before their windows
+    are walked, and the others' windows without one are skipped.  That loses no key."""
+    rows = bands.collect()  # the templates: a parameter
+    wanted = {s: sorted({k.key for r in rows for k in r["keys"] if k.scale == s}) for s in range(len(SCALES))}
+    known = sorted({h for r in rows for h in r.hashes})
 
     def hits(sh: Column, scale: int) -> Column:
         length, stride, _ = SCALES[scale]
         starts = F.sequence(F.lit(1), F.size(sh), F.lit(stride))
-        return F.flatten(F.transform(starts, lambda i: let(F.slice(sh, i, length), lambda window: F.filter(
-            band_keys(window), lambda key: key.isin(wanted[scale])))))
-
-    def scaled(sh: Column, scale: int) -> Column:
-        return F.transform(hits(sh, scale), lambda key: F.struct(F.lit(scale).alias("scale"), key.alias("key")))
+        windows = F.filter(F.transform(starts, lambda i: F.slice(sh, i, length)),
+                           lambda window: F.exists(window, lambda h: h.isin(known)))
+        return F.transform(F.flatten(F.transform(windows, lambda window: F.filter(
+            band_keys(window), lambda key: key.isin(wanted[scale])))),
+            lambda key: F.struct(F.lit(scale).alias("scale"), key.alias("key")))
 
     def all_hits(sh: Column) -> Column:
-        return F.concat(*[scaled(sh, s) for s in wanted if wanted[s]])
+        return F.array_distinct(F.concat(*[hits(sh, s) for s in wanted if wanted[s]]))
 
-    found = docs.select(named(doc_id).alias("_doc"), let(hashes(named(text)), lambda sh: F.when(
-        F.size(sh) > 0, all_hits(sh))).alias("_hits")).filter(F.size("_hits") > 0)
-    pairs = found.select("_doc", F.explode("_hits").alias("_hit")).select("_doc", "_hit.scale", "_hit.key")
-    return pairs.join(F.broadcast(keys), ["scale", "key"]).select("_doc", "license").distinct()
+    return docs.select(named(doc_id).alias("_id"), named(text).alias("_text"), let(hashes(named(text)), lambda sh: F.when(
+        F.exists(sh, lambda h: h.isin(known)), all_hits(sh))).alias("_hits")).filter(F.size("_hits") > 0)
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED,
                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, containment) of verified matches."""
-    exact, keys = template_bands(docs.sparkSession, templates)
-    pairs = cut(retrieve(docs, keys, doc_id, text), "op4-pairs")
-    wanted = pairs.join(F.broadcast(exact), "license").groupBy("_doc").agg(
-        F.collect_list(F.struct("license", "shingles")).alias("_templates"))  # one entry per template at most
+    bands = cut(template_bands(docs.sparkSession, templates), "op4-templates")
+    found = cut(retrieve(docs, bands, doc_id, text), "op4-retrieved")
+    # the templates as one row; each retrieved row is verified where it stands
+    listed = bands.agg(F.collect_list(F.struct("license", "shingles", "keys")).alias("_templates"))
     have = let(words(F.col("_text")), lambda w: F.coalesce(
         shingles(w, lambda parts: F.concat_ws(" ", *parts)), F.array().cast("array<string>")))
-    rows = (docs.select(named(doc_id).alias("_id"), named(text).alias("_text"))
-            .join(wanted, F.col("_id").eqNullSafe(F.col("_doc")))
-            .select("_id", let(have, lambda sh: F.transform("_templates", lambda t: F.struct(
-                t["license"].alias("license"),
-                (F.size(F.array_intersect(t["shingles"], sh)) / F.size(t["shingles"])).alias("containment"))))
-                .alias("_found")))
-    return (rows.select(F.col("_id").alias(doc_id), F.explode("_found").alias("_f"))
+    rows = found.crossJoin(F.broadcast(listed)).withColumn(
+        "_met", F.filter("_templates", lambda t: F.arrays_overlap(t["keys"], F.col("_hits"))))
+    verified = rows.select("_id", let(have, lambda sh: F.transform("_met", lambda t: F.struct(
+        t["license"].alias("license"),
+        (F.size(F.array_intersect(t["shingles"], sh)) / F.size(t["shingles"])).alias("containment")))).alias("_found"))
+    return (verified.select(F.col("_id").alias(doc_id), F.explode("_found").alias("_f"))
             .select(doc_id, "_f.license", "_f.containment").filter(F.col("containment") >= contained))
 
 

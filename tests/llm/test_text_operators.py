@@ -69,6 +69,30 @@ def test_short_templates_are_refused(spark, odd):
 
 
 # ------------------------------------------------------------------ language
+def test_gated_license_bands_are_those_of_all_windows(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    bands = op4.template_bands(spark, op4.TEMPLATES).cache()
+    wanted = {s: [k.key for r in bands.collect() for k in r["keys"] if k.scale == s] for s in range(len(op4.SCALES))}
+
+    def every(sh, scale):
+        length, stride, _ = op4.SCALES[scale]
+        keys = F.flatten(F.transform(F.sequence(F.lit(1), F.size(sh), F.lit(stride)), lambda i: op4.band_keys(F.slice(sh, i, length))))
+        return F.transform(F.filter(keys, lambda k: k.isin(wanted[scale])), lambda k: F.struct(F.lit(scale).alias("scale"), k.alias("key")))
+
+    whole = docs.select("doc_id", op4.let(op4.hashes(F.col("text")), lambda h: F.when(F.size(h) > 0, F.array_sort(
+        F.array_distinct(F.concat(every(h, 0), every(h, 1)))))).alias("k")).filter("size(k) > 0")
+    gated = op4.retrieve(docs, bands, "doc_id", "text").select("_id", F.array_sort("_hits"))
+    assert sorted(map(repr, map(tuple, whole.collect()))) == sorted(map(repr, map(tuple, gated.collect()))) != []
+
+
+def test_licenses_of_odd_tables(spark, odd, none, clashing):
+    given = (("X", "the cat sat on the mat"), ("Y", "der Hund und die Katze sind"))
+    want = sorted(repr(tuple(r)) for r in op4.scan_licenses(odd, given).collect())
+    assert len(want) == 5 and any("None" in r for r in want)
+    assert sorted(repr(tuple(r)) for r in op4.scan_licenses(clashing, given).collect()) == want
+    assert op4.scan_licenses(none, given).collect() == []
+
+
 def test_language_held_out_accuracy(spark):
     docs = docs_of(spark, SF01)
     rows = op5.classify(docs, op5.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
