@@ -46,7 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mix_sources": op2_mix_sources.ORACLE_SQL,
         "op3_exact_dedup": op3_exact_dedup.ORACLE_SQL,
         "op4_license_scan": op4_license_scan.ORACLE_SQL,
-        "op10_inverted_multi_index": op10_inverted_multi_index.ORACLE_SQL,
         "op12_ranked_search": op12_ranked_search.ORACLE_SQL,
         "op13_phrase_collocations": op13_phrase_collocations.ORACLE_SQL,
     }
