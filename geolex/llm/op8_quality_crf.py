@@ -9,15 +9,16 @@ document's quality, mapped to a probability by a logistic curve.
 
 Training: labelled documents outside the held-out fold; all lines of a document
 take its label.  The sample is bounded: at most ``SAMPLE_DOCS`` documents per
-label (those whose ids have the smallest hashes) of at most ``SAMPLE_LINES``
-lines, weighted back to the labels' real proportion.  Scoring reads every
-document whole.
+label (those whose ids have the smallest hashes, among documents of at most
+``SAMPLE_LINES`` lines), weighted back to the labels' real proportion.  Scoring reads
+every document whole.
 
 Rules: null text counts as empty; an empty text is one empty line.  A document
 with several label rows has their majority (ties: 1); null labels do not count.
 Without labels of both kinds the score is the share of label 1 (1/2 without
-any).  Rows are independent, so repeated rows, null ids and extra columns do no
-harm.
+any); so they have if no document of one kind is short enough.  Of a repeated id the smallest
+text is learned from.  Rows are scored independently, and columns other than
+``doc_id`` and ``text`` (``quality`` of the labels) are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -190,20 +191,22 @@ def fit(features: np.ndarray, size: np.ndarray, counts: np.ndarray, label: np.nd
 
 def learn(docs: DataFrame, labels: DataFrame) -> Crf | float:
     """The model, or the constant score where both labels are not there to learn from."""
-    known = (labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
-             .agg((F.avg("quality") >= 0.5).cast("int").alias("label")))
+    text = F.coalesce(named("text"), F.lit(""))
+    given = docs.select(named("doc_id").alias("_id"), text.alias("_text")).filter(
+        F.size(F.split("_text", "\n")) <= SAMPLE_LINES)
+    known = (labels.select(named("doc_id").alias("_id"), named("quality").alias("_quality"))
+             .filter(F.col("_quality").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id")
+             .agg((F.avg("_quality") >= 0.5).cast("int").alias("label")))
     known = cut(known, "op8-labels")
-    parts = []
-    for y in (0, 1):
-        parts.append(known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
-    chosen = cut(parts[0].union(parts[1]).select(F.col("doc_id").alias("_id"), "label"), "op8-sample")
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if len(totals) < 2:
         return float(sum(totals) if totals else 0.5)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = (docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # 2 x SAMPLE_DOCS rows
-            .filter(F.size(F.split(text, "\n")) <= SAMPLE_LINES)
-            .select("_id", "label", text.cast("binary").alias("text")))
+    # only labels of documents short enough to learn from are drawn, so that both labels fill their sample
+    short = known.join(given.select("_id"), "_id", "left_semi")
+    parts = [short.filter(F.col("label") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS) for y in (0, 1)]
+    chosen = cut(parts[0].union(parts[1]), "op8-sample")
+    rows = (given.join(F.broadcast(chosen), "_id")  # 2 x SAMPLE_DOCS rows
+            .groupBy("_id", "label").agg(F.min("_text").cast("binary").alias("text")))  # one text of a repeated id
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

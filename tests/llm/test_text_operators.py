@@ -406,6 +406,23 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_quality_learns_past_long_documents_and_clashing_names(spark, monkeypatch):
+    good = [(i, f"a fine sentence number {i} about things.\nand another one that follows.", "en") for i in range(0, 60, 2)]
+    bad = [(i, f"$$ {i} !! @@ ##\n%% 000 11 22 ((", "en") for i in range(1, 60, 2)]
+    long = [(1000 + i, "line\n" * 30, "en") for i in range(200)]
+    docs = spark.createDataFrame(good + bad + long, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, *_ in good + bad + long], "doc_id long, quality int")
+    monkeypatch.setattr(op8, "SAMPLE_LINES", 10)
+    monkeypatch.setattr(op8, "SAMPLE_DOCS", 15)  # the long ones alone would fill it
+    model = op8.learn(docs, labels)
+    scores = {r.doc_id: r.score for r in op8.score_quality(docs, model).collect()}
+    assert min(scores[i] for i, *_ in good) > 0.5 > max(scores[i] for i, *_ in bad)
+    extra = docs.select("*", *[F.lit(1).alias(c) for c in ("label", "_id", "_text", "quality", "own", "size", "score")])
+    wide = labels.select("*", *[F.lit(0).alias(c) for c in ("_id", "label", "text", "_quality")])
+    again = {r.doc_id: r.score for r in op8.score_quality(extra, op8.learn(extra, wide)).collect()}
+    assert again == pytest.approx(scores)
+
+
 def test_quality_rules(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (5, 0), (7, None), (None, 0), (3, 1), (3, 0), (999, 0), (8, 0)],
                                    "doc_id long, quality int")
@@ -459,6 +476,30 @@ def test_search_recall_when_cells_are_skipped(spark, monkeypatch):
     assert sum((q, i) in found for q, _, i, _ in want) / len(want) >= 0.9
 
 
+def test_a_row_that_repeats_more_than_a_shard_holds(spark, monkeypatch):
+    monkeypatch.setattr(op10, "SHARD", 8)
+    rows = [(5, [1.0, 2.0, 3.0, 4.0])] * 40 + [(i, [float(i), 1.0, 0.0, 2.0]) for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = op10.search(df, lambda i: i % 5 == 0, share=1.0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == brute_search(rows, lambda i: i % 5 == 0)
+    extra = df.select("*", *[F.lit(1).alias(c) for c in ("vector", "cell", "shard", "id", "asks", "rank", "score", "a.b")])
+    again = op10.search(extra, lambda i: i % 5 == 0, share=1.0).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_search_recall_at_the_registered_sizes(spark, sf_dir):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf_dir}/embeddings.parquet')")
+    exact = {(q, v): s for q, _, v, s in con.execute(op10.EXACT_SQL).fetchall()}
+    got = {(r.query_id, r.vec_id): r.score for r in op10.op10_inverted_multi_index(spark, sf_dir).collect()}
+    assert len(got) == len(exact)
+    both = got.keys() & exact.keys()
+    assert len(both) >= 0.9 * len(exact)
+    assert all(abs(got[k] - exact[k]) < 1e-12 for k in both)
+
+
 def test_visited_goes_by_summed_distance():
     rng = np.random.default_rng(7)
     a, b = rng.random(9), rng.random(11)
