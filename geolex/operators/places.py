@@ -31,17 +31,26 @@ def flatten_posts(raw: DataFrame) -> DataFrame:
         *[c for c in raw.columns if c not in ("user", "text", "created_at", "geo", "_corrupt")])
 
 
-def keep_located(df: DataFrame, lang: str = "en", strict: bool = False) -> DataFrame:
-    """P2 (default): id present, language ``lang``, location or geo present.
-    P3 (``strict``): id non-zero, location non-empty, language ``lang``."""
+def located(user_id: Column, lang: Column, location: Column, geo: Column, wanted: str = "en",
+            strict: bool = False) -> Column:
+    """P2 (default): id present, language ``wanted``, location or geo present.
+    P3 (``strict``): id non-zero, location non-empty, language ``wanted``."""
     if strict:
-        cond = (F.col("user_id").isNotNull() & (F.col("user_id") != 0)
-                & F.col("location").isNotNull() & (F.col("location") != "")
-                & (F.col("lang") == lang))
+        place = (user_id != 0) & location.isNotNull() & (location != "")
     else:
-        cond = (F.col("user_id").isNotNull() & (F.col("lang") == lang)
-                & (F.col("location").isNotNull() | F.col("geo").isNotNull()))
-    return df.filter(cond)
+        place = location.isNotNull() | geo.isNotNull()
+    return user_id.isNotNull() & (lang == wanted) & place
+
+
+def keep_located(df: DataFrame, lang: str = "en", strict: bool = False) -> DataFrame:
+    """P2, or with ``strict`` P3, on flat posts."""
+    return df.filter(located(F.col("user_id"), F.col("lang"), F.col("location"), F.col("geo"), lang, strict))
+
+
+def keep_located_raw(lang: str = "en", strict: bool = False) -> Column:
+    """The same condition on decoded posts, before they are flattened."""
+    user = F.col("user")
+    return located(user["id"], user["lang"], user["location"], F.col("geo"), lang, strict)
 
 
 def coordinates(geo: Column | str) -> Column:

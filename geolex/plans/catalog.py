@@ -325,6 +325,26 @@ def q_x5_counts(spark, d):
     return J.x5_located_counts(spark, d)
 
 
+@query("a9_ingest_counts")
+def q_a9i(spark, d):
+    return J.ingest_counts(spark, d)
+
+
+@query("s3_quarantined_lines")
+def q_s3q(spark, d):
+    return J.quarantined_lines(spark, d)
+
+
+@query("s3_person_lines")
+def q_s3p(spark, d):
+    """S3's second shape, strictly: person records as JSON-lines files, read back with FAILFAST."""
+    from geolex.sources import sinks
+    people = S.persons(spark, d)
+    path = J.sink_path(spark, "persons") + ".json"
+    sinks.write_table(people, path)
+    return readers.read_persons(spark, path, schema=people.schema, mode="FAILFAST").drop("_corrupt")
+
+
 @query("j5_resolve_places")
 def q_j5(spark, d):
     return J.resolved_posts(spark, d).select("post_id", "state", "county", "fips", "resolved_by")

@@ -17,7 +17,7 @@ from geolex.functions import text as tx
 from geolex.operators import places, predict, profiles, report, split, tfidf, wordmodel
 from geolex.plans import standins as S
 from geolex.session import ensure_checkpoint_dir, materialize
-from geolex.sources import readers, sinks
+from geolex.sources import ingest, readers, sinks
 
 # --- fixed values (reference defaults) --------------------------------------
 WORD_COUNT_THRESHOLD = 3
@@ -178,29 +178,58 @@ EXACT_CSV = dict(header=True, sep="\t", quote='"', escape='"', ignoreLeadingWhit
                  ignoreTrailingWhiteSpace=False)
 
 
-def located_counties(raw: DataFrame, centroids: DataFrame, zips_all: DataFrame) -> DataFrame:
-    """X5 on decoded posts: P1 -> P3 -> T16 -> J3 -> J6 -> S10, read back: one row per
-    post and county of the zip nearest to the coordinates that its location text states."""
-    flat = places.keep_located(places.flatten_posts(raw), strict=True)
+def located_counties(records: DataFrame, centroids: DataFrame, zips_all: DataFrame) -> tuple[DataFrame, int]:
+    """X5 on the located records: T16 -> J3 -> J6 -> S10, read back, and the number of rows written: one row
+    per post and county of the zip nearest to the coordinates that its location text states."""
+    flat = places.flatten_posts(records)
     at = tx.parse_lat_long("location")
     keep = ["user_id", "text", "created_at"]
     points = flat.select(*keep, at["lat"].alias("lat"), at["long"].alias("lon")).dropna(subset=["lat", "lon"])
     near = places.nearest_zip(points, centroids, RADIUS_MILES, keep)
     found = places.zip_to_fips(near.withColumn("zip", F.col("zip").cast("string")), zips_all).select("fips", *keep)
-    path = sink_path(raw.sparkSession, "located-counties") + ".csv"
-    found.write.options(**EXACT_CSV).csv(path)
-    return raw.sparkSession.read.options(**EXACT_CSV, multiLine=True).schema(found.schema).csv(path)
+    path = sink_path(records.sparkSession, "located-counties") + ".csv"
+    n = ingest.observed_write(found, lambda df: df.write.options(**EXACT_CSV).csv(path))
+    return records.sparkSession.read.options(**EXACT_CSV, multiLine=True).schema(found.schema).csv(path), n
+
+
+def ingest_located(spark: SparkSession, sf_dir: str) -> ingest.Ingested:
+    """P1 -> P3 in one pass over the raw lines: the records of strictly located posts, the corrupt lines, the counts."""
+    return ingest.ingest_posts(S.raw_post_json(spark, sf_dir), sink_path(spark, "located-posts"),
+                               keep=places.keep_located_raw(strict=True), carry=("user_id", "line_no"),
+                               shape=S.stated_coordinates)
+
+
+def x5_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ingest.Ingested, int]:
+    """The whole X5: the delimited file, what was ingested, and the number of records in the file."""
+    taken = ingest_located(spark, sf_dir)
+    found, n = located_counties(taken.records.drop("user_id", "line_no"), S.zip_centroids(spark, sf_dir),
+                                places.zip_table(S.zip_county(spark, sf_dir), "all"))
+    return found, taken, n
 
 
 def x5_located_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return located_counties(S.coordinate_posts(spark, sf_dir), S.zip_centroids(spark, sf_dir),
-                            places.zip_table(S.zip_county(spark, sf_dir), "all"))
+    return x5_run(spark, sf_dir)[0]
 
 
 def x5_located_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X5's A9: lines read (those that are no JSON included), and records of the delimited file."""
-    total = S.coordinate_posts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_total"))
-    return total.crossJoin(F.broadcast(x5_located_counties(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_valid"))))
+    """X5's A9, counted by the jobs that write the records: lines read (those that are no JSON included), and
+    records of the delimited file."""
+    _, taken, n = x5_run(spark, sf_dir)
+    return spark.createDataFrame([(taken.counts["total"], n)], "n_total long, n_valid long")
+
+
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pass over the raw lines: total, corrupt, without a post, not located, and valid records."""
+    counts = ingest_located(spark, sf_dir).counts
+    names = ("total", "corrupt", "notice", "dropped", "valid")
+    return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"n_{n} long" for n in names))
+
+
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrupt lines, from the quarantine's own file of text lines and their origin."""
+    path = sink_path(spark, "quarantine")
+    sinks.write_table(ingest_located(spark, sf_dir).quarantine, path, fmt="json")
+    return spark.read.schema("user_id long, line_no long, value string").json(path)
 
 
 # ---------------------------------------------------------------------- X9

@@ -514,6 +514,13 @@ counties AS (SELECT z.fips, s.user_id, s.text, 'line ' || CAST(s.line_no AS VARC
     o["x5_located_counties"] = x5 + "SELECT fips, user_id, text, created_at FROM counties"
     o["x5_located_counts"] = x5 + """SELECT count(*) AS n_total,
        (SELECT count(*) FROM counties) AS n_valid FROM posts"""
+    bad = "(user_id * 31 + line_no) % 50 = 0"
+    o["a9_ingest_counts"] = with_(cte_posts()) + f"""
+SELECT count(*) AS n_total, count_if({bad}) AS n_corrupt, 0::BIGINT AS n_notice,
+       count_if(NOT {bad} AND NOT (lang = 'en' AND user_id <> 0)) AS n_dropped,
+       count_if(NOT {bad} AND lang = 'en' AND user_id <> 0) AS n_valid FROM posts"""
+    o["s3_quarantined_lines"] = with_(cte_posts()) + f"""
+SELECT user_id, line_no, '{{bad json' AS value FROM posts WHERE {bad}"""
     o["j5_resolve_places"] = "WITH " + cte_resolved().strip("\n") + "\nSELECT post_id, state, county, fips, resolved_by FROM resolved"
     o["x1_person_records"] = x1_person_ctes() + f"""
 SELECT post_id, fip, user_id, text, filtered_text, url_count, emoji_count, {lv} FROM xp"""
@@ -533,6 +540,7 @@ SELECT fip, word, cnt, round(share, 6) AS share FROM xw"""
     # profiles ---------------------------------------------------------------
     o["a4_person_records"] = _persons_sql() + f"""
 SELECT fip, user_id, text, filtered_text, url_count, emoji_count, line_no, {lv} FROM persons"""
+    o["s3_person_lines"] = o["a4_person_records"]
     o["a1_region_words"] = with_(*BASE, cte_shares("persons", "fip", "rw")) + "SELECT fip, word, cnt, round(share, 6) AS share FROM rw"
     o["a1_region_totals"] = _persons_sql() + f"""
 SELECT fip, count(*) AS tweet_count, CAST(sum(url_count) AS BIGINT) AS url_count,

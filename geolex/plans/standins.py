@@ -196,11 +196,8 @@ def raw_post_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("user_id", "line_no", value.alias("value"))
 
 
-def coordinate_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decoded JSON stand-in for X5: users without a location text but with
-    coordinates state these as text, ``lat,long``."""
-    from geolex.sources.readers import decode_lines
-    raw = decode_lines(raw_post_json(spark, sf_dir), "value")
+def stated_coordinates(raw: DataFrame) -> DataFrame:
+    """X5's stand-in: users without a location text but with coordinates state these as text, ``lat,long``."""
     stated = F.array_join(F.col("geo.coordinates").cast("array<string>"), ",")
     return raw.withColumn("user", F.col("user").withField("location", F.coalesce(F.col("user.location"), stated)))
 

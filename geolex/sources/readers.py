@@ -23,20 +23,20 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFram
             .select("path", "length"))
 
 
-def decode_json(col: Column | str, schema: T.StructType) -> Column:
-    """S3: permissive JSON decode; a bad line yields an all-null struct."""
+def decode_json(col: Column | str, schema: T.StructType, mode: str = "PERMISSIVE") -> Column:
+    """S3: JSON decode.  A bad line yields an all-null struct, or with ``mode="FAILFAST"`` an error."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.from_json(c, schema, {"mode": "PERMISSIVE"})
+    return F.from_json(c, schema, {"mode": mode})
 
 
 def read_posts(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False,
-               schema: T.StructType = schemas.RAW_POST) -> DataFrame:
+               schema: T.StructType = schemas.RAW_POST, mode: str = "PERMISSIVE") -> DataFrame:
     """S1 + S3: JSON-lines posts from one path, a comma list or a list.
 
     Lines are read as text and decoded with ``from_json`` so a corrupt line
     becomes a null record (dropped by the located-user filter) instead of
     failing the job; ``_corrupt`` keeps the raw text of such lines for
-    counting.
+    counting.  With ``mode="FAILFAST"`` such a line is an error.
     """
     if isinstance(paths, str):
         paths = [p for p in paths.split(",") if p]
@@ -44,18 +44,29 @@ def read_posts(spark: SparkSession, paths: str | Sequence[str], recursive: bool
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     lines = reader.load(list(paths))
-    return decode_lines(lines, "value", schema)
+    return decode_lines(lines, "value", schema, mode)
 
 
-def decode_lines(df: DataFrame, col: str, schema: T.StructType = schemas.RAW_POST) -> DataFrame:
-    """Decode a text column of JSON lines into the schema's top-level columns.
+def read_persons(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False,
+                 schema: T.StructType = schemas.PERSON, mode: str = "PERMISSIVE") -> DataFrame:
+    """S3's second shape: JSON-lines files of person records."""
+    return read_posts(spark, paths, recursive, schema, mode)
+
+
+def decode_lines(df: DataFrame, col: str, schema: T.StructType = schemas.RAW_POST, mode: str = "PERMISSIVE",
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """Decode a text column of JSON lines into the schema's top-level columns, after the columns in ``carry``.
 
     ``_corrupt`` is the text of a line that is not JSON of this shape; a valid
     line without the expected fields (e.g. a delete notice) is not corrupt.
+    With ``mode="FAILFAST"`` a corrupt line is an error as soon as its columns are read.
     """
+    if mode == "FAILFAST":
+        rec = F.from_json(F.col(col), schema, {"mode": mode})
+        return df.select(*carry, rec.alias("_rec")).select(*carry, "_rec.*", F.lit(None).cast("string").alias("_corrupt"))
     flagged = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rec = F.from_json(F.col(col), flagged, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return df.select(rec.alias("_rec")).select("_rec.*")
+    rec = F.from_json(F.col(col), flagged, {"mode": mode, "columnNameOfCorruptRecord": "_corrupt"})
+    return df.select(*carry, rec.alias("_rec")).select(*carry, "_rec.*")
 
 
 def read_attainment(spark: SparkSession, path: str) -> DataFrame:

@@ -70,6 +70,21 @@ def test_posts_are_read_once(spark, name):
     assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:string", plan_of(catalog.queries()[name](spark, SF001)))) == 1
 
 
+def test_counts_come_from_the_pass_that_writes_the_records(spark, monkeypatch):
+    """The raw lines' texts are scanned by one job; the counts read no table again."""
+    from pyspark.sql import DataFrameWriter
+    seen = []
+
+    def spy(self, path, *a, real=DataFrameWriter.parquet, **kw):
+        seen.append(plan_of(self._df))
+        return real(self, path, *a, **kw)
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    counts = catalog.queries()["x5_located_counts"](spark, SF001)
+    texts = [p for p in seen if re.search(r"ReadSchema: struct<doc_id:bigint,text:string", p)]
+    assert len(texts) == 1 and "CollectMetrics" in texts[0]
+    assert "FileScan" not in plan_of(counts)
+
+
 def test_nearest_zip_is_an_equi_join(spark):
     plan = plan_of(catalog.queries()["j3_nearest_zip"](spark, SF001))
     assert "NestedLoopJoin" not in plan and ("HashJoin" in plan or "SortMergeJoin" in plan)

@@ -3,6 +3,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from geolex.operators.wordmodel import drop_stop_words
@@ -90,3 +91,41 @@ def test_s11_partitioned_model_sink(spark):
     sinks.write_table(model, f"{d}/by_level", fmt="parquet", partition_by=["level"])
     assert {"level=0", "level=3"} <= set(os.listdir(f"{d}/by_level"))
     assert spark.read.parquet(f"{d}/by_level").filter(F.col("level") == 3).first().word == "cat"
+
+
+LINES = ['{"user":{"id":1,"lang":"en","location":"Miami"},"text":"a"}', '{"user":{"id":2,"lang":"fr","location":"Paris"},"text":"b"}',
+         "{bad", '{"delete":{"id":3}}', '{"user":{"id":4,"lang":"en"},"text":"c"}', "[1, 2"]
+
+
+def test_ingest_counts_and_quarantine_come_from_one_pass(spark, tmp_path):
+    from geolex.operators import places
+    from geolex.sources import ingest
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "line_no int, value string").repartition(3)
+    taken = ingest.ingest_posts(lines, str(tmp_path / "t"), places.keep_located_raw(), carry=("line_no",))
+    assert taken.counts == {"total": 6, "corrupt": 2, "notice": 1, "dropped": 2, "valid": 1}
+    assert [r.line_no for r in taken.records.collect()] == [0] and "_corrupt" not in taken.records.columns
+    assert sorted(map(tuple, taken.quarantine.collect())) == [(2, "{bad"), (5, "[1, 2")]
+    everything = ingest.ingest_posts(lines, str(tmp_path / "u"))
+    assert everything.counts["valid"] == 3 and everything.counts["dropped"] == 0
+    nothing = ingest.ingest_posts(lines.limit(0), str(tmp_path / "v"))
+    assert set(nothing.counts.values()) == {0} and nothing.records.count() == 0
+
+
+def test_strict_decoding_fails_on_a_corrupt_line(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([(x,) for x in LINES], "value string").write.text(path)
+    assert readers.read_posts(spark, path).count() == 6
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        readers.read_posts(spark, path, mode="FAILFAST").select("text").collect()
+    good = str(tmp_path / "good")
+    spark.createDataFrame([(LINES[0],), (LINES[3],)], "value string").write.text(good)
+    assert readers.read_posts(spark, good, mode="FAILFAST").filter("user IS NOT NULL").count() == 1
+
+
+def test_person_lines(spark, tmp_path):
+    path = str(tmp_path / "persons")
+    line = '{"fip":1001,"user_id":7,"text":"t","filtered_text":"t","url_count":0,"emoji_count":1,"education_level_1":0.5}'
+    spark.createDataFrame([(line,), ("{",)], "value string").write.text(path)
+    rows = readers.read_persons(spark, path).orderBy("fip").collect()
+    assert (rows[1].fip, rows[1].user_id, rows[1].education_level_1, rows[1]._corrupt) == (1001, 7, 0.5, None)
+    assert rows[0]._corrupt == "{" and rows[0].user_id is None
