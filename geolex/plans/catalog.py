@@ -144,6 +144,21 @@ def q_t14(spark, d):
                     F.size(tx.tokens("text")).alias("n_tokens"))
 
 
+@query("t14_abbreviations")
+def q_t14a(spark, d):
+    return J.sentence_model(spark, d)[0]
+
+
+@query("t14_sentence_starters")
+def q_t14s(spark, d):
+    return J.sentence_model(spark, d)[1]
+
+
+@query("t14_learned_sentences")
+def q_t14l(spark, d):
+    return J.learned_sentences(spark, d)
+
+
 @query("t15_parse_vector")
 def q_t15(spark, d):
     e = S.table(spark, d, "embeddings").select("vec_id", "embedding")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolex.functions import text as tx
-from geolex.operators import places, predict, profiles, report, split, tfidf, wordmodel
+from geolex.operators import places, predict, profiles, report, sentences, split, tfidf, wordmodel
 from geolex.plans import standins as S
 from geolex.session import ensure_checkpoint_dir, materialize
 from geolex.sources import ingest, readers, sinks
@@ -124,6 +124,18 @@ def sentence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.tfidf(docs, ["doc_id", "sent_no"], "text", cut=True)
 
 
+def sentence_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus' abbreviations and sentence starters, from one written table of counts."""
+    counts = materialize(sentences.end_counts(S.table(spark, sf_dir, "documents").select("text")), "end_counts")
+    abbrevs = materialize(sentences.abbreviations(counts), "abbreviations")
+    return abbrevs, materialize(sentences.sentence_starters(counts, abbrevs), "sentence_starters")
+
+
+def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.learned_sentences(docs, "doc_id", "text", *sentence_model(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------- X1
 def attainment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attainment table, written once: one row per county and state, which

@@ -443,6 +443,44 @@ SELECT doc_id, {strip_special('text')} AS clean, CAST(length({strip_special('tex
     sents = f"""
 sents AS (SELECT doc_id, unnest({sentences('text')}) AS text, unnest(range(len({sentences('text')}))) AS sent_no FROM documents),
 docs AS (SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, text FROM sents WHERE len({tokens('text')}) > 0)"""
+    wt = "regexp_replace(regexp_replace(lower({x}), '^[^\\p{{L}}\\p{{N}}]+', ''), '[.!?]+$', '')"
+    mk = "CASE WHEN right({x}, 1) IN ('.', '!', '?') THEN right({x}, 1) ELSE '' END"
+    ll = ("(CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({p}) END + CASE WHEN {n} - {k} = 0 THEN 0 ELSE ({n} - {k}) * ln(1 - {p}) END)")
+    model = with_(f"""
+tk AS (SELECT {tokens('text')} AS t FROM documents),
+tp AS (SELECT unnest(t) AS t, unnest(list_append(t[2:], NULL)) AS n FROM tk),
+tw AS (SELECT {wt.format(x='t')} AS word, {mk.format(x='t')} AS mark, {wt.format(x='n')} AS next FROM tp),
+ec AS (SELECT word, mark, CASE WHEN mark <> '' THEN next END AS next FROM tw WHERE word <> ''),
+tot AS (SELECT count(*) AS n_all, count_if(mark = '.') AS k_all FROM ec),
+wd AS (SELECT word, count(*) AS n, count_if(mark = '.') AS k, length(replace(word, '.', '')) AS size FROM ec GROUP BY word),
+ab AS (
+  SELECT word, k AS n_period, n - k AS n_plain,
+         -2 * ({ll.format(k='k', n='n', p='(k_all / n_all)')} - {ll.format(k='k', n='n', p=dbl(0.99))})
+           * exp(-CAST(size AS DOUBLE)) * (length(word) - size + 1) * pow(CAST(size AS DOUBLE), -CAST(n - k AS DOUBLE)) AS score
+  FROM wd, tot WHERE k > 0 AND k_all < n_all AND regexp_matches(word, '^\\p{{L}}+(\\.\\p{{L}}+)*$')),
+abbr AS (SELECT * FROM ab WHERE score >= {dbl(0.3)}),
+ends AS (SELECT next AS word, count(*) AS a FROM ec WHERE next <> ''
+           AND (mark IN ('!', '?') OR (mark = '.' AND word NOT IN (SELECT word FROM abbr))) GROUP BY next),
+nb AS (SELECT sum(a)::BIGINT AS b FROM ends),
+st AS (
+  SELECT ends.word, a AS n_start, n AS n_total,
+         -2 * ({ll.format(k='a', n='b', p='(n / n_all)')} + {ll.format(k='(n - a)', n='(n_all - b)', p='(n / n_all)')}
+               - {ll.format(k='a', n='b', p='(a / b)')} - {ll.format(k='(n - a)', n='(n_all - b)', p='((n - a) / (n_all - b))')}) AS score
+  FROM ends JOIN wd ON wd.word = ends.word, tot, nb
+  WHERE n_all > b AND n < n_all AND a / b > n / n_all AND regexp_matches(ends.word, '^\\p{{L}}')),
+starters AS (SELECT * FROM st WHERE score >= {dbl(30.0)})""")
+    o["t14_abbreviations"] = model + "SELECT word, n_period, n_plain, round(score, 6) AS score FROM abbr"
+    o["t14_sentence_starters"] = model + "SELECT word, n_start, n_total, round(score, 6) AS score FROM starters"
+    o["t14_learned_sentences"] = model + f""", fr AS (
+  SELECT k, doc_id, unnest({sentences('text')}) AS text, unnest(range(len({sentences('text')}))) AS sent_no
+  FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents)),
+ft AS (SELECT *, {tokens('text')} AS t FROM fr WHERE len({tokens('text')}) > 0),
+fl AS (SELECT *, lag(t[-1]) OVER w AS prev, t[1] AS first FROM ft WINDOW w AS (PARTITION BY k ORDER BY sent_no)),
+fj AS (SELECT *, prev IS NOT NULL AND right(prev, 1) = '.' AND {wt.format(x='prev')} IN (SELECT word FROM abbr)
+              AND NOT (regexp_matches(first, '^[^\\p{{L}}\\p{{N}}]*\\p{{Lu}}')
+                       AND {wt.format(x='first')} IN (SELECT word FROM starters)) AS joins FROM fl),
+fg AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY sent_no) AS run FROM fj)
+SELECT doc_id, min(sent_no) AS sent_no, string_agg(text, ' ' ORDER BY sent_no) AS text FROM fg GROUP BY k, doc_id, run"""
     o["t14_sentences"] = with_(sents) + f"""
 SELECT doc_id, sent_no, text, CAST(len({tokens('text')}) AS BIGINT) AS n_tokens FROM docs"""
     o["t15_parse_vector"] = f"""
