@@ -77,6 +77,26 @@ def word_counts(df: DataFrame, key: str | Sequence[str], text_col: str = "filter
     return exploded.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def marked_word_counts(df: DataFrame, key: Sequence[str], order_col: str, text_col: str = "filtered_text") -> DataFrame:
+    """``(key, word, cnt, last)``: ``word_counts`` with one more row per key, whose word is null and whose
+    ``last`` is the latest ``order_col``, so that what a key's latest record says comes from the same
+    pass over the text (``words_of`` and ``latest_of`` read the two kinds of rows)."""
+    toks = F.concat(F.array(F.lit(None).cast("string")), tx.tokens(F.col(text_col)))
+    rows = df.select(*key, order_col, F.explode(toks).alias("word"))
+    return rows.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("cnt"),
+                                          F.max(F.when(F.col("word").isNull(), F.col(order_col))).alias("last"))
+
+
+def words_of(marked: DataFrame) -> DataFrame:
+    return marked.filter(F.col("word").isNotNull()).drop("last")
+
+
+def latest_of(marked: DataFrame, key: str, col: str) -> DataFrame:
+    """``(key, col)``: the value of the latest record, of equally late ones the largest."""
+    last = marked.filter(F.col("word").isNull()).groupBy(key).agg(F.max(F.struct("last", col)).alias("_last"))
+    return last.select(key, F.col("_last")[col].alias(col))
+
+
 def rollup_counts(counts: DataFrame, key: str) -> DataFrame:
     """Re-aggregate a finer ``(..., word, cnt)`` table to ``(key, word, cnt)``."""
     return counts.groupBy(key, "word").agg(F.sum("cnt").alias("cnt"))

@@ -438,7 +438,7 @@ def q_a3t(spark, d):
 
 # ------------------------------------------------------------ word model
 def _x2_observations(spark, d):
-    train = profiles.rollup_counts(J._x2_counts(spark, d).filter(F.col("is_train")), "fip")
+    train = J.train_counts(J._x2_counts(spark, d))
     return wordmodel.observations(profiles.shares(train, "fip", few_keys=True), S.targets(S.region_levels(spark, d)),
                                   S.STOP_WORDS)
 

@@ -63,16 +63,17 @@ def top_words(spark: SparkSession, sf_dir: str, ascending: bool = False) -> Data
 
 def score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3's model is written as CSV (S11), read back (S7) -> A12 -> users
-    (A3) -> R9 -> R10.  The posts are tokenised once: one ``(user, fip,
-    word)`` count table feeds both the region and the user profiles."""
-    persons = S.persons(spark, sf_dir)
-    counts = materialize(profiles.word_counts(persons, ["user_id", "fip"]), "user_fip_word_counts")
+    (A3) -> R9 -> R10.  The posts are read once: one ``(user, fip, word)`` count table
+    feeds the region and the user profiles, and tells each user's latest region."""
+    marked = materialize(profiles.marked_word_counts(S.persons(spark, sf_dir), ["user_id", "fip"], "line_no"),
+                         "user_fip_word_counts")
+    counts = profiles.words_of(marked)
     targets = S.targets(S.region_levels(spark, sf_dir))
     path = sink_path(spark, "word_model")
     sinks.write_table(fit_region_model(profiles.rollup_counts(counts, "fip"), targets, trim=True, corrected=False),
                       path, fmt="csv", sep=",")
     model = readers.read_word_model(spark, path)
-    preds = classify_users(persons, profiles.rollup_counts(counts, "user_id"), model)
+    preds = classify_users(marked, model)
     return predict.evaluate(preds, targets)
 
 
@@ -82,35 +83,34 @@ def labelled_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _x2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(is_train, user_id, fip, word, cnt)``: every post tokenised once."""
-    return materialize(profiles.word_counts(labelled_persons(spark, sf_dir), ["is_train", "user_id", "fip"]),
-                       "split_word_counts")
+    """``(is_train, user_id, fip, word, cnt, last)``: every post read and tokenised once."""
+    return materialize(profiles.marked_word_counts(labelled_persons(spark, sf_dir), ["is_train", "user_id", "fip"],
+                                                   "line_no"), "split_word_counts")
 
 
-def word_model_train(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+def train_counts(marked: DataFrame) -> DataFrame:
+    return profiles.rollup_counts(profiles.words_of(marked).filter(F.col("is_train")), "fip")
+
+
+def word_model_train(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None) -> DataFrame:
     """X2 learn: train split -> region profile -> stop words -> n > 3 ->
     regression, Bonferroni, importance gate."""
-    counts = _x2_counts(spark, sf_dir) if counts is None else counts
-    train = profiles.rollup_counts(counts.filter(F.col("is_train")), "fip")
-    return fit_region_model(train, S.targets(S.region_levels(spark, sf_dir)), trim=False, corrected=True)
+    marked = _x2_counts(spark, sf_dir) if marked is None else marked
+    return fit_region_model(train_counts(marked), S.targets(S.region_levels(spark, sf_dir)), trim=False, corrected=True)
 
 
-def classify_users(persons: DataFrame, user_counts: DataFrame, model: DataFrame) -> DataFrame:
+def classify_users(marked: DataFrame, model: DataFrame) -> DataFrame:
     """A3 -> J8/M4/W7: one row per user with words: fip, scores, level.
 
     The user's region is that of the latest post (D12; of posts with the same
-    number the largest fip).  That reads the posts' keys again: their texts are
-    split into lines for the line numbers, but not tokenised."""
-    users = persons.groupBy("user_id").agg(F.max(F.struct("line_no", "fip")).alias("_last"))
-    return predict.classify(user_counts, users.select("user_id", F.col("_last.fip").alias("fip")),
-                            wordmodel.model_wide(model))
+    number the largest fip), which the marked counts know."""
+    return predict.classify(profiles.rollup_counts(profiles.words_of(marked), "user_id"),
+                            profiles.latest_of(marked, "user_id", "fip"), wordmodel.model_wide(model))
 
 
 def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _x2_counts(spark, sf_dir)
-    test = labelled_persons(spark, sf_dir).filter(~F.col("is_train"))
-    user_counts = profiles.rollup_counts(counts.filter(~F.col("is_train")), "user_id")
-    return classify_users(test, user_counts, word_model_train(spark, sf_dir, counts))
+    marked = _x2_counts(spark, sf_dir)
+    return classify_users(marked.filter(~F.col("is_train")), word_model_train(spark, sf_dir, marked))
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,13 @@ def test_posts_are_read_once(spark, name):
     assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:string", plan_of(catalog.queries()[name](spark, SF001)))) == 1
 
 
+@pytest.mark.parametrize("name", ["r9_classify_users", "r10_evaluate", "x4_score_saved_model"])
+def test_users_and_words_come_from_one_read_of_the_texts(spark, cut_plans, name):
+    df = catalog.queries()[name](spark, SF001)
+    texts = [len(re.findall(r"ReadSchema: struct<[^>]*\btext:string", p)) for p in [plan_of(df), *cut_plans]]
+    assert sum(texts) == 1
+
+
 def test_counts_come_from_the_pass_that_writes_the_records(spark, monkeypatch):
     """The raw lines' texts are scanned by one job; the counts read no table again."""
     from pyspark.sql import DataFrameWriter
