@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from geolex.functions import stats as st
 from geolex.functions import text as tx
-from geolex.operators import nearest, places, predict, profiles, report, split, tfidf, wordmodel
+from geolex.operators import archives, nearest, places, predict, profiles, report, split, tfidf, wordmodel
 from geolex.plans import jobs as J
 from geolex.plans import standins as S
 from geolex.sources import readers
@@ -426,6 +426,16 @@ def q_a2t(spark, d):
     return profiles.profile_totals(S.persons(spark, d), "fip", order_col="line_no")
 
 
+@query("a2_archived_word_share")
+def q_a2a(spark, d):
+    return archives.stored_shares(J.archive_store(spark, d))
+
+
+@query("a1_archived_totals")
+def q_a1a(spark, d):
+    return archives.stored_totals(J.archive_store(spark, d))
+
+
 @query("a3_user_word_share")
 def q_a3w(spark, d):
     return profiles.profile_words(S.persons(spark, d), "user_id", cut=True)

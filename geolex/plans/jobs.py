@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolex.functions import text as tx
-from geolex.operators import places, predict, profiles, report, sentences, split, tfidf, wordmodel
+from geolex.operators import archives, places, predict, profiles, report, sentences, split, tfidf, wordmodel
 from geolex.plans import standins as S
 from geolex.session import ensure_checkpoint_dir, materialize
 from geolex.sources import ingest, readers, sinks
@@ -244,6 +244,20 @@ def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("user_id long, line_no long, value string").json(path)
 
 
+# ---------------------------------------------------------------- archives
+ARCHIVES = 3
+
+
+def archive_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts of every document in the archive of its id, added archive by archive; the second one
+    is added again, as an archive that has grown."""
+    path = sink_path(spark, "archives")
+    people = S.persons(spark, sf_dir)
+    for n in (*range(ARCHIVES), 1):
+        archives.add_archive(people.filter(F.col("user_id") % ARCHIVES == n), f"part-{n}", path)
+    return archives.stored_counts(spark, path, kind="string")
+
+
 # ---------------------------------------------------------------------- X9
 def level_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual and predicted level of every region binned for a map.

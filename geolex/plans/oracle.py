@@ -579,6 +579,9 @@ SELECT fip, word, cnt, round(share, 6) AS share FROM xw"""
     o["a4_person_records"] = _persons_sql() + f"""
 SELECT fip, user_id, text, filtered_text, url_count, emoji_count, line_no, {lv} FROM persons"""
     o["s3_person_lines"] = o["a4_person_records"]
+    o["a1_archived_totals"] = _persons_sql() + """
+SELECT fip, count(*) AS tweet_count, CAST(sum(url_count) AS BIGINT) AS url_count,
+       CAST(sum(emoji_count) AS BIGINT) AS emoji_count FROM persons GROUP BY fip"""
     o["a1_region_words"] = with_(*BASE, cte_shares("persons", "fip", "rw")) + "SELECT fip, word, cnt, round(share, 6) AS share FROM rw"
     o["a1_region_totals"] = _persons_sql() + f"""
 SELECT fip, count(*) AS tweet_count, CAST(sum(url_count) AS BIGINT) AS url_count,
@@ -589,6 +592,7 @@ FROM persons GROUP BY fip"""
 SELECT fip, count(*) AS tweet_count, round(avg(url_count), 6) AS avg_url_count, round(avg(emoji_count), 6) AS avg_emoji_count,
        {", ".join(f'round(arg_max({c}, line_no), 6) AS {c}' for c in LEVEL_COLS)}
 FROM persons GROUP BY fip"""
+    o["a2_archived_word_share"] = o["a2_region_word_share"]
     o["a3_user_word_share"] = with_(*BASE, cte_shares("persons", "user_id", "uw")) + \
         "SELECT user_id, word, cnt, round(share, 6) AS share FROM uw"
     o["a3_user_profile"] = _persons_sql() + f"""

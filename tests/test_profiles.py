@@ -77,3 +77,24 @@ def test_x3_trimmed_duplicates_stay_separate_r2(spark):
     nan = spark.createDataFrame([(1, "NaN", 0.1), (1, "...", 0.2), (1, "the", 0.3), (1, "the’", 0.3)],
                                 "fip long, word string, share double")
     assert wordmodel.observations(nan, targets, ["the", "the'"], trim=True).count() == 0
+
+
+def test_archives_are_added_one_by_one(spark, tmp_path):
+    from geolex.operators import archives
+    rows = [(1, "a b a", 1, 0), (1, "b", 0, 2), (2, "c", 0, 0), (2, "", 1, 1)]
+    people = spark.createDataFrame(rows, "fip long, filtered_text string, url_count int, emoji_count int")
+    path = str(tmp_path / "store")
+    archives.add_archive(people.limit(0), "2012", path)
+    archives.add_archive(people.filter("fip = 1"), "2013", path)
+    files = {str(f) for f in (tmp_path / "store" / "archive=2013").iterdir()}
+    archives.add_archive(people, "2014", path)
+    # the earlier archive's files are as they were: only the new archive was read and written
+    assert {str(f) for f in (tmp_path / "store" / "archive=2013").iterdir()} == files
+    archives.add_archive(people.filter("fip = 2"), "2014", path)  # again, with what it holds now
+    counts = archives.stored_counts(spark, path)
+    assert sorted(map(tuple, archives.stored_shares(counts).collect())) == [(1, "a", 2, .5), (1, "b", 2, .5), (2, "c", 1, 1.0)]
+    assert sorted(map(tuple, archives.stored_totals(counts).collect())) == [(1, 2, 1, 2), (2, 2, 1, 1)]
+    one = archives.stored_counts(spark, path, ["2014"])
+    assert sorted(map(tuple, archives.stored_totals(one).collect())) == [(2, 2, 1, 1)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(archive" in plan or "archive#" in plan.split("PartitionFilters: [")[1].split("]")[0]
