@@ -27,15 +27,17 @@ def _c(col):
     return F.col(col) if isinstance(col, str) else col
 
 
-#: Terms of the series (ratios end below 1/2), of the continued fraction, and factors of the gamma ratio.
+#: Most terms of the series (ratios end below 1/2) and of the continued fraction (fewer are taken where these
+#: converge sooner), and factors of the gamma ratio.
 SERIES, FRACTION, SHIFT = 62, 56, 8
 #: Coefficients of 1/b, 1/b^3, ... of log Gamma(b + 1/2) - log Gamma(b) - log(b) / 2.
 GAMMA = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432, 691 / 180224)
 
 
-def _steps(upper: int, start: Column, step) -> Column:
-    """``step`` applied for k = upper .. 1."""
-    return F.aggregate(F.array(*[F.lit(float(k)) for k in range(upper, 0, -1)]), start, step)
+def _steps(upper: Column, most: int, step) -> Column:
+    """1.0 after ``step`` has been applied for k = upper .. 1, at most ``most`` times."""
+    first = F.least(F.ceil(upper), F.lit(most)).cast("int")
+    return F.aggregate(F.sequence(F.greatest(first, F.lit(1)), F.lit(1), F.lit(-1)), F.lit(1.0), step)
 
 
 def _gamma_ratio(a: Column) -> Column:
@@ -51,18 +53,18 @@ def _gamma_ratio(a: Column) -> Column:
     return ratio
 
 
-def _series(top: Column, bottom: Column, z: Column) -> Column:
+def _series(top: Column, bottom: Column, z: Column, terms: Column) -> Column:
     """F(top, 1; bottom; z) = 1 + top/bottom z (1 + (top + 1)/(bottom + 1) z (...))."""
-    return _steps(SERIES, F.lit(1.0), lambda acc, k: F.lit(1.0) + (top + k - 1.0) / (bottom + k - 1.0) * z * acc)
+    return _steps(terms, SERIES, lambda acc, k: F.lit(1.0) + (top + k - 1.0) / (bottom + k - 1.0) * z * acc)
 
 
-def _fraction(a: Column, w: Column) -> Column:
+def _fraction(a: Column, w: Column, terms: Column) -> Column:
     """F(1/2, 1; a + 1; -w) = 1/(1 + c1 w/(1 + c2 w/(1 + ...)))."""
     def step(acc, k):
         c = (k / 2.0) * (a + (k - 1.0) / 2.0) / ((a + k - 1.0) * (a + k))
         return F.lit(1.0) / (F.lit(1.0) + c * w * acc)
 
-    return _steps(FRACTION, F.lit(1.0), step)
+    return _steps(terms, FRACTION, step)
 
 
 def corr_p_value(r: Column | str, n: Column | str) -> Column:
@@ -74,9 +76,9 @@ def corr_p_value(r: Column | str, n: Column | str) -> Column:
     log_x = F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(x))
     scale = F.exp(a * log_x) * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))  # x^a / B
     p = (F.when(x == 0, F.lit(0.0)).when(y == 0, F.lit(1.0))
-         .when(y >= 0.5, scale / a * size * _series(a + 0.5, a + 1.0, x))
-         .when(a * y >= 3, scale / a / size * _fraction(a, x / y))
-         .otherwise(F.lit(1.0) - F.lit(2.0) * size * scale * _series(a + 0.5, F.lit(1.5), y)))
+         .when(y >= 0.5, scale / a * size * _series(a + 0.5, a + 1.0, x, -50.0 / F.log2(x)))
+         .when(a * y >= 3, scale / a / size * _fraction(a, x / y, 8.0 + 160.0 / (a * y)))
+         .otherwise(F.lit(1.0) - F.lit(2.0) * size * scale * _series(a + 0.5, F.lit(1.5), y, 10.0 + 6.0 * a * y - 44.0 / F.log2(y))))
     return F.when(r.isNull() | (n < 3), F.lit(None).cast("double")).otherwise(
         F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
