@@ -8,9 +8,13 @@ quotes), bare configuration values, references, operators, calls and brackets,
 which may go on over line ends.  References
 are resolved through all of the document's assignments of the name, so a literal is judged
 by every name it reaches: ``A = "..."`` and ``db_password = A`` make A's literal
-a password.  A literal is reported when the sensitivity of its best target name
-and the randomness of its value together reach ``THRESHOLD`` and no pattern
-already covers it.
+a password.  A value of several parts is judged as a whole too: a name in it stands
+for its nearest earlier assignment, or else for the first one that follows (see
+``Resolution``), so that secrets in pieces are found.  A literal is reported when the
+sensitivity of its best target name and the randomness of its value together reach
+``THRESHOLD`` and no pattern already covers it.  Of a value with white space the words
+are judged one by one: those after an authorisation scheme (``Basic ...``), and others of
+at least ``MIN_WORD`` characters of three kinds.
 
 Rules: null text counts as empty; no text has no spans.  Positions are code
 points, ends exclusive.  Matches of a pattern are leftmost and do not overlap;
@@ -24,8 +28,10 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict, deque
+from collections import Counter, defaultdict
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +54,20 @@ THRESHOLD = 1.2
 #: What parts of a target's name say about its value.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 0.9, "token": 0.8,
              "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "private": 0.5, "auth": 0.5,
-             "key": 0.5, "api": 0.4, "access": 0.4, "signing": 0.4, "encryption": 0.4, "salt": 0.4}
+             "key": 0.5, "api": 0.4, "access": 0.4, "signing": 0.4, "encryption": 0.4, "salt": 0.4,
+             "pass": 0.75, "pw": 0.75, "passcode": 0.9, "cred": 0.75, "creds": 0.75, "authorization": 0.7, "jwt": 0.7,
+             "cookie": 0.6, "session": 0.5, "cert": 0.5, "hmac": 0.5}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$?\{.*\}|%.*%|(?:your|my|the|some|an?)[-_ ].*|.*(?:example|changeme"
                          r"|change_me|placeholder|redacted|dummy|todo).*|none|null|true|false|yes|no|test|password"
                          r"|secret|token)$")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
+SCHEME = r"(?i:basic|bearer|digest|negotiate|token|apikey)"
+#: An authorisation scheme and its bare credential, alone up to a line's end or a delimiter.
+SCHEMED = re.compile(SCHEME + r"[\x20\t]++([^\s\"'`,;#(){}\[\]<>]++)(?=[\x20\t]*+(?:$|[\r\n,;}#]))")
+WORD = re.compile(r"\S+")
+MIN_WORD = 12
+
 LEXEME = re.compile(r"""
     (?P<triple>[rRbBuUfF]{0,2}(?P<quotes>\"{3}|'{3})(?P<inner>[\s\S]*?)(?P=quotes))
   | (?P<string>(?:[rRbBuUfFL]{1,2}|u8|b?r\#+|\$@|@\$|[@$])?
@@ -195,6 +209,10 @@ class Lexer:
                 crossed = True
                 continue
             if value is not None and want and bare:
+                if schemed := SCHEMED.match(text, start, hi):
+                    found[value][1].append((schemed[1], *schemed.span(1), False))
+                    pos, want, bare, operand, target = schemed.end(), False, False, "bare", None
+                    continue
                 while run and run.end() <= start:
                     run = next(runs, None)
                 if run and run.start() <= start and run[1] is not None:
@@ -293,38 +311,160 @@ def sensitivity(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys([*parts, "".join(parts[-2:])][:len(parts) + 1])))
 
 
+def weight(entropy: float, length: float, kinds: int) -> float:
+    """Up to 1 for long values of many different characters of three kinds and more."""
+    return min(1.0, entropy / 3.5 * min(1.0, length / 12)) * (0.4 if kinds == 1 else 0.8 if kinds == 2 else 1.0)
+
+
+def kinds(value: str) -> tuple[bool, ...]:
+    return tuple(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+
+
 def randomness(value: str) -> float:
     """0 for placeholders, short or plain words, up to 1 for long mixed ones."""
     if len(value) < MIN_VALUE or PLACEHOLDER.match(value) or any(c.isspace() for c in value) or "://" in value:
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    mixed = sum(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 3.5 * min(1.0, len(value) / 12)) * (0.4 if mixed == 1 else 0.8 if mixed == 2 else 1.0)
+    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    return weight(entropy, len(value), sum(kinds(value)))
 
 
 def named(term: Term) -> str | None:
     return term if isinstance(term, str) else term[0] if isinstance(term, tuple) and term[3] else None
 
 
-def joined(found: list, places: dict[str, list[int]], i: int) -> list[Literal]:
-    """The literals of assignment ``i`` with its references replaced: by the nearest earlier
-    assignment of the name, or the nearest later one if there is none.  Empty if one of
-    them has white space, for then the whole is not random."""
-    literals, todo, seen = [], deque((i, term) for term in found[i][1]), {i}
-    while todo:
-        at, term = todo.popleft()
-        if of := places.get(named(term)):
-            k = bisect_left(of, at)
-            to = of[k - 1] if k else next((j for j in of if j > at), at)
-            if to not in seen:
-                seen.add(to)
-                todo.extend((to, t) for t in found[to][1])
-        elif isinstance(term, tuple):
-            if any(map(str.isspace, term[0])):
-                return []
-            literals.append(term)
-    return literals
+class Whole(NamedTuple):
+    """What the randomness of a value depends on, in bounded space however long the value."""
+
+    counts: np.ndarray  # characters, by code point modulo BINS
+    length: float
+    kinds: tuple[bool, ...]
+    odd: bool  # has white space or a link, or is long and has a placeholder's word in a part
+    ends: str  # the value, or its first and last characters if it is longer than ENDS
+
+    @staticmethod
+    def of(value: str) -> Whole:
+        codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        odd = any(map(str.isspace, value)) or "://" in value or len(value) > ENDS and bool(PLACEHOLDER.match(value))
+        return Whole(np.bincount(codes % BINS, minlength=BINS).astype(float), float(len(value)), kinds(value), odd,
+                     clipped(value))
+
+    @staticmethod
+    def together(parts: list[Whole]) -> Whole:
+        """The parts one after the other.  Beyond ``LONGEST`` characters only the shares of the characters are kept."""
+        counts, length = sum((p.counts for p in parts), np.zeros(BINS)), sum(p.length for p in parts)
+        scale = min(1.0, LONGEST / length) if length else 1.0
+        return Whole(counts * scale, length * scale, tuple(any(p.kinds[k] for p in parts) for k in range(4)),
+                     any(p.odd for p in parts), clipped("".join(p.ends for p in parts)))
+
+    def randomness(self) -> float:
+        if self.length < MIN_VALUE or self.odd or "://" in self.ends or PLACEHOLDER.match(self.ends):
+            return 0.0
+        shares = self.counts[self.counts > 0] / self.length
+        return weight(float(-(shares * np.log2(shares)).sum()), self.length, sum(self.kinds))
+
+
+BINS, ENDS, LONGEST = 128, 64, 1e12
+
+
+def clipped(value: str) -> str:
+    return value if len(value) <= ENDS else value[:ENDS // 2] + value[-ENDS // 2:]
+
+
+class Resolution:
+    """The whole values of assignments of several terms, in time linear in the terms.
+
+    Assignments inside another one's value (arguments, elements, alternatives) have values of
+    their own and are no part of it; their ``root`` is the outermost one.  A name stands
+    for its nearest assignment before the root.  Those references cannot go
+    round in circles, so one pass over the roots in order finds every value from
+    finished ones.  A name without an earlier assignment stands for its first later one, but
+    only in the value where it is written, after that value's other parts; so these do not either.
+    A value that is used no more is released."""
+
+    def __init__(self, found: list, places: dict[str, list[int]], reached: dict[int, tuple[float, str]]):
+        self.found, self.places = found, places
+        self.root = list(range(len(found)))
+        for i, (_, terms) in enumerate(found):
+            for term in terms:
+                if isinstance(term, int):
+                    self.root[term] = self.root[i]  # inner ones follow outer ones
+        self.order = sorted(reached, key=lambda i: (self.root[i], i))
+        self.parts: dict[int, list[Literal | int]] = {}  # of each assignment: literals, and assignments it stands on
+        self.later: dict[int, list[int]] = {}
+        uses: Counter[int] = Counter()
+        for i in self.order:
+            parts, later = [], []
+            for term in found[i][1]:
+                if (name := named(term)) in places:
+                    of = places[name]
+                    k = bisect_left(of, self.root[i])
+                    if k:
+                        parts.append(of[k - 1])
+                    elif self.root[of[0]] > self.root[i]:
+                        later.append(of[0])
+                elif isinstance(term, tuple):
+                    parts.append(term)
+            self.parts[i] = parts
+            uses.update(p for p in parts if isinstance(p, int))
+            if later:
+                self.later[i] = later
+                uses.update([i, *later])
+        self.whole: dict[int, float] = {}
+        kept: dict[int, Whole] = {}
+
+        def use(j: int) -> Whole:
+            uses[j] -= 1
+            return kept[j] if uses[j] else kept.pop(j)
+
+        for i in self.order:
+            several = len(found[i][1]) > 1
+            if several or uses[i]:
+                value = Whole.together([use(p) if isinstance(p, int) else Whole.of(p[0]) for p in self.parts[i]])
+                if uses[i]:
+                    kept[i] = value
+                if several and i not in self.later:
+                    self.whole[i] = value.randomness() * 0.9
+            else:
+                for p in self.parts[i]:
+                    if isinstance(p, int):
+                        use(p)
+        for i, later in self.later.items():
+            value = Whole.together([use(i), *map(use, later)])
+            if len(found[i][1]) > 1:
+                self.whole[i] = value.randomness() * 0.9
+
+    def best(self, reached: dict[int, tuple[float, str]]) -> dict[int, tuple[float, str]]:
+        """Of each assignment: the best score and name among the whole values that it is part of."""
+        own = {i: (reached[i][0] + whole, reached[i][1]) for i, whole in self.whole.items()}
+        out = dict(own)
+
+        def give(j: int, score: tuple[float, str]) -> None:
+            if score[0] > out.get(j, (0.0, ""))[0]:
+                out[j] = score
+
+        for i in self.later:
+            if i in own:
+                for j in self.later[i]:
+                    give(j, own[i])
+        for i in reversed(self.order):
+            if i in out:
+                for j in self.parts[i]:
+                    if isinstance(j, int):
+                        give(j, out[i])
+        return out
+
+
+def words_of(literal: Literal) -> list[Literal]:
+    """A literal, or those of its words that may be secrets if it has white space."""
+    value, start, _, _ = literal
+    if not any(map(str.isspace, value)):
+        return [literal]
+    out, before = [], ""
+    for m in WORD.finditer(value):
+        if re.fullmatch(SCHEME, before) or len(m[0]) >= MIN_WORD and sum(kinds(m[0])) > 2:
+            out.append((m[0], start + m.start(), start + m.end(), False))
+        before = m[0]
+    return out
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
@@ -352,17 +492,18 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, str, float]]:
                     followed.add(name)
                     todo += places[name]
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for i in sorted(reached):
-        worth, target = reached[i]
-        parts = [(term, 0.0) for term in found[i][1] if isinstance(term, tuple) and named(term) not in places]
-        if len(found[i][1]) > 1:
-            all_parts = joined(found, places, i)
-            whole = randomness("".join(v for v, *_ in all_parts)) * 0.9
-            parts += [(part, whole) for part in all_parts]
-        for (value, start, end, _), whole in parts:
-            score = worth + max(randomness(value), whole)
-            if score >= THRESHOLD and len(value) and score > best.get((start, end), (0.0, ""))[0]:
-                best[start, end] = (score, target)
+    if not reached:
+        return []
+    wholes = Resolution(found, places, reached).best(reached)
+    for i, (worth, target) in reached.items():
+        for literal in found[i][1]:
+            if not isinstance(literal, tuple) or named(literal) in places:
+                continue
+            whole = wholes.get(i, (0.0, ""))
+            for value, start, end, _ in words_of(literal):
+                score, name = max((worth + randomness(value), target), whole, key=lambda x: x[0])
+                if score >= THRESHOLD and value and score > best.get((start, end), (0.0, ""))[0]:
+                    best[start, end] = (score, name)
     return [("lexed", s, e, name, score) for (s, e), (score, name) in best.items()]
 
 

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -254,6 +255,87 @@ def test_whole_text_lexer_is_linear():
 
 def test_propagation_is_linear_in_assignments():
     op6.spans("value = 1\npwd = value\n" * 20000)
+    started = time.perf_counter()
+    op6.spans('pwd = pwd + "a1Z"\n' * 20000)
+    op6.spans('x0 = "k9"\n' + "".join(f'x{i + 1} = x{i} + "a1Z"\n' for i in range(20000)) + "pwd = x20000\n")
+    op6.spans('pwd = "k9"\n' + "pwd = pwd + pwd\n" * 20000)
+    op6.spans('pwd = f(' + 'g(pwd + "a1Z", ' * 20000 + "\n")
+    assert time.perf_counter() - started < 60  # some 15 s; walks of the chain for each line took many minutes
+
+
+def brute_wholes(lines):
+    """Spans of ``name = term + term ...`` by writing out every value: literals (text, start, end) and names."""
+    at = {}
+    for i, (name, _) in enumerate(lines):
+        at.setdefault(name, []).append(i)
+    worth = {n: op6.sensitivity(n) for n in at}
+
+    def spelled(i, forward):
+        out, tail = [], []
+        for term in lines[i][1]:
+            if isinstance(term, tuple):
+                out.append(term)
+            elif earlier := [j for j in at.get(term, []) if j < i]:
+                out += spelled(earlier[-1], False)
+            elif forward and at.get(term, [i])[0] > i:
+                tail += spelled(at[term][0], False)
+        return out + tail
+
+    reach = {}  # literals' assignments by name, whichever assignment of it
+    for i, (name, _) in enumerate(lines):
+        seen, todo = set(), [i]
+        while todo:
+            j = todo.pop()
+            if j not in seen:
+                seen.add(j)
+                todo += [k for term in lines[j][1] if isinstance(term, str) for k in at.get(term, [])]
+        for j in seen:
+            reach[j] = max(reach.get(j, 0.0), worth[name])
+    scores = {}
+    for i, (_, terms) in enumerate(lines):
+        if not reach[i]:
+            continue
+        for value, start, end in (t for t in terms if isinstance(t, tuple)):
+            scores[start, end] = max(scores.get((start, end), 0), reach[i] + op6.randomness(value))
+        if len(terms) > 1:
+            parts = spelled(i, True)
+            whole = op6.randomness("".join(p[0] for p in parts)) * 0.9
+            for _, start, end in parts:
+                scores[start, end] = max(scores.get((start, end), 0), reach[i] + whole)
+    return {place: round(score, 9) for place, score in scores.items() if score >= op6.THRESHOLD}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "db_password", "api_thing"]),
+                          st.lists(st.sampled_from(["a", "b", "c", "d", "db_password", '"k9"', '"Lm"', '"#x81Qz"',
+                                                    '"plain"', '"xx"', '"two words"', '"Zp0-77"']),
+                                   min_size=1, max_size=4)), max_size=9))
+def test_whole_values_equal_brute_force(program):
+    lines, text = [], ""
+    for name, terms in program:
+        text += name + " ="
+        parts = []
+        for k, term in enumerate(terms):
+            text += " + " * bool(k) + " " * (not k) + term
+            parts.append((term[1:-1], len(text) - len(term) + 1, len(text) - 1) if term[0] == '"' else term)
+        text += "\n"
+        lines.append((name, parts))
+    expected = {place: score for place, score in brute_wholes(lines).items() if text[slice(*place)] != "two words"}
+    assert {(s, e): round(score, 9) for _, s, e, _, score in op6.lexed_spans(text)} == expected
+
+
+@pytest.mark.parametrize("text, secrets", [
+    ("DB_PASS=k9Lm2Qx81Zp\n", ["k9Lm2Qx81Zp"]),
+    ('pass = "k9Lm2Qx81Zp"', ["k9Lm2Qx81Zp"]),
+    ('pw: k9Lm2Qx81Zp\nCRED="aa-19-Zk-55"', ["k9Lm2Qx81Zp", "aa-19-Zk-55"]),
+    ('session_cookie = "s9.Akd81-mmQ02x"', ["s9.Akd81-mmQ02x"]),
+    ('auth_header = "Basic dXNlcjE6cGFzcw=="', ["dXNlcjE6cGFzcw=="]),
+    ("Authorization: Bearer k9Lm2Qx81Zp\r\nHost: a", ["k9Lm2Qx81Zp"]),
+    ('pwd = "use k9Lm2Qx81Zp0 here"', ["k9Lm2Qx81Zp0"]),
+    ('pass = "the usual words of a sentence"\nsession: open to everybody\nThe pass: closed.', []),
+])
+def test_more_names_and_values_with_white_space(text, secrets):
+    assert [text[x["start"]:x["end"]] for x in op6.spans(text) if x["kind"] == "lexed"] == secrets
 
 
 def test_long_bare_values_take_linear_time():
