@@ -7,13 +7,16 @@ Three passes over the documents, each reading more of fewer texts:
    characters) nobody shares are unique;
 3. full hash: SHA-256 of the whole text, only for what is left.
 
-What travels between passes is the set of surviving lengths, and of surviving
-prefix-hash buckets.  Both are broadcast, and both are bounded by
-construction: lengths from ``CLASSES`` bytes on are one class and prefix
-hashes fall into ``CLASSES`` buckets, so either set has at most ``CLASSES``
-rows of one integer (4 MB).  A shared class or bucket only lets a text
+What travels between passes is the set of surviving lengths, and a bit set of the
+surviving prefix hashes.  Both are broadcast, and both are bounded by
+construction: lengths from ``CLASSES`` bytes on are one class, so there are at most
+``CLASSES`` of them (4 MB); the bit set has 16 to 32 bits a prefix and at most
+``MOST_BITS`` (16 MB).  A shared class or bit only lets a text
 through to the next pass; groups are formed by the full hash, so the result
-is exact at every size.  No text is shuffled to find the groups.
+is exact at every size.  Of the texts whose prefix is not shared, some 3 to 6 % pass,
+7 % at 10 million shared prefixes, and 1 - exp(-k / MOST_BITS) at k beyond; hashing
+those where they stand costs less than the shuffle of texts that a join by prefix
+would be.  No text is shuffled to find the groups.
 
 Rules: null text counts as empty; equal means byte for byte.  Of equal texts
 the row with the largest id stays; ids that are null lose to any id, and a
@@ -29,11 +32,35 @@ from pyspark.sql import functions as F
 
 from geolex.llm.common import cut, named, packed, table
 
-#: Rows that a broadcast set may have: length classes, and prefix-hash buckets.
+#: Length classes that the broadcast set may have.
 CLASSES = 1 << 20
+#: Bits of a row of the bit set, bits a prefix has at least, and most bits.
+BLOCK, BITS_A_KEY, MOST_BITS = 1 << 12, 16, 1 << 27
 PREFIX_CHARS = 256
 
 
+def bit_set(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct integers ``_key`` as a bit set of a power of two bits: rows of ``_block`` and
+    ``_words``, 64 words of 64 bits each, and the number of bits."""
+    bits = max(BLOCK, min(MOST_BITS, 1 << (BITS_A_KEY * keys.count() - 1).bit_length()))
+    at = keys.select(F.pmod("_key", F.lit(bits)).alias("_at"))
+    words = at.groupBy(F.shiftright("_at", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 AS int))")).alias("_bits"))
+    entry = F.struct(F.col("_word").bitwiseAND(63), F.col("_bits"))
+    blocks = words.groupBy(F.shiftright("_word", 6).alias("_block")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_of"))  # at most 64 entries
+    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("_of")[i.cast("long")], F.lit(0)))
+    return blocks.select("_block", each.alias("_words")), bits
+
+
+def with_hits(rows: DataFrame, blocks: DataFrame, bits: int, key: Column) -> DataFrame:
+    """``rows`` with ``_hit``: whether the key's bit is set; null keys have none."""
+    placed = rows.withColumn("_at", F.pmod(key, F.lit(bits)))
+    joined = placed.join(F.broadcast(blocks), F.shiftright("_at", 12) == F.col("_block"), "left")
+    hit = F.expr("(shiftright(get(_words, cast(shiftright(_at, 6) & 63 AS int)), cast(_at & 63 AS int)) & 1) = 1")
+    return joined.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_at", "_block", "_words")
+
+
 def with_full_hash(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with ``_full``: the text's SHA-256 where length and prefix hash
     are shared, null where they prove the text unique."""
@@ -49,15 +76,13 @@ def with_full_hash(docs: DataFrame, text: Column) -> DataFrame:
     def same_length(how: str) -> DataFrame:
         return docs.join(lengths, length_class == F.col("_shared_length"), how)
 
-    buckets = (same_length("left_semi").select(prefix.alias("_prefix")).groupBy("_prefix")
-               .agg(F.count("*").alias("_n")).filter("_n > 1")
-               .select(F.pmod("_prefix", F.lit(CLASSES)).cast("int").alias("_shared_prefix")).distinct())
-    buckets = F.broadcast(cut(buckets, "op3-prefixes"))
-
-    bucket = F.when(F.col("_shared_length").isNotNull(), F.pmod(prefix, F.lit(CLASSES)).cast("int"))
-    return (same_length("left").join(buckets, bucket == F.col("_shared_prefix"), "left")
-            .withColumn("_full", F.when(F.col("_shared_prefix").isNotNull(), F.sha2(body.cast("binary"), 256)))
-            .drop("_shared_length", "_shared_prefix"))
+    prefixes = (same_length("left_semi").select(prefix.alias("_key")).groupBy("_key")
+                .agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"))
+    blocks, bits = bit_set(cut(prefixes, "op3-prefixes"))
+    rows = with_hits(same_length("left"), cut(blocks, "op3-bits"), bits,
+                     F.when(F.col("_shared_length").isNotNull(), prefix))
+    return (rows.withColumn("_full", F.when(F.col("_hit"), F.sha2(body.cast("binary"), 256)))
+            .drop("_shared_length", "_hit"))
 
 
 def group_keepers(hashed: DataFrame) -> DataFrame:

@@ -96,6 +96,28 @@ def check_components(df):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 1_000_000])
+def test_bit_set_holds_its_keys_and_few_others(spark, n):
+    """The share let through by chance is the same however many prefixes are shared (buckets of
+    a fixed number let 63 % through at a million)."""
+    keys = spark.range(n).select(F.xxhash64("id").alias("_key"))
+    blocks, bits = op3.bit_set(keys)
+    held = op3.with_hits(keys, blocks, bits, F.col("_key"))
+    assert held.filter("_hit").count() == n and held.columns == ["_key", "_hit"]
+    others = spark.range(10**9, 10**9 + 200_000).select(F.xxhash64("id").alias("_key"))
+    assert op3.with_hits(others, blocks, bits, F.col("_key")).filter("_hit").count() < 200_000 * 0.065
+    nulls = spark.range(5).select(F.lit(None).cast("long").alias("_key"))
+    assert op3.with_hits(nulls, blocks, bits, F.col("_key")).filter("NOT _hit").count() == 5
+    assert blocks.count() * op3.BLOCK <= bits <= op3.MOST_BITS
+
+
+def test_full_hash_only_where_length_and_prefix_are_shared(spark):
+    texts = ["a" * 300 + "x", "a" * 300 + "y", "b" * 301, "c" * 5, "c" * 6, None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    hashed = {r.id: r._full is not None for r in op3.with_full_hash(docs, F.col("text")).collect()}
+    assert hashed == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True, 6: True}
+
+
 def test_simhash_on_the_table(spark):
     check_components(docs_of(spark))
 
