@@ -83,6 +83,22 @@ def corr_p_value(r: Column | str, n: Column | str) -> Column:
         F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
+def chi2_tail(statistic: Column | str, freedom: Column | str, most: int) -> Column:
+    """Upper tail of the chi-squared distribution with ``freedom`` degrees (1 to ``most``, else null): the
+    regularised incomplete gamma function Q(a, x) with a = freedom / 2, x = statistic / 2, from a series of positive
+    terms of the lower part where x < a + 1, else from the upper part's continued fraction, so that
+    small values keep their relative precision."""
+    freedom = _c(freedom).cast("int")
+    known = (freedom >= 1) & (freedom <= most)
+    a, x = freedom / F.lit(2.0), _c(statistic) / F.lit(2.0)
+    logs = F.array(*[F.lit(math.lgamma(d / 2)) for d in range(1, most + 1)])
+    scale = F.exp(a * F.log(x) - x - F.get(logs, freedom - 1))  # x^a e^-x / Gamma(a)
+    lower = scale / a * _steps(F.lit(SERIES), SERIES, lambda acc, k: F.lit(1.0) + x / (a + k) * acc)
+    rest = _steps(F.lit(FRACTION), FRACTION, lambda acc, k: k * (a - k) / (x + k * F.lit(2.0) + 1.0 - a + acc))
+    tail = F.when(x <= 0, F.lit(1.0)).when(x < a + 1.0, F.lit(1.0) - lower).otherwise(scale / (x + 1.0 - a + rest))
+    return F.when(known & x.isNotNull(), F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+
+
 def argmax_first(scores: Column | str) -> Column:
     """0-based index of the maximum, first index on ties."""
     s = _c(scores)

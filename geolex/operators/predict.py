@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from geolex.functions import stats as st
 
 LEVELS = (0, 1, 2, 3)
+#: Parts of a word's rows in bucketed tables, so that a frequent word is no hot bucket.
+SALTS = 16
+
+
+def salted_counts(user_words: DataFrame, key: str = "user_id") -> DataFrame:
+    """User counts with the ``salt`` that a table bucketed by word and salt needs."""
+    return user_words.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+
+
+def salted_model(model_wide: DataFrame) -> DataFrame:
+    """The model, one row per word, once for each salt."""
+    return model_wide.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
 def classify(user_words: DataFrame, users: DataFrame, model_wide: DataFrame,
-             key: str = "user_id") -> DataFrame:
+             key: str = "user_id", on: tuple[str, ...] = ("word",)) -> DataFrame:
     """score = sum(share * slope_k) over the user's words (J8 + M4);
     predicted level = first argmax (W7).
 
@@ -20,11 +32,12 @@ def classify(user_words: DataFrame, users: DataFrame, model_wide: DataFrame,
     left join on the word (only words with a weight; an absent word weighs 0)
     and one aggregate.  Users whose words all miss the model score 0 (level 0);
     users without any word never appear and are not classified (P12); the
-    inner join to ``users`` attaches their other columns.
+    inner join to ``users`` attaches their other columns.  ``on`` has ``salt``
+    too where both sides are tables bucketed by word and salt.
     """
     slopes = [F.col(f"slope_{k}") for k in LEVELS]
-    weights = model_wide.select("word", *slopes).filter(F.greatest(*[F.abs(s) for s in slopes]) > 0)
-    scored = (user_words.join(weights, "word", "left").groupBy(key)
+    weights = model_wide.select(*on, *slopes).filter(F.greatest(*[F.abs(s) for s in slopes]) > 0)
+    scored = (user_words.join(weights, list(on), "left").groupBy(key)
               .agg(*[(F.sum(F.col("cnt") * F.coalesce(F.col(f"slope_{k}"), F.lit(0.0))) / F.sum("cnt"))
                      .alias(f"score_{k}") for k in LEVELS]))
     out = users.join(scored, key, "inner")

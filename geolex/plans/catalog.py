@@ -539,6 +539,16 @@ def q_x4(spark, d):
     return predict.mean_error(J.score_with_model(spark, d))
 
 
+@query("x4_score_bucketed_tables")
+def q_x4b(spark, d):
+    return predict.mean_error(J.score_bucketed(spark, d))
+
+
+@query("x3_word_usage_by_level")
+def q_x3u(spark, d):
+    return J.word_usage(spark, d)
+
+
 # ----------------------------------------------------------------- tf-idf
 @query("a13_term_frequency")
 def q_a13(spark, d):

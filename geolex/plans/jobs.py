@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolex.functions import text as tx
-from geolex.operators import archives, places, predict, profiles, report, sentences, split, tfidf, wordmodel
+from geolex.operators import archives, places, predict, profiles, report, sentences, split, tfidf, usage, wordmodel
 from geolex.plans import standins as S
-from geolex.session import ensure_checkpoint_dir, materialize
+from geolex.session import ensure_checkpoint_dir, materialize, remember_cut
 from geolex.sources import ingest, readers, sinks
 
 # --- fixed values (reference defaults) --------------------------------------
@@ -32,8 +32,8 @@ POST_KEY = ("user_id", "line_no")
 
 
 def sink_path(spark: SparkSession, name: str) -> str:
-    """A new path for a file that a job writes and reads back."""
-    return os.path.join(ensure_checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex}")
+    """A new path for a file that a job writes and reads back; ``remove_cuts`` deletes it."""
+    return remember_cut(os.path.join(ensure_checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex}"))
 
 
 # ---------------------------------------------------------------- X3 / X4
@@ -77,6 +77,32 @@ def score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.evaluate(preds, targets)
 
 
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    path = sink_path(df.sparkSession, name)
+    return sinks.write_bucketed(df, os.path.basename(path).replace("-", "_"), path, ["word", "salt"])
+
+
+def score_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X4 over saved tables: user counts and model are bucketed by word and salt, so models that are
+    fitted again score the stored users without another shuffle of their counts."""
+    marked = materialize(profiles.marked_word_counts(S.persons(spark, sf_dir), ["user_id", "fip"], "line_no"),
+                         "user_fip_word_counts")
+    counts = profiles.words_of(marked)
+    targets = S.targets(S.region_levels(spark, sf_dir))
+    model = fit_region_model(profiles.rollup_counts(counts, "fip"), targets, trim=True, corrected=False)
+    saved_model = bucketed(predict.salted_model(wordmodel.model_wide(model)), "word_model")
+    saved_counts = bucketed(predict.salted_counts(profiles.rollup_counts(counts, "user_id")), "user_counts")
+    preds = predict.classify(saved_counts, profiles.latest_of(marked, "user_id", "fip"), saved_model, on=("word", "salt"))
+    return predict.evaluate(preds, targets)
+
+
+def word_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words the education groups of regions use differently (over all posts, untrimmed words)."""
+    counts = materialize(profiles.word_counts(S.persons(spark, sf_dir), "fip"), "fip_word_counts")
+    groups = materialize(usage.level_groups(S.targets(S.region_levels(spark, sf_dir))), "level_groups")
+    return usage.word_usage(counts, groups)
+
+
 # ---------------------------------------------------------------------- X2
 def labelled_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.hash_split(S.persons(spark, sf_dir), POST_KEY, TRAIN_FRACTION)

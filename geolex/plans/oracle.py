@@ -642,6 +642,32 @@ FROM (SELECT user_id, line_no, {h} AS u FROM posts)"""
     o["x4_score_saved_model"] = with_(*x3_ctes(), cte_classify("persons", "m3", "pa"), cte_evaluate("pa", "eva")) + \
         "SELECT round(avg(error), 6) AS mean_error, count(*) AS n_regions FROM eva"
 
+    o["x4_score_bucketed_tables"] = o["x4_score_saved_model"]
+
+    # usage by group: the lower incomplete gamma function as a sum of positive terms
+    ks = range(4)
+    over = ", ".join(f"CASE WHEN t{k} > 0 THEN round(n_{k} / (w * t{k} / t), 9) ELSE 0 END" for k in ks)
+    g = " + ".join(f"CASE WHEN n_{k} > 0 THEN n_{k} * ln(n_{k} / (w * t{k} / t)) ELSE 0 END"
+                   f" + CASE WHEN t{k} > n_{k} THEN (t{k} - n_{k}) * ln((t{k} - n_{k}) / (t{k} - w * t{k} / t)) ELSE 0 END"
+                   for k in ks)
+    o["x3_word_usage_by_level"] = with_(*BASE, cte_shares("persons", "fip", "rw"), f"""
+dev AS (SELECT fip, [{", ".join(f"round(y{k} - (SELECT avg(y{k}) FROM targets), 9)" for k in ks)}] AS a FROM targets),
+grp AS (SELECT fip, list_position(a, list_max(a)) - 1 AS level FROM dev),
+lw AS (SELECT word, level, cnt FROM rw_c JOIN grp USING (fip)),
+tot AS (SELECT {", ".join(f"CAST(sum(CASE WHEN level = {k} THEN cnt ELSE 0 END) AS DOUBLE) AS t{k}" for k in ks)} FROM lw),
+per AS (SELECT word, {", ".join(f"CAST(sum(CASE WHEN level = {k} THEN cnt ELSE 0 END) AS BIGINT) AS n_{k}" for k in ks)}
+        FROM lw GROUP BY word),
+s AS (SELECT *, CAST(n_0 + n_1 + n_2 + n_3 AS DOUBLE) AS w, t0 + t1 + t2 + t3 AS t,
+             CAST(t0 > 0 AS INT) + CAST(t1 > 0 AS INT) + CAST(t2 > 0 AS INT) + CAST(t3 > 0 AS INT) - 1 AS df
+      FROM per CROSS JOIN tot),
+u AS (SELECT *, greatest(2 * ({g}), 0) AS g, [{over}] AS over FROM s)""") + f"""
+SELECT word, n_0, n_1, n_2, n_3, round(g, 6) AS g,
+       CASE WHEN df < 1 THEN NULL WHEN g <= 0 THEN {dbl(1)} WHEN g > 400 THEN {dbl(0)}
+            ELSE round(greatest(1 - list_sum(list_transform(range(0, 600), lambda k:
+                exp((df / {dbl(2)} + k) * ln(g / 2) - g / 2 - lgamma(df / {dbl(2)} + k + 1)))), 0), 6) END AS pval,
+       CAST(list_position(over, list_max(over)) - 1 AS BIGINT) AS top_level
+FROM u"""
+
     # tf-idf ---------------------------------------------------------------
     tf_ctes = sents + f""",
 clean AS (SELECT doc_id, sent_no, {strip_special('text')} AS text FROM docs),

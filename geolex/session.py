@@ -88,6 +88,12 @@ def spread(df: DataFrame) -> DataFrame:
 _cuts: list[str] = []
 
 
+def remember_cut(path: str) -> str:
+    """``path``, which ``remove_cuts`` will delete."""
+    _cuts.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Run ``df`` now and cut its lineage: parquet under the shared checkpoint
     folder, read back (survives executor loss, unlike a local checkpoint, and
@@ -95,7 +101,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    _cuts.append(path)
+    remember_cut(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
