@@ -92,8 +92,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``remove_cuts`` deletes what is written there."""
+    _written.append(f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def remove_cuts(spark: SparkSession) -> int:
+    """Delete the tables and files that operators and pipeline stages have written to the shared
+    folder so far; call it when the results that read them have been stored.  Returns their number."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

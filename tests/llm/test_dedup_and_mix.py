@@ -1,6 +1,7 @@
 """Exact dedup, SimHash near-dedup and mixing against brute force."""
 import hashlib
 import math
+import os
 import re
 
 import numpy as np
@@ -111,6 +112,14 @@ def test_bit_set_holds_its_keys_and_few_others(spark, n):
     assert blocks.count() * op3.BLOCK <= bits <= op3.MOST_BITS
 
 
+def test_cuts_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(common, "_written", [])
+    kept = common.cut(spark.range(5), "gone")
+    path = common._written[0]
+    assert kept.count() == 5 and os.path.exists(path)
+    assert common.remove_cuts(spark) == 1 and not os.path.exists(path) and common.remove_cuts(spark) == 0
+
+
 def test_full_hash_only_where_length_and_prefix_are_shared(spark):
     texts = ["a" * 300 + "x", "a" * 300 + "y", "b" * 301, "c" * 5, "c" * 6, None, ""]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -114,6 +115,31 @@ def test_short_texts_are_judged(spark):
     assert sum(got == lang for (got, _, _), lang in answers) > 0.75 * len(answers)
 
 
+def test_judge_equals_brute_force(spark):
+    """Frames made one by one with new compressors: the smallest sum wins unless sizes tie within the margin."""
+    dictionaries = op5.learn(docs_of(spark))
+    judge, wins = op5.Judge(dictionaries), 0
+    for r in docs_of(spark).collect():
+        raw = (r.text or "").lower().encode()
+        if not any(map(str.isalpha, r.text or "")):
+            assert judge(r.text or "") == ("und", 0.0, 0.0)
+            continue
+        sizes = {}
+        for lang, content in dictionaries.items():
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=op5.LEVEL)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False,
+                                                           write_dict_id=False).compress(raw[i:i + op5.SEGMENT]))
+                              for i in range(0, len(raw), op5.SEGMENT))
+        least, second = sorted(sizes.values())[:2]
+        got, score, margin = judge(r.text)
+        assert sizes[got] == least and 0.5 <= score <= 1
+        if least < second and (1 - least / second >= op5.MIN_MARGIN or least * op5.MIN_MARGIN >= 1):
+            assert margin == 1 - least / second and score == min(1.0, 0.5 + 5 * margin)
+            wins += 1
+    assert wins > 150
+
+
 def test_language_rules(spark, odd, none, clashing):
     found = {r.doc_id: r for r in op5.classify(odd.filter("doc_id IS NOT NULL"),
                                                op5.learn(docs_of(spark, SF01))).collect()}
