@@ -9,12 +9,12 @@ from geolex.llm.common import cut
 from tests.conftest import SF001
 from tests.llm.test_dedup_and_mix import brute_groups
 
-TABLES = "documents embeddings labels".split()
+TABLES = "documents embeddings labels benchmark".split()
 
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
