@@ -23,6 +23,10 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS_RUN = "[" + WS_CLASS + "]+"
+# The same runs for Java regex alone: letters fail the few ranges in front, not every range of the class.
+WS_RUN_JAVA = r"[\x00-\x20\x{85}\x{A0}\x{1680}-\x{3000}&&[" + WS_CLASS + "]]+"
+# No letter, digit or whitespace; ASCII letters, digits and the space fail the ranges in front.
+SPECIAL_JAVA = (r"[\x00-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x{7B}-\x{10FFFF}&&[^\p{L}\p{N}" + WS_CLASS + "]]")
 
 # Place-name designators removed before matching (case-insensitive, D3).
 PLACE_DESIGNATORS = ("county", "borough", "municipio", "municipality", "census", "area")
@@ -49,6 +53,8 @@ EMOJI_POINTS = """
 """
 EMOJI_CLASS = "[" + "".join(
     "-".join(rf"\x{{{point}}}" for point in span.split("-")) for span in EMOJI_POINTS.split()) + "]"
+# What lies between the first and the last of them: three ranges, quickly tested.
+EMOJI_SPAN = r"\x{A9}\x{AE}\x{203C}-\x{1FAFA}"
 
 # Characters kept at both ends of a word by ``trim_word`` (D8: ASCII only).
 WORD_EDGE_KEEP = "A-Za-z0-9@"
@@ -92,16 +98,23 @@ def split_location(col: Column | str) -> Column:
 
 def tokens(col: Column | str) -> Column:
     """T4: whitespace tokeniser with Python ``str.split()`` semantics."""
-    return F.filter(F.split(_c(col), WS_RUN), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(_c(col), WS_RUN_JAVA), "")
+
+
+def has_tokens(col: Column | str) -> Column:
+    """T4: whether there is any token, that is any character that is no whitespace."""
+    return _c(col).rlike("[^" + WS_CLASS + "]")
 
 
 def strip_stop_words(col: Column | str, stop_words: Iterable[str]) -> Column:
-    """T5: drop stop-word tokens (case-sensitive, duplicates kept), rejoin by ' '."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))]) if stop_words else None
-    toks = tokens(col)
-    if stop is not None:
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
-    return F.array_join(toks, " ")
+    """T5: drop stop-word tokens (case-sensitive, duplicates kept), rejoin by ' '.
+
+    One pass over the tokens; ``isin`` looks a token up in a hash set."""
+    stop = set(stop_words or ())
+    if not stop:
+        return F.array_join(tokens(col), " ")
+    drop = sorted(stop | {""})
+    return F.array_join(F.filter(F.split(_c(col), WS_RUN_JAVA), lambda t: ~t.isin(*drop)), " ")
 
 
 def text_length(col: Column | str) -> Column:
@@ -122,11 +135,13 @@ def is_url(col: Column | str) -> Column:
 def is_emoji(col: Column | str) -> Column:
     """Token contains at least one emoji code point.
 
-    Every emoji code point is outside ASCII, so the regex runs only on tokens
-    whose UTF-8 length exceeds their character count.
+    Every emoji code point is outside ASCII, so the regexes run only on tokens
+    whose UTF-8 length exceeds their character count, and the one of many
+    ranges only on their characters between the first and the last emoji.
     """
     c = _c(col)
-    return (F.octet_length(c) > F.char_length(c)) & c.rlike(EMOJI_CLASS)
+    between = F.regexp_replace(c, f"[^{EMOJI_SPAN}]+", "")
+    return (F.octet_length(c) > F.char_length(c)) & c.rlike(f"[{EMOJI_SPAN}]") & between.rlike(EMOJI_CLASS)
 
 
 def token_class(col: Column | str) -> Column:
@@ -160,8 +175,8 @@ def trim_word(col: Column | str) -> Column:
 def strip_special(col: Column | str) -> Column:
     """Drop everything but letters, digits and whitespace (underscore
     included in the drop), collapse whitespace runs to one space, strip."""
-    x = F.regexp_replace(_c(col), r"[^\p{L}\p{N}" + WS_CLASS + "]", "")
-    x = F.regexp_replace(x, WS_RUN, " ")
+    x = F.regexp_replace(_c(col), SPECIAL_JAVA, "")
+    x = F.regexp_replace(x, WS_RUN_JAVA, " ")
     return F.trim(x)
 
 

@@ -28,15 +28,25 @@ def tag_tokens(text: Column) -> Column:
         t.alias("t"), F.when(tx.is_url(t), 1).when(tx.is_emoji(t), 2).otherwise(0).alias("c")))
 
 
-def token_stats(tagged: Column) -> dict[str, Column]:
-    """A4 per post from the tagged tokens: word text, url and emoji counts.
+def tag_special(text: Column) -> Column:
+    """``tag_tokens`` of a text in which there is a url or an emoji; of any other, whose tokens are all
+    words, an empty array.  A text without url and emoji has no token with one, so most texts need
+    two searches instead of an array of structs."""
+    low = F.lower(text)
+    plain = ~((F.instr(low, "://") > 0) | tx.is_emoji(low))
+    return F.when(plain, F.filter(F.array(F.struct(F.lit("").alias("t"), F.lit(0).alias("c"))), lambda s: F.lit(False))
+                  ).otherwise(tag_tokens(text))
+
+
+def token_stats(tagged: Column, plain: Column) -> dict[str, Column]:
+    """A4 per post from the tagged tokens: word text (``plain`` where none is tagged), url and emoji counts.
 
     Filters on the class field keep the work linear in tokens even when the
     optimizer inlines ``tagged`` into an output.
     """
     words = F.transform(F.filter(tagged, lambda s: s["c"] == 0), lambda s: s["t"])
     return {
-        "filtered_text": F.array_join(words, " "),
+        "filtered_text": F.when(F.size(tagged) == 0, plain).otherwise(F.array_join(words, " ")),
         "url_count": F.size(F.filter(tagged, lambda s: s["c"] == 1)).cast("int"),
         "emoji_count": F.size(F.filter(tagged, lambda s: s["c"] == 2)).cast("int"),
     }
@@ -54,8 +64,9 @@ def person_records(posts: DataFrame, levels: DataFrame, stop_words: Iterable[str
     body = tx.strip_stop_words(text_col, stop_words) if stop_words is not None else F.col(text_col)
     base = posts.select(F.col(key).alias("fip"), F.col(user_col).alias("user_id"),
                         body.alias("text"), *keep)
-    staged = base.select("fip", "user_id", "text", tag_tokens(F.col("text")).alias("_tag"), *keep)
-    stats = token_stats(F.col("_tag"))
+    staged = base.select("fip", "user_id", "text", tag_special(F.col("text")).alias("_tag"), *keep)
+    low = F.lower("text")  # without stop words, tokens are already joined by one space
+    stats = token_stats(F.col("_tag"), low if stop_words is not None else F.array_join(tx.tokens(low), " "))
     recs = staged.select("fip", "user_id", "text", *[v.alias(k) for k, v in stats.items()], *keep)
     lv = levels.select(F.col(key).alias("fip"), *LEVEL_COLUMNS)
     return recs.join(lv, "fip", "inner")
