@@ -34,13 +34,15 @@ def drop_stop_words(words: DataFrame, stop_words: Iterable[str] | DataFrame, col
 
 
 def observations(words: DataFrame, targets: DataFrame, stop_words: Iterable[str] = (),
-                 key: str = "fip", trim: bool = False) -> DataFrame:
+                 key: str = "fip", trim: bool = False, tasks: int | None = None) -> DataFrame:
     """M2 + P10 (+ T11, P11): one row per (region, word) with x = share and
     y_k = level k as a fraction (M1).
 
     ``targets`` is ``(key, y0, y1, y2, y3)`` in fractions.  With ``trim``
     the word is trimmed (T11), empty words and the literal ``NaN`` dropped
-    (D7, P11); trimmed duplicates stay separate observations (R2).
+    (D7, P11); trimmed duplicates stay separate observations (R2).  With
+    ``tasks`` the rows, of which a word has few, are dealt out by word, so that what is
+    aggregated by word needs no other exchange and each task holds its part of the words only.
     """
     w = words.select(key, "word", F.col("share").alias("x"))
     if isinstance(stop_words, DataFrame) or stop_words:
@@ -48,7 +50,7 @@ def observations(words: DataFrame, targets: DataFrame, stop_words: Iterable[str]
     if trim:
         w = (w.withColumn("word", tx.trim_word("word"))
              .filter((F.col("word") != "") & (F.col("word") != "NaN")))
-    return w.join(targets, key)
+    return (w.repartition(tasks, "word") if tasks else w).join(targets, key)
 
 
 def tested_words(obs: DataFrame, min_n: int, *aggs) -> DataFrame:

@@ -20,7 +20,7 @@ from geolex.operators import archives, nearest, places, predict, profiles, repor
 from geolex.plans import jobs as J
 from geolex.plans import standins as S
 from geolex.sources import readers
-from geolex.session import materialize
+from geolex.session import materialize, tasks_for
 from geolex.sources.schemas import ATTAINMENT_VALUE_COLUMNS, LEVEL_COLUMNS
 
 
@@ -450,7 +450,7 @@ def q_a3t(spark, d):
 def _x2_observations(spark, d):
     train = J.train_counts(J._x2_counts(spark, d))
     return wordmodel.observations(profiles.shares(train, "fip", few_keys=True), S.targets(S.region_levels(spark, d)),
-                                  S.STOP_WORDS)
+                                  S.STOP_WORDS, tasks=tasks_for(train))
 
 
 @query("a5_word_observations")

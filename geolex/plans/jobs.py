@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geolex.functions import text as tx
 from geolex.operators import archives, places, predict, profiles, report, sentences, split, tfidf, usage, wordmodel
 from geolex.plans import standins as S
-from geolex.session import ensure_checkpoint_dir, materialize, remember_cut
+from geolex.session import ensure_checkpoint_dir, materialize, remember_cut, tasks_for
 from geolex.sources import ingest, readers, sinks
 
 # --- fixed values (reference defaults) --------------------------------------
@@ -43,7 +43,7 @@ def fit_region_model(region_counts: DataFrame, targets: DataFrame, trim: bool, c
     ``trim`` and no correction is X3's learning step; no trim with
     Bonferroni and the importance gate is X2's."""
     words = profiles.shares(region_counts, "fip", few_keys=True)
-    obs = wordmodel.observations(words, targets, S.STOP_WORDS, trim=trim)
+    obs = wordmodel.observations(words, targets, S.STOP_WORDS, trim=trim, tasks=tasks_for(region_counts))
     return wordmodel.fit_word_model(obs, WORD_COUNT_THRESHOLD, ALPHA, POSITIVE_IMPORTANCY,
                                     bonferroni=corrected, gate=corrected)
 
@@ -91,7 +91,7 @@ def score_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = S.targets(S.region_levels(spark, sf_dir))
     model = fit_region_model(profiles.rollup_counts(counts, "fip"), targets, trim=True, corrected=False)
     saved_model = bucketed(predict.salted_model(wordmodel.model_wide(model)), "word_model")
-    saved_counts = bucketed(predict.salted_counts(profiles.rollup_counts(counts, "user_id")), "user_counts")
+    saved_counts = bucketed(predict.salted_counts(user_counts(marked)), "user_counts")
     preds = predict.classify(saved_counts, profiles.latest_of(marked, "user_id", "fip"), saved_model, on=("word", "salt"))
     return predict.evaluate(preds, targets)
 
@@ -125,13 +125,20 @@ def word_model_train(spark: SparkSession, sf_dir: str, marked: DataFrame | None
     return fit_region_model(train_counts(marked), S.targets(S.region_levels(spark, sf_dir)), trim=False, corrected=True)
 
 
+def user_counts(marked: DataFrame) -> DataFrame:
+    """``(user_id, word, cnt)`` of the stored marked counts, which hold hardly more than one row per user and
+    word: dealt out by user first, over tasks in proportion to their size, not as the files are packed."""
+    words = profiles.words_of(marked)
+    return profiles.rollup_counts(words.repartition(tasks_for(marked), "user_id"), "user_id")
+
+
 def classify_users(marked: DataFrame, model: DataFrame) -> DataFrame:
     """A3 -> J8/M4/W7: one row per user with words: fip, scores, level.
 
     The user's region is that of the latest post (D12; of posts with the same
     number the largest fip), which the marked counts know."""
-    return predict.classify(profiles.rollup_counts(profiles.words_of(marked), "user_id"),
-                            profiles.latest_of(marked, "user_id", "fip"), wordmodel.model_wide(model))
+    return predict.classify(user_counts(marked), profiles.latest_of(marked, "user_id", "fip"),
+                            wordmodel.model_wide(model))
 
 
 def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolex.operators import places, profiles
-from geolex.session import materialize, spread
+from geolex.session import materialize, spread, tasks_for
 from geolex.sources.schemas import ATTAINMENT_VALUE_COLUMNS, LEVEL_COLUMNS
 
 # --- fixed values -----------------------------------------------------------
@@ -45,12 +45,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, text: bool = True) -> Dat
     return spread(df) if text and name in TEXT_TABLES else df
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str, *cols: str, tasks: int | None = None) -> DataFrame:
+    """``cols`` (``doc_id`` among them) of ``documents``, dealt out by ``doc_id`` over as many tasks as the stored
+    size needs: what is counted by document and more keys meets there, so its words are not exchanged."""
+    docs = table(spark, sf_dir, "documents", text=False)
+    return docs.select(*cols).repartition(tasks or tasks_for(docs), "doc_id")
+
+
 # ------------------------------------------------------------ posts / levels
 def post_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(user_id, line_no, fip, lang, text)``, one row per document line."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    n = tasks_for(table(spark, sf_dir, "documents", text=False))
+    docs = dealt_documents(spark, sf_dir, "doc_id", "text", "lang", "source", tasks=n)
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    docs = docs.join(urls, "doc_id", "left")
+    docs = docs.join(urls.repartition(n, "doc_id"), "doc_id", "left")
     lines = docs.select("doc_id", "lang", "source", "url",
                         F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     text = F.concat_ws(" ", F.col("line"),
