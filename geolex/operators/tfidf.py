@@ -2,8 +2,9 @@
 
 ``idf = ln(N / df)`` unsmoothed (not MLlib's IDF).  Every step is a
 partial-aggregating ``groupBy``; N is a one-row global count broadcast to
-the join.  The term table is vocabulary-sized, so the tf x idf join is a
-shuffle join that AQE may turn into a broadcast or split when a term is hot.
+the join.  The term table is vocabulary-sized, so tf x idf is two joins:
+terms frequent enough to be few whatever the vocabulary are broadcast, and
+only rows of rare terms are shuffled (no hot term among them).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def sentence_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One document per sentence: ``(doc_id, sent_no, text)``; sentences
     without any non-space character are not documents."""
     s = df.select(F.col(id_col).alias("doc_id"), F.posexplode(tx.sentences(text_col)).alias("sent_no", "text"))
-    return s.filter(F.size(tx.tokens("text")) > 0)
+    return s.filter(tx.has_tokens("text"))
 
 
 def term_counts(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -31,8 +32,8 @@ def term_counts(docs: DataFrame, id_cols: list[str], text_col: str = "text") ->
     gets one marker row with a null term, so the document count N is read
     from the same table (documents without any token still count).
     """
-    toks = docs.select(*id_cols, tx.tokens(text_col).alias("_toks"))
-    terms = F.concat(F.array(F.lit(None).cast("string")), F.transform("_toks", lambda t: F.lower(t)))
+    toks = docs.select(*id_cols, tx.tokens(F.lower(text_col)).alias("_toks"))
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.col("_toks"))
     return (toks.select(*id_cols, F.size("_toks").alias("doc_length"), F.explode(terms).alias("term"))
             .groupBy(*id_cols, "doc_length", "term").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -52,12 +53,26 @@ def inverse_document_frequencies(counts: DataFrame) -> DataFrame:
             .select("term", "df", F.ln(F.col("_n") / F.col("df")).alias("idf")))
 
 
+#: Terms are broadcast if they have more than one in so many of all rows, so there are fewer than that.
+FREQUENT = 200_000
+
+
+def join_terms(tf: DataFrame, idf: DataFrame) -> DataFrame:
+    """``tf`` with the ``idf`` of its terms; ``idf`` is stored, as four scans read it."""
+    total = idf.agg(F.sum("df").alias("_rows"))
+    few = materialize(idf.crossJoin(F.broadcast(total)).filter(F.col("df") * F.lit(FREQUENT) > F.col("_rows"))
+                      .select("term", "idf"), "frequent_terms")
+    frequent = tf.join(F.broadcast(few), "term")
+    rare = tf.join(F.broadcast(few.select("term")), "term", "left_anti")
+    return frequent.unionByName(rare.join(idf.select("term", "idf"), "term"))
+
+
 def tfidf(docs: DataFrame, id_cols: list[str], text_col: str = "text", clean: bool = True,
           cut: bool = False) -> DataFrame:
     """``(id..., term, tf, idf, tfidf)``; ``clean`` applies T12 first.
 
-    With ``cut`` the count table is written once to the shared checkpoint
-    folder, so the text is tokenised once for tf, df and N.
+    With ``cut`` the count table and the term table are written once to the
+    shared checkpoint folder, so the text is tokenised once for tf, df and N.
     """
     d = docs.select(*id_cols, (tx.strip_special(text_col) if clean else F.col(text_col)).alias("text"))
     counts = term_counts(d, id_cols, "text")
@@ -65,5 +80,6 @@ def tfidf(docs: DataFrame, id_cols: list[str], text_col: str = "text", clean: bo
         counts = materialize(counts, "term_counts")
     tf = term_frequencies(counts, id_cols)
     idf = inverse_document_frequencies(counts)
-    return (tf.join(idf, "term")
+    joined = join_terms(tf, materialize(idf, "term_idf")) if cut else tf.join(idf, "term")
+    return (joined
             .select(*id_cols, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf")))

@@ -552,14 +552,14 @@ def q_x3u(spark, d):
 # ----------------------------------------------------------------- tf-idf
 @query("a13_term_frequency")
 def q_a13(spark, d):
-    docs = tfidf.sentence_docs(S.table(spark, d, "documents"), "doc_id", "text")
+    docs = tfidf.sentence_docs(S.dealt_documents(spark, d, "doc_id", "text"), "doc_id", "text")
     clean = docs.select("doc_id", "sent_no", tx.strip_special("text").alias("text"))
     return tfidf.term_frequencies(tfidf.term_counts(clean, ["doc_id", "sent_no"]), ["doc_id", "sent_no"])
 
 
 @query("a14_document_frequency")
 def q_a14(spark, d):
-    docs = tfidf.sentence_docs(S.table(spark, d, "documents"), "doc_id", "text")
+    docs = tfidf.sentence_docs(S.dealt_documents(spark, d, "doc_id", "text"), "doc_id", "text")
     clean = docs.select("doc_id", "sent_no", tx.strip_special("text").alias("text"))
     counts = materialize(tfidf.term_counts(clean, ["doc_id", "sent_no"]), "term_counts")
     return tfidf.inverse_document_frequencies(counts)

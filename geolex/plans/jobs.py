@@ -153,7 +153,7 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- X7
 def sentence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tfidf.sentence_docs(S.table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = tfidf.sentence_docs(S.dealt_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
     return tfidf.tfidf(docs, ["doc_id", "sent_no"], "text", cut=True)
 
 
