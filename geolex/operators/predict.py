@@ -23,7 +23,7 @@ def salted_model(model_wide: DataFrame) -> DataFrame:
 
 
 def classify(user_words: DataFrame, users: DataFrame, model_wide: DataFrame,
-             key: str = "user_id", on: tuple[str, ...] = ("word",)) -> DataFrame:
+             key: str = "user_id", on: tuple[str, ...] = ("word",), tasks: int | None = None) -> DataFrame:
     """score = sum(share * slope_k) over the user's words (J8 + M4);
     predicted level = first argmax (W7).
 
@@ -33,10 +33,13 @@ def classify(user_words: DataFrame, users: DataFrame, model_wide: DataFrame,
     and one aggregate.  Users whose words all miss the model score 0 (level 0);
     users without any word never appear and are not classified (P12); the
     inner join to ``users`` attaches their other columns.  ``on`` has ``salt``
-    too where both sides are tables bucketed by word and salt.
+    too where both sides are salted; with ``tasks`` they are dealt out by ``on``, so that
+    a task joins (and sums by user) its part of the rows only, whatever the number of users.
     """
     slopes = [F.col(f"slope_{k}") for k in LEVELS]
     weights = model_wide.select(*on, *slopes).filter(F.greatest(*[F.abs(s) for s in slopes]) > 0)
+    if tasks:
+        user_words, weights = user_words.repartition(tasks, *on), weights.repartition(tasks, *on)
     scored = (user_words.join(weights, list(on), "left").groupBy(key)
               .agg(*[(F.sum(F.col("cnt") * F.coalesce(F.col(f"slope_{k}"), F.lit(0.0))) / F.sum("cnt"))
                      .alias(f"score_{k}") for k in LEVELS]))

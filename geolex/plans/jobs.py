@@ -136,9 +136,10 @@ def classify_users(marked: DataFrame, model: DataFrame) -> DataFrame:
     """A3 -> J8/M4/W7: one row per user with words: fip, scores, level.
 
     The user's region is that of the latest post (D12; of posts with the same
-    number the largest fip), which the marked counts know."""
-    return predict.classify(user_counts(marked), profiles.latest_of(marked, "user_id", "fip"),
-                            wordmodel.model_wide(model))
+    number the largest fip), which the marked counts know.  Counts and model are dealt out
+    by word and salt over tasks in proportion to the stored counts."""
+    return predict.classify(predict.salted_counts(user_counts(marked)), profiles.latest_of(marked, "user_id", "fip"),
+                            predict.salted_model(wordmodel.model_wide(model)), on=("word", "salt"), tasks=tasks_for(marked))
 
 
 def held_out_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
