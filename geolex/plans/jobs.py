@@ -77,9 +77,14 @@ def score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.evaluate(preds, targets)
 
 
-def bucketed(df: DataFrame, name: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
     path = sink_path(df.sparkSession, name)
-    return sinks.write_bucketed(df, os.path.basename(path).replace("-", "_"), path, ["word", "salt"])
+    return sinks.write_bucketed(df, os.path.basename(path).replace("-", "_"), path, ["word", "salt"], buckets)
+
+
+def buckets_for(counts: DataFrame) -> int:
+    """Buckets for stored counts: in proportion to their size, no fewer than shuffle partitions."""
+    return max(tasks_for(counts), int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def score_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +95,9 @@ def score_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = profiles.words_of(marked)
     targets = S.targets(S.region_levels(spark, sf_dir))
     model = fit_region_model(profiles.rollup_counts(counts, "fip"), targets, trim=True, corrected=False)
-    saved_model = bucketed(predict.salted_model(wordmodel.model_wide(model)), "word_model")
-    saved_counts = bucketed(predict.salted_counts(user_counts(marked)), "user_counts")
+    buckets = buckets_for(marked)
+    saved_model = bucketed(predict.salted_model(wordmodel.model_wide(model)), "word_model", buckets)
+    saved_counts = bucketed(predict.salted_counts(user_counts(marked)), "user_counts", buckets)
     preds = predict.classify(saved_counts, profiles.latest_of(marked, "user_id", "fip"), saved_model, on=("word", "salt"))
     return predict.evaluate(preds, targets)
 

@@ -63,3 +63,18 @@ def test_users_are_scored_in_tasks_that_follow_the_stored_counts(spark, monkeypa
     plan = plan_of(out)
     assert plan.count("hashpartitioning(word") >= 2 and plan.count("salt") and ", 29), REPARTITION_BY_NUM" in plan
     assert {tuple(r) for r in out.collect()} == {(1, "a", 0.5, 0.0, 0.0, 0.0, 0), (2, "b", 0.125, 0.0, 0.0, 0.75, 3), (3, "a", 0.0, 0.0, 0.0, 0.0, 0)}
+
+
+def test_buckets_follow_the_stored_counts(spark, monkeypatch):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = spark.range(3)
+    monkeypatch.setattr(jobs, "tasks_for", lambda df: parts + 5)
+    assert jobs.buckets_for(counts) == parts + 5
+    monkeypatch.setattr(jobs, "tasks_for", lambda df: 1)
+    assert jobs.buckets_for(counts) == parts
+    seen = []
+    monkeypatch.setattr(jobs, "tasks_for", lambda df: parts + 5)
+    monkeypatch.setattr(jobs.sinks, "write_bucketed", lambda df, name, path, by, buckets=None, real=jobs.sinks.write_bucketed:
+                        seen.append(buckets) or real(df, name, path, by, buckets))
+    assert jobs.score_bucketed(spark, SF001).count() > 0
+    assert seen == [parts + 5] * 2
