@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolex.functions import text as tx
-from geolex.session import materialize
+from geolex.session import materialize, tasks_for
 from geolex.sources.schemas import LEVEL_COLUMNS
 
 
@@ -113,15 +113,18 @@ def rollup_counts(counts: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key, "word").agg(F.sum("cnt").alias("cnt"))
 
 
-def shares(counts: DataFrame, key: str, few_keys: bool = False) -> DataFrame:
+def shares(counts: DataFrame, key: str, few_keys: bool = False, tasks: int | None = None) -> DataFrame:
     """``share = cnt / sum(cnt) over key`` without a window (no skewed
     single-key task): totals are an aggregate joined back.
 
     ``few_keys`` (regions): the totals, one row per key, are written first, so
-    the planner sees their size and the counts are not exchanged on the key."""
+    the planner sees their size and the counts are not exchanged on the key.
+    With ``tasks`` (users) both sides of the join are dealt out by key over as many tasks."""
     totals = counts.groupBy(key).agg(F.sum("cnt").alias("_total"))
     if few_keys:
         totals = materialize(totals, f"{key}_totals")
+    elif tasks:
+        counts, totals = counts.repartition(tasks, key), totals.repartition(tasks, key)
     return (counts.join(totals, key)
             .select(key, "word", "cnt", (F.col("cnt") / F.col("_total")).alias("share")))
 
@@ -148,12 +151,13 @@ def profile_words(persons: DataFrame, key: str, cut: bool = False, few_keys: boo
     shared checkpoint folder and the totals and shares are derived from it,
     so the tokenisation of all posts runs once although two aggregates read
     it (the optimizer cannot reuse the exchange once later word filters are
-    pushed into one branch).
+    pushed into one branch).  Without ``few_keys`` the written counts are joined
+    in tasks in proportion to their size.
     """
     counts = word_counts(persons, key, "filtered_text")
     if cut:
         counts = materialize(counts, f"{key}_word_counts")
-    return shares(counts, key, few_keys)
+    return shares(counts, key, few_keys, tasks_for(counts) if cut and not few_keys else None)
 
 
 def profile_totals(persons: DataFrame, key: str, order_col: str | None = None,
