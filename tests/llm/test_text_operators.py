@@ -482,6 +482,74 @@ def test_odd_file_sizes_are_refused(spark, tmp_path):
         op7.scan(spark, str(tmp_path)).count()
 
 
+@pytest.fixture
+def in_splits(spark):
+    """Scans with files dealt out in splits of a few bytes and, if read as one row, of 100 bytes at most."""
+    small = {"spark.sql.files.maxPartitionBytes": "120b", "spark.sql.files.openCostInBytes": "0",
+             "spark.sql.sources.binaryFile.maxLength": "100"}
+
+    def run(path, **given):
+        was = {k: spark.conf.get(k) for k in small}
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        try:
+            return op7.scan(spark, str(path), **given)
+        finally:
+            for k, v in was.items():
+                spark.conf.set(k, v)
+
+    return run
+
+
+@pytest.mark.parametrize("end, width", [(op7.END, 2), (0x5050, 2), (0x50, 1), (0xFF, 1), (0x5050, 4)])
+def test_scan_of_files_in_splits(in_splits, tmp_path, end, width):
+    """Ids made of the end id's bytes, so that these stand at any place of an id and of a split."""
+    rng = np.random.default_rng(1)
+    own, want = [*end.to_bytes(width, "big"), 0, 0x50, 10, 13], []
+    for name, n in (("t", 0), ("a b%2", 1), ("c+d#.bin", 300), ("\u00e9", 301)):
+        ids = [end if rng.random() < 0.1 else int.from_bytes(rng.choice(own, width).astype(np.uint8).tobytes(), "big")
+               for _ in range(n)]
+        (tmp_path / name).write_bytes(b"".join(x.to_bytes(width, "big") for x in ids))
+        start, ends = 0, [i for i, x in enumerate(ids) if x == end]
+        for i, at in enumerate(ends):
+            want.append((name, i, start, at - start, True))
+            start = at + 1
+        if start < n:
+            want.append((name, len(ends), start, n - start, False))
+    for block in (3, 1 << 18):
+        assert sorted(map(tuple, in_splits(tmp_path, end=end, width=width, block=block).collect())) == sorted(want)
+
+
+def test_scan_rows_are_of_bounded_size(in_splits, spark, tmp_path, monkeypatch):
+    """A file of 2000 ids reaches the tasks in many splits, and no row is longer than a document."""
+    ids = np.where(np.arange(2000) % 20 == 19, op7.END, 7)
+    ids.astype(">u2").tofile(tmp_path / "x.bin")
+    rows, cut = [], op7.cut
+    monkeypatch.setattr(op7, "cut", lambda df, name: rows.append(cut(df, name)) or rows[-1])
+    assert in_splits(tmp_path, block=16).filter("n_tokens = 19 and closed").count() == 100
+    assert rows[0].select("start").distinct().count() > 10
+    assert rows[0].agg({"bytes": "max"}).first()[0] == 32
+
+
+def test_bytes_like_a_byte_order_mark_are_ids(in_splits, tmp_path):
+    for name, n in (("x", 200), ("y", 0)):
+        np.array([0xEFBB, 0xBF01, op7.END, 5, *[op7.END] * (n // 2), *[7] * n]).astype(">u2").tofile(tmp_path / name)
+    got = sorted(tuple(r) for r in in_splits(tmp_path).collect())
+    assert got[0] == ("x", 0, 0, 2, True) and got[1] == ("x", 1, 3, 1, True) and got[101] == ("x", 101, 104, 200, False)
+    assert got[102:] == [("y", 0, 0, 2, True), ("y", 1, 3, 1, False)]
+    with pytest.raises(Exception, match="not all of its bytes"):
+        in_splits(tmp_path, end=0xBF01).collect()
+
+
+def test_compressed_files_are_refused(spark, tmp_path):
+    import gzip
+
+    raw = np.random.default_rng(0).bytes(1999)
+    (tmp_path / "x.gz").write_bytes(next(z for n in (1998, 1999) if len(z := gzip.compress(raw[:n])) % 2 == 0))
+    with pytest.raises(Exception, match="not all of its bytes"):
+        op7.scan(spark, str(tmp_path)).collect()
+
+
 # ------------------------------------------------------------------ quality
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
